@@ -54,3 +54,11 @@ def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
+
+
+def slices(batches, limit: int = 32 << 20):
+    """The batches, cut so that no part holds much more than ``limit`` bytes unless one row does."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows, written
+from .common import slices, text_rows, written
 from .tokenizing import WordEncoder
 
 CAPACITY = 4096
@@ -33,19 +33,19 @@ def _cut(tokenizer: str, capacity: int, end_id: int):
         from pyspark import TaskContext
 
         encoder = WordEncoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         task = TaskContext.get().partitionId()
         nth = np.zeros(capacity + 1, np.int64)
         names = [c.split()[0] for c in PIECES.split(", ")]
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(part), task, int(nth[n])))
+            for doc, made in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                ids = np.concatenate((made, end))
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    n = len(part)
+                    rows.append((doc, k, at, n, zlib.crc32(part.tobytes()), task, int(nth[n])))
                     nth[n] += 1
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)

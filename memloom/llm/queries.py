@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, media, packing, token_counts, url_filter
+from . import chat_format, decontaminate, media, ngram_join, packing, token_counts, url_filter
 from .common import fresh_path, table
 
 URL_RULES = {
@@ -28,6 +28,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -47,7 +51,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op5_chat_formatting, op7_url_filters, op8_packing, op9_token_counts, op10_media_columns)
+    for f in (op1_decontamination, op5_chat_formatting, op6_ngram_jaccard_join, op7_url_filters, op8_packing, op9_token_counts, op10_media_columns)
 }
 
 #: A-Z to lower case and nothing else; words of the contract.
@@ -74,4 +78,19 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL}
+OP6_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ \\t\\n\\v\\f\\r]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY 1)
+SELECT words.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(words.doc_id, coalesce(c, words.doc_id)) AS component_id
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+ORACLE_SQL = {"op6_ngram_jaccard_join": OP6_SQL, "op1_decontamination": OP1_SQL}

@@ -51,12 +51,13 @@ def _counter(tokenizer: str):
         counter = TokenCounter(tokenizer)
         seen: set[bytes] = set()
         for batch in batches:
-            digests, counts = [], []
+            digests, texts = [], []
             for digest, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if digest not in seen:
                     seen.add(digest)
                     digests.append(digest)
-                    counts.append(counter.count(unpack(packed).decode()))
+                    texts.append(unpack(packed).decode())
+            counts = counter.count_all(pa.array(texts, pa.string()))
             yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], ["content", "n_tokens"])
 
     return run
