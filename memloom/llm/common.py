@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.session import ship_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ship_package(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,7 +5,9 @@
    sends, for its size class, a signature of what it holds in each range. Texts that
    never share a signature can't link.
 2. Texts with a signature in common are tied to the first of them (no pairs are
-   made), and the ties' components are families: every link lies inside one.
+   made), and the ties' components are families: every link lies inside one. Passages that
+   many texts share can tie very many; a family of more than one block is split again by
+   its rarest shingles: sets that link share one of their first n - ceil(0.85 n) + 1.
 3. A family's sets meet in blocks of bounded size. A block's sets form a prefix
    tree in one global order; a set walks the tree once, shared prefixes share their
    partial overlap, and subtrees whose remaining lengths can't reach the bound are
@@ -17,7 +19,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_rows, written
@@ -357,6 +359,41 @@ def _blocks_linked(rows: DataFrame) -> DataFrame:
     return ordered.select("family", "i", "j", "id", "text", "asked", "known").mapInArrow(_link_rows, "a long, b long")
 
 
+def _shingle_rows(batches):
+    """(family, shingle, id, n) for each shingle of a text."""
+    import pyarrow as pa
+
+    for batch in slices(batches, 2 << 20):
+        sets = shingle_sets(batch.column(2))
+        sizes = np.array([len(x) for x in sets], np.int64)
+        rows = [np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1)]
+        shingle = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(x) for x in (rows[0], shingle, rows[1], np.repeat(sizes, sizes))], ["family", "shingle", "id", "n"])
+
+
+def _split_by_rarest(members: DataFrame) -> DataFrame:
+    """(id, family) anew for the members ``family, id, text`` of families: by shared rarest shingles.
+
+    A shingle of one text alone is rarer than all others, so only how many a text has counts. Texts
+    that share none of their rarest have no link and are left out.
+    """
+    rows = members.select("family", "id", "text").mapInArrow(_shingle_rows, "family long, shingle long, id long, n long")
+    shared = written(rows.groupBy("family", "shingle").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    known = rows.join(shared, ["family", "shingle"])
+    by_doc = Window.partitionBy("id")
+    ranked = known.withColumns({"rank": F.row_number().over(by_doc.orderBy("df", "shingle")), "many": F.count("*").over(by_doc)})
+    # Of n shingles, n - many are this text's own; overlap of at least ceil(0.85 n) is needed.
+    first = ranked.where(F.col("rank") + F.col("n") - F.col("many") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)
+    keys = first.select(F.xxhash64("family", "shingle").alias("key"), "id", F.lit(None).cast("long").alias("first"))
+    ties = keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long").distinct()
+    return components(ties).select("id", F.col("component").alias("family"))
+
+
+def _with_blocks(members: DataFrame) -> DataFrame:
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    return members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family")
+
+
 def jaccard_links(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     """Links ``a, b`` that span the components of all links between different sets.
 
@@ -365,15 +402,19 @@ def jaccard_links(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     rows = texts.mapInArrow(_signature_rows, "key long, id long, first long")
     ties = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long").distinct()
     families = components(ties).select("id", F.col("component").alias("family"))
-    sized = families.join(profiles.groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
-    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
-    sizes = sized.groupBy("family").agg(blocks.alias("blocks"))
-    members = written(families.join(sizes, "family").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
+    sized = families.join(profiles.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
+    named = written(texts.join(_with_blocks(sized), "id"), "family-texts")
+    again = _split_by_rarest(named.where("blocks > 1"))
+    small = named.where("blocks = 1").select("id", "n", "family")
+    anew = named.where("blocks > 1").select("id", "n").distinct().join(again, "id")
+    members = _with_blocks(small.distinct().unionByName(anew))
+    members = written(members.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
     pivots = members.where("id = family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = members.where("id <> family").unionByName(pivots)
-    zero, no = F.lit(0), F.lit(False)
-    named = texts.where(F.col("id").isNotNull())
-    inside = named.join(placed, "id").select("family", "i", zero.alias("j"), "id", "text", no.alias("asked"), F.col("id").alias("known"))
+    named = named.select("id", "text")
+    inside = named.join(placed, "id").select(
+        "family", "i", F.lit(0).alias("j"), "id", "text", F.lit(False).alias("asked"), F.col("id").alias("known")
+    )
     links = written(_blocks_linked(inside), "links")
 
     # Blocks of one family whose links leave them apart: all outside its largest component meet every block.
