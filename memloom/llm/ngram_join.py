@@ -3,7 +3,8 @@
 1. Each text becomes its set of 4-word shingles (64-bit hashes). Sets that differ
    by at most D shingles agree on one of D + 1 ranges of hash values at least; so each set
    sends, for its size class, a signature of what it holds in each range. Texts that
-   never share a signature can't link.
+   never share a signature can't link. Shingles found common in a sample are left out of
+   signatures, so that shared passages don't tie texts; no link is lost by that.
 2. Texts with a signature in common are tied to the first of them (no pairs are
    made), and the ties' components are families: every link lies inside one. Passages that
    many texts share can tie very many; a family of more than one block is split again by
@@ -19,6 +20,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from .components import components
 SHINGLE = 4
 #: Two sets link when NUM * |union| <= DEN * |intersection|.
 NUM, DEN = 85, 100
+#: Common shingles, which signatures leave out: in so many of the sampled texts; most that are sent to the executors.
+SAMPLE, COMMON_IN, COMMON_MOST = 8_000, 3, 1 << 19
 #: Sets in a block of a family.
 BLOCK = 512
 #: Shingles in a block, for families of long texts.
@@ -88,35 +92,45 @@ def most_apart(a: int, b: int) -> int:
 _BOUNDS = np.unique(np.ceil(1.5 ** np.arange(0, 80)).astype(np.int64))
 
 
-def signatures(made: np.ndarray) -> np.ndarray:
+def _agreeing(made: np.ndarray, c: int, slack: int, salt: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(key of what each range holds, whether it holds anything, how many ranges linked sets agree on at least)."""
+    largest = int(_BOUNDS[c + 1]) - 1
+    apart = most_apart(largest, largest)
+    m = apart + 1 + apart // slack
+    edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(made ^ np.uint64(0x5BD1E995)), dtype=np.uint64)))
+    cut = np.concatenate(([0], np.searchsorted(made, edges), [len(made)]))
+    key = np.arange(m).astype(np.uint64) + np.uint64(c) * np.uint64(0x100000001B3) + np.uint64(salt << 60)
+    return mix((total[cut[1:]] - total[cut[:-1]]) ^ mix(key)), np.diff(cut) > 0, m - apart
+
+
+def signatures(made: np.ndarray, common: np.ndarray) -> np.ndarray:
     """64-bit signatures of a set: two sets that link share one, unless they are equal.
 
     A set belongs to its size class, and to the next if a partner can be that large. For a class
-    the hash range is cut into m parts, more than linked sets in it can differ by. Parts empty in
-    both sets agree as well; a set sends its empty parts only if it has so many that they could be
-    the only ones that agree.
+    the hash range is cut into more parts than linked sets in it can differ by, so they agree on
+    some, also once the same ``common`` shingles (sorted; any will do) are taken out of both. A
+    part that is empty in both agrees and says nothing: a set that has fewer empty parts than must
+    agree sends the others only; a set with more sends also the parts of its whole self, and the
+    empty ones of these if they too are that many. Of two such sets both do.
     """
     n = len(made)
     own = int(np.searchsorted(_BOUNDS, n, "right")) - 1
-    classes = [own] + [own + 1] * int(n * DEN >= _BOUNDS[own + 1] * NUM)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(made ^ np.uint64(0x5BD1E995)), dtype=np.uint64)))
-    out = []
-    for c in classes:
-        largest = int(_BOUNDS[c + 1]) - 1
-        apart = most_apart(largest, largest)
-        if apart == 0:
+    if len(common):
+        at = np.minimum(np.searchsorted(common, made), len(common) - 1)
+        rare = made[common[at] != made]
+    else:
+        rare = made
+    out = [np.zeros(0, np.uint64)]
+    for c in [own] + [own + 1] * int(n * DEN >= _BOUNDS[own + 1] * NUM):
+        if most_apart(int(_BOUNDS[c + 1]) - 1, int(_BOUNDS[c + 1]) - 1) == 0:
             continue  # only equal sets link
-        m = apart + 1 + apart // 16
-        edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
-        cut = np.concatenate(([0], np.searchsorted(made, edges), [n]))
-        filled = np.diff(cut) > 0
-        if (~filled).sum() >= m - apart:
-            filled[:] = True
-        part = np.flatnonzero(filled).astype(np.uint64)
-        held = total[cut[1:]] - total[cut[:-1]]
-        key = mix(part + np.uint64(c) * np.uint64(0x100000001B3) + np.uint64(1))
-        out.append(mix(held[filled] ^ key))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        key, filled, agree = _agreeing(rare, c, 8, 1)
+        out.append(key[filled])
+        if (~filled).sum() >= agree:
+            key, filled, agree = _agreeing(made, c, 16, 2)
+            out.append(key if (~filled).sum() >= agree else key[filled])
+    return np.concatenate(out)
 
 
 def _digest(made: np.ndarray) -> bytes:
@@ -136,7 +150,33 @@ def _profiles(batches):
         yield pa.record_batch([batch.column(0), n, digest], ["id", "n_shingles", "digest"])
 
 
-def _signature_rows(batches):
+def _sampled_shingles(batches):
+    """(shingle, number of texts of a slice that have it)."""
+    import pyarrow as pa
+
+    for batch in slices(batches, 8 << 20):
+        made = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column(0))])
+        shingle, n = np.unique(made, return_counts=True)
+        yield pa.record_batch([pa.array(shingle.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+
+def common_shingles(texts: DataFrame, profiles: DataFrame) -> np.ndarray:
+    """Shingles of at least COMMON_IN of some SAMPLE texts, sorted; at most COMMON_MOST.
+
+    They only steer which texts are compared: with any set of them every link is found.
+    """
+    share = SAMPLE / max(1, profiles.count())
+    some = texts.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_003)) < F.lit(min(1.0, share) * 1_000_003))
+    counts = some.select("text").mapInArrow(_sampled_shingles, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toArrow()
+    return np.sort(top["shingle"].to_numpy().view(np.uint64))
+
+
+def _signature_rows(common: Broadcast):
+    return lambda batches: _signed(batches, common.value)
+
+
+def _signed(batches, common: np.ndarray):
     """Rows (key, id, first): a signature and the first text of a slice that has it, or a tie.
 
     Equal sets of a task send one set of signatures. Texts of a slice that share a signature are tied
@@ -151,7 +191,7 @@ def _signature_rows(batches):
             if i is None or not len(made) or (d := _digest(made)) in met:
                 continue
             met.add(d)
-            sigs = signatures(made)
+            sigs = signatures(made, common)
             keys.append(sigs)
             ids.append(np.full(len(sigs), i, np.int64))
         key, doc = np.concatenate(keys), np.concatenate(ids)
@@ -399,7 +439,8 @@ def jaccard_links(texts: DataFrame, profiles: DataFrame) -> DataFrame:
 
     ``texts`` has id and text, ``profiles`` id, n_shingles and digest.
     """
-    rows = texts.mapInArrow(_signature_rows, "key long, id long, first long")
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, profiles))
+    rows = texts.mapInArrow(_signature_rows(common), "key long, id long, first long")
     ties = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long").distinct()
     families = components(ties).select("id", F.col("component").alias("family"))
     sized = families.join(profiles.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
