@@ -1,0 +1,45 @@
+"""Text expressions, all inside the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from memloom.config import STOP_WORDS
+
+#: White space as an explicit class, so that other engines agree.
+SPACE = r"[ \t\n\r\f\v]+"
+
+# Shapes of secrets and the label that replaces each.
+SECRETS = (
+    ("aws", "AKIA[0-9A-Z]{16}"),
+    ("github", "gh[pousr]_[A-Za-z0-9]{20,}"),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    ("openai", "sk-[A-Za-z0-9]{20,}"),
+    ("google", "AIza[0-9A-Za-z_-]{35}"),
+    ("jwt", "eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+"),
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
+)
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case ASCII word tokens without stop words."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: (t != "") & ~t.isin(STOP_WORDS))
+
+
+def normalised(text: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(text, f"^{SPACE}|{SPACE}$", ""), SPACE, " "))
+
+
+def content_hash(text: Column) -> Column:
+    return F.concat(F.lit("c:"), F.sha2(normalised(text), 256))
+
+
+def redact(text: Column) -> Column:
+    for name, shape in SECRETS:
+        text = F.regexp_replace(text, shape, f"[REDACTED:{name}]")
+    return text
+
+
+def short_hash(prefix: str, value: Column) -> Column:
+    return F.concat(F.lit(prefix), F.substring(F.sha2(value, 256), 1, 12))
