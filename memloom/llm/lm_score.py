@@ -27,6 +27,8 @@ CLASSES = 1 + FREQUENT + ENDINGS
 #: Words whose counts every executor holds; the counts of all others are joined.
 HELD_WORDS = 200_000
 DIM, NOISE, STEPS = 32, 10, 300
+#: Shrinks class vectors towards the unigram model where pairs are few.
+RIDGE = 0.5
 
 
 def _words(texts):
@@ -102,11 +104,11 @@ def _class_sums(shortlist: Broadcast):
     return run
 
 
-def train_nce(pairs: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
+def train_nce(pairs: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, seed: int = 7, ridge: float = RIDGE) -> dict[str, np.ndarray]:
     """Class vectors R, context matrix C and biases b, where s(u, w) = (R_u C) . R_w + b_w.
 
     Maximises, over the counts n(u, w) and noise q, the sum of n(u, w) log s'(u, w) +
-    noise n(u) q(w) log(1 - s'(u, w)) with s' = sigmoid(s - log(noise q)), by Adam.
+    noise n(u) q(w) log(1 - s'(u, w)) with s' = sigmoid(s - log(noise q)), less a ridge, by Adam.
     """
     k = len(pairs)
     rng = np.random.default_rng(seed)
@@ -126,7 +128,7 @@ def train_nce(pairs: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int
         context = p["R"] @ p["C"]
         s = 1 / (1 + np.exp(np.clip(shift - context @ p["R"].T - p["b"], -30, 30)))
         g = data * (1 - s) - false * s
-        grad = {"R": g.T @ context + g @ p["R"] @ p["C"].T, "C": p["R"].T @ (g @ p["R"]), "b": g.sum(0)}
+        grad = {"R": g.T @ context + g @ p["R"] @ p["C"].T - ridge * p["R"], "C": p["R"].T @ (g @ p["R"]), "b": g.sum(0)}
         rate = 0.03 * min(1.0, 2 * (1 - (t - 1) / steps))
         for x, v in grad.items():
             first[x] = 0.9 * first[x] + 0.1 * v
@@ -186,6 +188,24 @@ def _score(model: Broadcast):
     return run
 
 
+def _frequent(named: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The most frequent words, at most HELD_WORDS, and their counts, in order.
+
+    A histogram of the counts' logarithms gives the least count to take, so no task sorts more than
+    its own words.
+    """
+    step = F.floor(F.log2("c") * 32).cast("int")
+    sizes = sorted(((r["step"], r["n"]) for r in named.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = 1 << 30, 0
+    for k, n in sizes:
+        if held + n > HELD_WORDS:
+            break
+        least, held = k, held + n
+    found = named.where(step >= least).toArrow()
+    rows = sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
+    return [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -207,8 +227,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = next((r["c"] for r in counts.where("word = ''").collect()), 0)
     named = counts.where("word <> ''")
-    top = named.orderBy(F.desc("c"), "word").limit(HELD_WORDS).toArrow()
-    words = top["word"].to_pylist()
+    words, word_counts = _frequent(named)
     shortlist = sc.broadcast({w: i + 1 for i, w in enumerate(words[:FREQUENT])})
     pairs = np.zeros(CLASSES * CLASSES)
     found = learnt.mapInArrow(_pair_counts(shortlist), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -221,7 +240,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             "key": uuid4().hex,
             "p": train_nce(pairs.reshape(CLASSES, CLASSES)),
             "words": words,
-            "counts": top["c"].to_numpy(),
+            "counts": word_counts,
             "shortlist": shortlist.value,
             "class_total": totals,
             "ends": ends,

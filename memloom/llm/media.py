@@ -58,42 +58,26 @@ def _unfilter(image: np.ndarray, stride: int, bpp: int) -> np.ndarray:
     sub = kinds == 1
     if sub.any():
         out[sub] = np.cumsum(out[sub].reshape(-1, stride // bpp, bpp), axis=1, dtype=np.uint8).reshape(-1, stride)
-    # Rows that need the row above: a run of Up rows is one running sum.
-    i, n = 0, len(out)
-    above = np.flatnonzero(kinds >= 2)
-    for i in _runs(above):
-        first, last, kind = i[0], i[1], kinds[i[0]]
-        if kind == 2:
-            while first < last:
-                stop = first + 1
-                while stop < last and kinds[stop] == 2:
-                    stop += 1
-                before = out[first - 1] if first else np.zeros(stride, np.uint8)
-                out[first:stop] = before + np.cumsum(out[first:stop], axis=0, dtype=np.uint8)
-                first = stop
-                if first < last:
-                    _slow_row(out, first, kinds[first], bpp)
-                    first += 1
+    # Rows that need the row above, in order; a run of Up rows is one running sum.
+    row, n = 0, len(out)
+    while row < n:
+        if kinds[row] < 2:
+            row += 1
+        elif kinds[row] == 2:
+            others = np.flatnonzero(kinds[row:] != 2)
+            stop = row + int(others[0]) if len(others) else n
+            before = out[row - 1] if row else np.zeros(stride, np.uint8)
+            out[row:stop] = before + np.cumsum(out[row:stop], axis=0, dtype=np.uint8)
+            row = stop
         else:
-            for r in range(first, last):
-                _slow_row(out, r, kinds[r], bpp)
+            _slow_row(out, row, kinds[row], bpp)
+            row += 1
     return out
 
 
-def _runs(index: np.ndarray):
-    """(first, end) of each run of consecutive numbers."""
-    if len(index):
-        cuts = np.flatnonzero(np.diff(index) > 1) + 1
-        for run in np.split(index, cuts):
-            yield int(run[0]), int(run[-1]) + 1
-
-
 def _slow_row(out: np.ndarray, r: int, kind: int, bpp: int) -> None:
     """Average and Paeth depend on the pixel just made; all channels of a pixel go together."""
     up = out[r - 1].astype(np.int32) if r else np.zeros(out.shape[1], np.int32)
-    if kind == 2:
-        out[r] = (out[r].astype(np.int32) + up).astype(np.uint8)
-        return
     raw, left, corner = out[r].astype(np.int32), np.zeros(bpp, np.int32), np.zeros(bpp, np.int32)
     for p in range(0, len(raw), bpp):
         b = up[p : p + bpp]
