@@ -22,3 +22,45 @@ STOP_WORDS = (
     "a an and are as at be but by for from has have he her his i if in into is it its me my no not of on or our she so "
     "that the their them then there these they this to us was we were what when where which who will with you your"
 ).split()
+
+SIGN_THRESHOLD, LEAST_TOKENS = 0.05, 2
+EPISODIC = {"base": -1.5, "anchor": 1.2, "corroboration": 0.4, "generality": -0.7, "valence": 0.3}
+CONSENT = {"blocked": 0.0, "third_party_inferred": 0.6}
+ORPHAN_FIRST, ORPHAN_FLOOR, ORPHAN_RATE = 0.5, 0.05, 0.4
+PREDICATES_MAX = 1024
+DIRECTED_WEIGHTS = {"addressed": 0.5, "reply": 0.3, "mention": 0.2}
+DIRECTED_SHIFT, DIRECTED_DM, DIRECTED_AT = 0.6, 0.5, 0.5
+MENTION_UNSURE, MENTION_LOOSE = 0.4, 0.7
+MMR_LAMBDA, MMR_INPUT, MMR_OUTPUT = 0.7, 15, 12
+DENSE_SHARE, DENSE_COUNT, SPARSE_COUNT = 0.05, 60, 3
+PROPENSITY_TAU = 0.3
+SALIENCE = {"recency": 0.15, "authorship": 0.20, "content_mass": 0.15, "source_prior": 0.10, "structural": 0.15, "novelty": 0.25}
+DRIFT_POINTS = 0.05
+EVAL_K, CI_RESAMPLES, CI_LEVEL = 12, 10_000, 0.90
+GRID_ENGAGEMENT, GRID_DAMPING = (0.0, 0.01, 0.02, 0.04), (0.0, 0.01, 0.02, 0.03)
+PROJECT_MIN, PROJECT_KEEP, PROJECT_CHARS = 2, 16, 500
+
+# Words of the valence lexicon, and those it leaves out of the length.
+POSITIVE_WORDS = (
+    "love loved loves loving adore adored excited exciting happy joy joyful delighted delight thrilled ecstatic elated glad "
+    "great amazing awesome fantastic wonderful excellent brilliant perfect superb incredible outstanding good nice lovely "
+    "beautiful fabulous fab thanks thank grateful appreciate appreciated yes yeah yep yay woohoo win won winning success "
+    "successful succeeded celebrate celebrating enjoy enjoyed enjoying fun cool pleased pleasant smile smiling laugh laughing lol"
+).split()
+NEGATIVE_WORDS = (
+    "hate hated hates hating loathe despise disgusted dislike disliked angry furious mad rage enraged pissed annoyed annoying "
+    "irritated irritating frustrated frustrating frustration sad sadness depressed depressing miserable unhappy upset cry crying "
+    "tears grief lonely afraid scared fear fearful worried worry anxious anxiety panic nervous stressed stress wrong bad terrible "
+    "horrible awful worst worse broken fail failed failure failing stupid dumb useless pointless hopeless ugly pain painful hurt "
+    "hurts hurting sick tired exhausted sucks sucked suck"
+).split()
+NEUTRAL_WORDS = (
+    "the a an of to in on at for is are was were be been being do does did and or but this that these those it its i you he she "
+    "we they me him her us them my your his our their"
+).split()
+# Valence of a mood.
+MOODS = {
+    "frustrated": -0.7, "angry": -0.8, "furious": -0.9, "sad": -0.6, "upset": -0.6, "anxious": -0.7, "worried": -0.6,
+    "stressed": -0.7, "exhausted": -0.5, "tired": -0.4, "excited": 0.7, "happy": 0.7, "joyful": 0.8, "grateful": 0.6,
+    "proud": 0.6, "calm": 0.4, "neutral": 0.0, "focused": 0.0, "thinking": 0.0,
+}

@@ -70,18 +70,44 @@ def damping(rows: DataFrame, now: Column) -> DataFrame:
     return sums.select("subject", F.when(F.col("gone") == 1, F.lit(C.DAMPING_LOW)).otherwise(clamped).alias("coefficient"))
 
 
-def thread_days(facts: DataFrame, least: int = C.THREAD_MIN, keep: int = C.THREAD_KEEP, chars: int = C.THREAD_CHARS) -> DataFrame:
-    """One row a (source, thread, day) with at least three facts: the earliest 16, joined and cut.
+def _earliest(facts: DataFrame, keys: list[str], least: int, keep: int, chars: int) -> DataFrame:
+    """One row a group with at least ``least`` facts: the earliest ``keep``, joined and cut.
 
-    Rows are ranked before they are gathered, so no group gathers more than 16.
+    Rows are ranked before they are gathered, so no group gathers more than ``keep``.
     """
-    keys = ["source", "thread", "day"]
     w = Window.partitionBy(*keys)
     rows = facts.withColumns({"rn": F.row_number().over(w.orderBy("ts", "id")), "n": F.count("*").over(w)}).where((F.col("n") >= least) & (F.col("rn") <= keep))
     made = rows.groupBy(*keys).agg(F.max("n").alias("n_facts"), F.array_sort(F.collect_list(F.struct("rn", "content"))).alias("parts"))
     return made.select(*keys, "n_facts", F.substring(F.array_join("parts.content", "\n"), 1, chars).alias("content"))
 
 
+def thread_days(facts: DataFrame, least: int = C.THREAD_MIN, keep: int = C.THREAD_KEEP, chars: int = C.THREAD_CHARS) -> DataFrame:
+    """One row a (source, thread, day)."""
+    return _earliest(facts, ["source", "thread", "day"], least, keep, chars)
+
+
+def project_weeks(facts: DataFrame, least: int = C.PROJECT_MIN, keep: int = C.PROJECT_KEEP, chars: int = C.PROJECT_CHARS) -> DataFrame:
+    """One row a (repo, author, year, week) of ISO weeks."""
+    dated = facts.withColumns({"year": F.extract(F.lit("YEAROFWEEK"), "ts"), "week": F.extract(F.lit("WEEK"), "ts")})
+    return _earliest(dated, ["repo", "author", "year", "week"], least, keep, chars)
+
+
+def coverage(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(day, n, one share a field): day grain, so that days merge by their counts."""
+    return rows.groupBy("day").agg(F.count("*").alias("n"), *[F.avg(F.col(f).isNotNull().cast("double")).alias(f) for f in fields])
+
+
+def drift(days: DataFrame, fields: list[str], today: Column, recent: int = 7, baseline: int = 30) -> DataFrame:
+    """(field, before, after, level): the last week's coverage against the weeks before, from day rows."""
+    age = F.datediff(today, "day")
+    now, past = (age >= 0) & (age < recent), (age >= recent) & (age < baseline)
+    share = lambda f, when: F.try_divide(F.sum(F.when(when, F.col(f) * F.col("n"))), F.sum(F.when(when, F.col("n"))))
+    wide = days.agg(*[F.struct(F.lit(f).alias("field"), share(f, past).alias("before"), share(f, now).alias("after")).alias(f) for f in fields])
+    drop = F.round(F.col("before") - F.col("after"), 9)
+    level = F.when(drop >= 2 * C.DRIFT_POINTS, "critical").when(drop > C.DRIFT_POINTS, "warn").otherwise("ok")
+    return wide.select(F.inline(F.array(*fields))).withColumn("level", level)
+
+
 def retain(rows: DataFrame, cap: int) -> DataFrame:
     """The last ``cap`` rows by seq."""
     return rows.orderBy(F.desc("seq")).limit(cap)
@@ -91,3 +117,16 @@ def empty_rate(rows: DataFrame) -> DataFrame:
     """(source, n, rate, degraded): the share of blank texts, degraded above one half."""
     blank = (F.coalesce(normalised(F.col("text")), F.lit("")) == "").cast("double")
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.avg(blank).alias("rate")).withColumn("degraded", F.col("rate") > 0.5)
+
+
+def first_wins(rows: DataFrame, key: Column) -> DataFrame:
+    """Per key the best row ``id, score``, ties to the lower id, and how many rows the key had."""
+    best = F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id")))
+    return rows.groupBy(key.alias("key")).agg(best.alias("best"), F.count("*").alias("duplicate_count")).select("key", "best.*", "duplicate_count")
+
+
+def embed_census(facts: DataFrame, vectors: DataFrame, opted_out: Column) -> DataFrame:
+    """(state, n): each id in one class: embedded, opted out, blank or pending."""
+    have = vectors.select("id", F.lit(1).alias("have"))
+    state = F.when(F.col("have").isNotNull(), "embedded").when(opted_out, "opted_out").when(F.coalesce(normalised(F.col("text")), F.lit("")) == "", "blank").otherwise("pending")
+    return facts.join(have, "id", "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom import config as C
+from memloom.functions.text import tokens
+
 
 def reciprocity(turns: DataFrame) -> DataFrame:
     """(thread, inbound, outbound, turn_count): turn_count is how often the direction changes."""
@@ -41,3 +44,55 @@ def round_robin(rows: DataFrame, take: int = 1) -> DataFrame:
     """Adds round: rows of each platform in order of rank, ``take`` a round."""
     w = Window.partitionBy("platform").orderBy("rank", "id")
     return rows.withColumn("round", F.floor((F.row_number().over(w) - 1) / take))
+
+
+def directedness(dm: Column, signals: dict[str, Column], first_class: dict[str, Column], self_known: Column, structured: Column) -> Column:
+    """How surely a message is for its reader, in [0, 1].
+
+    A channel that the platform lacks is dead; a share of its weight goes to the live ones in proportion.
+    The mention channel counts less where the reader's identity or the mentions are loose. A direct
+    message starts from a prior, and evidence fills the rest.
+    """
+    trust = F.when(self_known, 1.0).otherwise(C.MENTION_UNSURE) * F.when(structured, 1.0).otherwise(C.MENTION_LOOSE)
+    live = {k: F.when(first_class[k], w).otherwise(0.0) for k, w in C.DIRECTED_WEIGHTS.items()}
+    alive = sum(live.values(), F.lit(0.0))
+    grown = 1 + F.coalesce(F.try_divide(C.DIRECTED_SHIFT * (1 - alive), alive), F.lit(0.0))
+    parts = [live[k] * grown * F.when(signals[k], 1.0).otherwise(0.0) * (trust if k == "mention" else 1) for k in live]
+    evidence = F.least(F.lit(1.0), sum(parts, F.lit(0.0)))
+    prior = F.when(dm, C.DIRECTED_DM).otherwise(0.0)
+    return prior + evidence * (1 - prior)
+
+
+def substance(text: Column) -> Column:
+    """0 without words, 1 for a question or from eight words, from one half up between five and eight, else 0."""
+    n = F.size(F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), "[ \t\n\r\f\v]+"), lambda t: t != ""))
+    return F.when(n == 0, 0.0).when(text.contains("?"), 1.0).when(n >= 8, 1.0).when(n <= 4, 0.0).otherwise(0.5 + 0.5 * (n - 4) / 4)
+
+
+def gap_trend(rows: DataFrame) -> DataFrame:
+    """(thread, n, ratio, trend) of rows ``thread, at, id``: the last gap against the mean of those before."""
+    w = Window.partitionBy("thread").orderBy("at", "id")
+    gaps = rows.withColumn("gap", F.col("at") - F.lag("at").over(w)).where("gap is not null")
+    sums = gaps.groupBy("thread").agg(F.count("*").alias("n"), F.sum("gap").alias("sum"), F.max_by("gap", F.struct("at", "id")).alias("last"))
+    ratio = F.try_divide(F.col("last") * (F.col("n") - 1), F.col("sum") - F.col("last"))
+    trend = F.when(ratio <= 0.8, "accelerating").when(ratio >= 1.2, "cooling").otherwise("steady")
+    return sums.select("thread", "n", ratio.alias("ratio"), trend.alias("trend"))
+
+
+def topics(messages: DataFrame, top: int = C.TOPIC_TOP, filler: float = C.TOPIC_FILLER_DF) -> DataFrame:
+    """(person, term, tf, rank): the most frequent words and adjacent pairs of ``person, thread, text``.
+
+    Terms in at least ``filler`` of a person's threads are filler, if there are several threads.
+    """
+    words = tokens(F.col("text"))
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    per = messages.select("person", "thread", words.alias("w")).select("person", "thread", F.explode(F.concat("w", pairs)).alias("term"))
+    counts = per.groupBy("person", "thread", "term").agg(F.count("*").alias("n")).groupBy("person", "term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    threads = messages.select("person", "thread").distinct().groupBy("person").agg(F.count("*").alias("threads"))
+    kept = counts.join(threads, "person").where((F.col("threads") == 1) | (F.col("df") < filler * F.col("threads")))
+    w = Window.partitionBy("person").orderBy(F.desc("tf"), "term")
+    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("person", "term", "tf", "rank")
+
+
+def staleness(age_hours: Column) -> Column:
+    return F.when(age_hours < 1, "fresh").when(age_hours < 24, "today").when(age_hours < 168, "stale").otherwise("dead")

@@ -1,0 +1,6 @@
+"""The registered queries; importing the modules registers them."""
+
+from memloom.plans import ingest, measures, queries, scores  # noqa: F401
+from memloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

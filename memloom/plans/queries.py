@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom import config as C
 from memloom.functions import scoring, text, vector
 from memloom.operators import events, graph, messaging, retrieval
-from memloom.session import ship_package
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from memloom.plans.registry import NOW, facts, query, table
+from memloom.plans.registry import rounded as _r
 
 TERMS = ["thtion", "ereth", "inea", "anhaer"]
-NOW = "2024-01-31 00:00:00"
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship_package(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def facts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
-
-
-def _r(column, digits: int = 6):
-    return F.round(column, digits)
-
 
 _STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
 _TOKENS = f"list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: t <> '' AND t NOT IN ({_STOP}))"
