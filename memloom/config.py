@@ -64,3 +64,11 @@ MOODS = {
     "stressed": -0.7, "exhausted": -0.5, "tired": -0.4, "excited": 0.7, "happy": 0.7, "joyful": 0.8, "grateful": 0.6,
     "proud": 0.6, "calm": 0.4, "neutral": 0.0, "focused": 0.0, "thinking": 0.0,
 }
+RECALL_WEIGHTS = {"entity": 0.7, "time": 1.5, "decay": 0.3, "valence": 0.2}
+RECALL_FLOOR, RECENT_FACTOR = 0.10, 0.25
+NOVELTY_LERP, CORROBORATE_INDEX = 200, 50
+
+# Priors, half-lives in days and corroboration distances by source.
+SOURCE_PRIOR = {"git-log": 0.85, "chat": 0.70, "codex-cli": 0.70, "imessage": 0.60, "telegram": 0.60, "slack": 0.60, "github-events": 0.55, "mail": 0.55, "screentime": 0.20}
+TAU_DAYS = {"imessage": 90.0, "telegram": 90.0, "slack": 90.0, "screentime": 30.0, "git-log": 365.0, "github-events": 180.0, "mail": 180.0, "chat": 60.0, "codex-cli": 60.0}
+CORROBORATE_DISTANCE = {"imessage": 0.18, "telegram": 0.18, "slack": 0.18, "git-log": 0.28, "github-events": 0.30, "screentime": 0.35, "chat": 0.25, "codex-cli": 0.25, "mail": 0.25}

@@ -12,7 +12,7 @@ def _messages(spark, sf_dir):
     """Messages of five sources made out of turns, with what their rules look at."""
     c, turn = F.col("conv_id"), F.col("turn")
     source = F.element_at(F.array(*[F.lit(s) for s in ("telegram", "slack", "mail", "imessage", "pigeon")]), (c % 5 + 1).cast("int"))
-    text = F.when(c % 11 == 0, F.lit("  ")).when(c % 13 == 0, F.lit("Your login code is 482913")).otherwise(F.substring("text", 1, 120))
+    text = F.when(c % 11 == 0, F.lit("  ")).when(c % 13 == 0, F.lit("Your login code is 482913")).otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").select(
         c.alias("conv_id"),
         turn.alias("turn"),
@@ -27,7 +27,7 @@ def _messages(spark, sf_dir):
 
 
 _ADMITTED = """m AS (SELECT conv_id, turn, ['telegram', 'slack', 'mail', 'imessage', 'pigeon'][conv_id % 5 + 1] AS source,
-  CASE WHEN conv_id % 11 = 0 THEN '  ' WHEN conv_id % 13 = 0 THEN 'Your login code is 482913' ELSE substring(text, 1, 120) END AS text,
+  CASE WHEN conv_id % 11 = 0 THEN '  ' WHEN conv_id % 13 = 0 THEN 'Your login code is 482913' ELSE text END AS text,
   CASE WHEN conv_id % 7 = 0 THEN 'helper_bot' ELSE 'person' END AS sender, role = 'assistant' AS me, conv_id % 9 = 0 AS channel, turn % 4 = 3 AS listed, conv_id % 17 = 0 AS bot FROM conversations),
 n AS (SELECT *, length(regexp_replace(coalesce(text, ''), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')) AS len, conv_id % 13 = 0 AND conv_id % 11 <> 0 AS code FROM m),
 v AS (SELECT *, CASE

@@ -127,22 +127,22 @@ def directedness_score(spark, sf_dir):
     return table(spark, sf_dir, "events").select(e.alias("id"), rounded(made).alias("score"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, text, len(list_filter(regexp_split_to_array(substring(coalesce(text, ''), 1, 40), '[ \\t\\n\\r\\f\\v]+'), lambda t: t <> '')) AS n FROM conversations)
-SELECT conv_id, turn, CASE WHEN n = 0 THEN 0.0 WHEN contains(substring(text, 1, 40), '?') THEN 1.0 WHEN n >= 8 THEN 1.0 WHEN n <= 4 THEN 0.0 ELSE 0.5 + 0.5 * (n - 4) / 4 END AS score FROM w""")
+@query("""WITH w AS (SELECT conv_id, turn, text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda t: t <> '')) AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN n = 0 THEN 0.0 WHEN contains(text, '?') THEN 1.0 WHEN n >= 8 THEN 1.0 WHEN n <= 4 THEN 0.0 ELSE 0.5 + 0.5 * (n - 4) / 4 END AS score FROM w""")
 def substance_score(spark, sf_dir):
-    """Of the first 40 characters of each turn, so that short texts occur."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", messaging.substance(F.substring("text", 1, 40)).alias("score"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", messaging.substance(F.col("text")).alias("score"))
 
 
-_LINKS = "links AS (SELECT l_orderkey AS a, 10000000 + l_partkey AS b FROM lineitem WHERE l_quantity > 49)"
+_LINKS = "links AS (SELECT o_orderkey AS a, 10000000000 + o_custkey AS b FROM orders)"
 
 
 @query(f"""WITH RECURSIVE {_LINKS}, e AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT u AS id, u AS other FROM e UNION SELECT r.id, e.v FROM reach r JOIN e ON e.u = r.other)
 SELECT id, min(other) AS component FROM reach GROUP BY id""")
 def connected_components(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 49")
-    return graph.components(rows.select(F.col("l_orderkey").alias("a"), (10000000 + F.col("l_partkey")).alias("b")))
+    """Orders and customers as nodes: the least order of each customer."""
+    rows = table(spark, sf_dir, "orders")
+    return graph.components(rows.select(F.col("o_orderkey").alias("a"), (10000000000 + F.col("o_custkey")).alias("b")))
 
 
 @query(f"""WITH RECURSIVE {_EDGES_SQL}, seeds AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey <= 20),
