@@ -41,11 +41,12 @@ def grid(candidates: DataFrame, k: int = C.EVAL_K) -> DataFrame:
     """(engagement, damping, ndcg) for each point of the weight grid over ``event, id, base, eng, damp, relevant``.
 
     The grid is a literal of 16 points, exploded beside each row; scores are compared in units of 1e-6.
+    Of rows with equal score and id those that aren't relevant come first.
     """
     points = F.array(*[F.struct(F.lit(e).alias("engagement"), F.lit(d).alias("damping")) for e in C.GRID_ENGAGEMENT for d in C.GRID_DAMPING])
     rows = candidates.withColumn("g", F.explode(points))
     score = F.round((F.col("base") + F.col("g.engagement") * F.col("eng") + F.col("g.damping") * F.col("damp")) * 1e6).cast("long")
-    w = Window.partitionBy("event", "g").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("event", "g").orderBy(F.desc("score"), "id", "relevant")
     ranked = rows.withColumn("score", score).withColumn("rank", F.row_number().over(w))
     per = metrics(ranked.select(F.struct("event", "g").alias("event"), "rank", "relevant"), k)
     return per.groupBy("event.g.engagement", "event.g.damping").agg(F.avg("ndcg").alias("ndcg"))
