@@ -72,3 +72,13 @@ NOVELTY_LERP, CORROBORATE_INDEX = 200, 50
 SOURCE_PRIOR = {"git-log": 0.85, "chat": 0.70, "codex-cli": 0.70, "imessage": 0.60, "telegram": 0.60, "slack": 0.60, "github-events": 0.55, "mail": 0.55, "screentime": 0.20}
 TAU_DAYS = {"imessage": 90.0, "telegram": 90.0, "slack": 90.0, "screentime": 30.0, "git-log": 365.0, "github-events": 180.0, "mail": 180.0, "chat": 60.0, "codex-cli": 60.0}
 CORROBORATE_DISTANCE = {"imessage": 0.18, "telegram": 0.18, "slack": 0.18, "git-log": 0.28, "github-events": 0.30, "screentime": 0.35, "chat": 0.25, "codex-cli": 0.25, "mail": 0.25}
+
+OPPOSED_OVERLAP, OPPOSED_VALENCE, OPPOSED_COSINE = 0.3, 0.4, -0.05
+AUTHORITY_LEAST, SUBSTITUTE_GAIN, SIBLINGS_MAX = 0.85, 0.2, 32
+ENGAGEMENT = {"direct": 1.0, "paraphrase": 0.6, "correction": 0.4, "dismiss": -0.5, "no_engagement": 0.0}
+ENGAGED_RUN, ENGAGED_BAG, NEGATION_REACH = 3, 0.75, 6
+GATE_LABELS, GATE_NDCG, GATE_HARM, GATE_WEEKLY, GATE_WEEKS, VOLUME_WEEKS = 150, 0.03, 0.0, 200, 8, 4
+
+# Words that deny, and phrases that dismiss.
+NEGATIONS = "no not wrong actually but incorrect nope false".split()
+DISMISSALS = r"(?i)\b(stop\s+bringing|not\s+relevant|irrelevant|forget\s+(that|it)|drop\s+(it|that)|don't\s+(care|mention))\b"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom import config as C
@@ -77,3 +77,40 @@ def bootstrap_ci(rows: DataFrame, resamples: int = C.CI_RESAMPLES, level: float
     edge = (1 - level) / 2
     ends = [F.percentile(F.when(drawn, mean), F.lit(x)).alias(name) for x, name in ((edge, "low"), (1 - edge, "high"))]
     return sums.unionByName(whole).agg(F.max(F.when(~drawn, mean)).alias("mean"), *ends)
+
+
+def weekly_volume(signals: DataFrame, weeks: int = C.VOLUME_WEEKS) -> DataFrame:
+    """(volume): the floored mean of rows in each of the last weeks that have any, 0 without rows; ``ts`` by UTC.
+
+    A week's key is the calendar year and the ISO week.
+    """
+    key = F.struct(F.year("ts").alias("y"), F.weekofyear("ts").alias("w"))
+    counts = signals.where("ts is not null").groupBy(key.alias("week")).agg(F.count("*").alias("n"))
+    last = counts.orderBy(F.desc("week")).limit(weeks)
+    return last.agg(F.coalesce(F.floor(F.avg("n")), F.lit(0)).cast("long").alias("volume"))
+
+
+def phase_gate(measured: DataFrame) -> DataFrame:
+    """(criterion, measured, threshold, met) of one row: labels, ndcg_delta, harm_delta, volume, weeks; null isn't met."""
+    rules = [
+        ("labels", C.GATE_LABELS, True), ("ndcg_delta", C.GATE_NDCG, True), ("harm_delta", C.GATE_HARM, False),
+        ("volume", C.GATE_WEEKLY, True), ("weeks", C.GATE_WEEKS, True),
+    ]
+    each = [
+        F.struct(
+            F.lit(name).alias("criterion"), F.col(name).cast("double").alias("measured"), F.lit(float(bound)).alias("threshold"),
+            F.coalesce((F.col(name) >= bound) if at_least else (F.col(name) <= bound), F.lit(False)).alias("met"),
+        )
+        for name, bound, at_least in rules
+    ]
+    return measured.select(F.inline(F.array(*each)))
+
+
+def best_weights(points: DataFrame, baseline_harm: Column | float) -> DataFrame:
+    """The row of ``iteration, ndcg, harm, ...`` with most NDCG whose harm isn't above the baseline's.
+
+    Ties go to less harm, then to the earlier iteration. No row if none qualifies. One aggregate, no sort.
+    """
+    fit = points.where(F.col("ndcg").isNotNull() & ~F.isnan("ndcg") & (F.col("harm") <= baseline_harm))
+    top = F.max_by(F.struct(*points.columns), F.struct(F.col("ndcg"), -F.col("harm"), -F.col("iteration")))
+    return fit.agg(top.alias("p")).where("p is not null").select("p.*")
