@@ -78,6 +78,8 @@ AUTHORITY_LEAST, SUBSTITUTE_GAIN, SIBLINGS_MAX = 0.85, 0.2, 32
 ENGAGEMENT = {"direct": 1.0, "paraphrase": 0.6, "correction": 0.4, "dismiss": -0.5, "no_engagement": 0.0}
 ENGAGED_RUN, ENGAGED_BAG, NEGATION_REACH = 3, 0.75, 6
 GATE_LABELS, GATE_NDCG, GATE_HARM, GATE_WEEKLY, GATE_WEEKS, VOLUME_WEEKS = 150, 0.03, 0.0, 200, 8, 4
+RECENT_DAYS, RECENT_FLOOR, CADENCE_RECENT, CADENCE_DORMANT = 7, 0.05, 0.66, 0.06
+TIER_RECIPROCITY, EARLIEST_SECOND = 0.9, 1_199_145_600
 
 # Words that deny, and phrases that dismiss.
 NEGATIONS = "no not wrong actually but incorrect nope false".split()

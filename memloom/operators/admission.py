@@ -132,6 +132,11 @@ def rules() -> dict[str, list[tuple[Column, str, str | None, Column | float]]]:
             (_c("seen_before"), PASS, "prompt_replay", 0.15),
             (always, PASS, None, F.when(_length() + _length("assistant_text") >= 64, 0.85).otherwise(0.55)),
         ],
+        "chat-transcript": [
+            (_blank("text") & _blank("assistant_text"), DROP, "empty_turn", 0.0),
+            (_c("duplicate"), DROP, "cross_source_duplicate", 0.0),
+            (always, PASS, None, F.when(_length() + _length("assistant_text") >= 64, 0.85).otherwise(0.55)),
+        ],
         "screentime": [
             (_c("kind") == "discoverability", DROP, "discoverability", 0.0),
             ((_c("kind") == "notification") & _blank("title") & _blank("text"), DROP, "empty_notification", 0.0),

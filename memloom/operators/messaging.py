@@ -96,3 +96,52 @@ def topics(messages: DataFrame, top: int = C.TOPIC_TOP, filler: float = C.TOPIC_
 
 def staleness(age_hours: Column) -> Column:
     return F.when(age_hours < 1, "fresh").when(age_hours < 24, "today").when(age_hours < 168, "stale").otherwise("dead")
+
+
+def plausible(ts: Column, now: Column) -> Column:
+    """The timestamp, or null before 2008 or over a day ahead."""
+    second = F.unix_seconds(ts)
+    return F.when((second >= C.EARLIEST_SECOND) & (second <= F.unix_seconds(now) + 86400), ts)
+
+
+def recency(ts: Column, now: Column) -> Column:
+    """1 now and ahead, falling to 0.05 over seven days; 0.05 for null."""
+    age = (F.unix_micros(now) - F.unix_micros(ts)) / (86400e6 * C.RECENT_DAYS)
+    return F.coalesce(F.when(age <= 0, 1.0).otherwise(F.greatest(F.lit(C.RECENT_FLOOR), 1 - age)), F.lit(C.RECENT_FLOOR))
+
+
+def cadence(ts: Column, now: Column) -> Column:
+    factor = recency(plausible(ts, now), now)
+    return F.when(factor >= C.CADENCE_RECENT, "recent").when(factor <= C.CADENCE_DORMANT, "dormant").otherwise("regular")
+
+
+def tier(contact: Column, feedback: Column, strength: Column, kind: Column) -> Column:
+    """``relationship`` for contacts, for any positive feedback, and for persons who write back and forth."""
+    person = ~F.coalesce(kind, F.lit("person")).isin("bot", "service", "system")
+    close = F.coalesce(contact, F.lit(False)) | F.coalesce(feedback > 0, F.lit(False)) | (F.coalesce(strength >= C.TIER_RECIPROCITY, F.lit(False)) & person)
+    return F.when(close, "relationship").otherwise("unknown")
+
+
+def personas(messages: DataFrame, contacts: DataFrame, feedback: DataFrame, now: Column) -> DataFrame:
+    """(person, handles, name, strength, tier, cadence, last_ts, topics) by left joins of frames with a row a person.
+
+    ``messages``: person, thread, seq, from_me, handle, name, kind, ts, text; ``contacts``: handle, name;
+    ``feedback``: person, score. A handle in contacts makes a contact and gives the name, else the first that was seen.
+    A person's strength is the best of their threads.
+    """
+    inbound = messages.where(~F.col("from_me"))
+    seen = inbound.groupBy("person").agg(
+        F.array_sort(F.collect_set("handle")).alias("handles"), F.min_by("name", F.struct("ts", "thread", "seq")).alias("observed"),
+        F.min("kind").alias("kind"), F.max(plausible(F.col("ts"), now)).alias("last_ts"),
+    )
+    whose = messages.groupBy("thread").agg(F.min(F.when(~F.col("from_me"), F.col("person"))).alias("person"))
+    ties = reciprocity(messages).join(whose, "thread").groupBy("person")
+    strength = ties.agg(F.max(reciprocity_factor(F.col("inbound"), F.col("outbound"), F.col("turn_count"))).alias("strength"))
+    listed = inbound.select("person", "handle").distinct().join(contacts.groupBy("handle").agg(F.min("name").alias("n")), "handle")
+    known = listed.groupBy("person").agg(F.min_by("n", "handle").alias("listed"), F.lit(True).alias("contact"))
+    about = topics(inbound.select("person", "thread", "text")).groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("k"), "term"))), lambda t: t["term"]).alias("topics"))
+    rows = seen.join(strength, "person", "left").join(known, "person", "left").join(feedback.select("person", "score"), "person", "left").join(about, "person", "left")
+    return rows.select(
+        "person", "handles", F.coalesce("listed", "observed").alias("name"), "strength", tier(F.col("contact"), F.col("score"), F.col("strength"), F.col("kind")).alias("tier"),
+        cadence(F.col("last_ts"), now).alias("cadence"), "last_ts", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"),
+    )
