@@ -19,9 +19,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity of 0.8 or more) the document with the least id stays."""
     ship_package(spark)
-    return ngram_join.keep_first(docs)
+    return ngram_join.keep_first(docs, like=ngram_join.Likeness(size=5, num=80, den=100))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Exact Jaccard join of shingle sets, with components of the links.
 
-1. Each text becomes its set of 4-word shingles (64-bit hashes). Sets that differ
+Shingle size and similarity come as a ``Likeness``.
+
+1. Each text becomes its set of shingles of ``size`` words (64-bit hashes). Sets that differ
    by at most D shingles agree on one of D + 1 ranges of hash values at least; so each set
    sends, for its size class, a signature of what it holds in each range. Texts that
    never share a signature can't link. Shingles found common in a sample are left out of
@@ -8,7 +10,7 @@
 2. Texts with a signature in common are tied to the first of them (no pairs are
    made), and the ties' components are families: every link lies inside one. Passages that
    many texts share can tie very many; a family of more than one block is split again by
-   its rarest shingles: sets that link share one of their first n - ceil(0.85 n) + 1.
+   its rarest shingles: sets that link share one of their first n - ceil(similarity * n) + 1.
 3. A family's sets meet in blocks of bounded size. A block's sets form a prefix
    tree in one global order; a set walks the tree once, shared prefixes share their
    partial overlap, and subtrees whose remaining lengths can't reach the bound are
@@ -19,6 +21,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -27,9 +31,25 @@ from pyspark.sql import functions as F
 from .common import slices, text_rows, written
 from .components import components
 
-SHINGLE = 4
-#: Two sets link when NUM * |union| <= DEN * |intersection|.
-NUM, DEN = 85, 100
+
+class Likeness(NamedTuple):
+    """Words in a shingle; two sets link when num * |union| <= den * |intersection|.
+
+    Size classes are 4/3 apart at least, so a similarity of at least 3/4 leaves partners in the next class at most.
+    """
+
+    size: int
+    num: int
+    den: int
+
+    def checked(self) -> Likeness:
+        if self.size < 1 or not 3 * self.den <= 4 * self.num <= 4 * self.den:
+            raise ValueError(f"shingles of a word at least and a similarity from 3/4 to 1, not {self}")
+        return self
+
+
+#: The join's own contract (op6), and what near-duplicate stages take unless a contract says otherwise.
+JOIN, NEAR = Likeness(4, 85, 100), Likeness(5, 80, 100)
 #: Common shingles, which signatures leave out: in so many of the sampled texts; most that are sent to the executors.
 SAMPLE, COMMON_IN, COMMON_MOST = 8_000, 3, 1 << 19
 #: Sets in a block of a family.
@@ -48,7 +68,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts, size: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts, size: int) -> list[np.ndarray]:
     """The sorted set of shingle hashes of each text (Arrow strings without nulls).
 
     Words are what stands between ASCII white space, A-Z as lower case. A text of fewer than
@@ -82,20 +102,20 @@ def shingle_sets(texts, size: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
-def most_apart(a: int, b: int) -> int:
+def most_apart(a: int, b: int, like: Likeness) -> int:
     """The largest symmetric difference that linked sets of these sizes can have."""
-    # overlap o >= NUM/DEN * union and a + b = union + o, so the difference is at most this share.
-    return (DEN - NUM) * (a + b) // (DEN + NUM)
+    # overlap o >= num/den * union and a + b = union + o, so the difference is at most this share.
+    return (like.den - like.num) * (a + b) // (like.den + like.num)
 
 
 #: Size classes: class c holds sets of 1.5 ** c <= size < 1.5 ** (c + 1), as whole numbers.
 _BOUNDS = np.unique(np.ceil(1.5 ** np.arange(0, 80)).astype(np.int64))
 
 
-def _agreeing(made: np.ndarray, c: int, slack: int, salt: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _agreeing(made: np.ndarray, c: int, slack: int, salt: int, like: Likeness) -> tuple[np.ndarray, np.ndarray, int]:
     """(key of what each range holds, whether it holds anything, how many ranges linked sets agree on at least)."""
     largest = int(_BOUNDS[c + 1]) - 1
-    apart = most_apart(largest, largest)
+    apart = most_apart(largest, largest, like)
     m = apart + 1 + apart // slack
     edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(made ^ np.uint64(0x5BD1E995)), dtype=np.uint64)))
@@ -104,7 +124,7 @@ def _agreeing(made: np.ndarray, c: int, slack: int, salt: int) -> tuple[np.ndarr
     return mix((total[cut[1:]] - total[cut[:-1]]) ^ mix(key)), np.diff(cut) > 0, m - apart
 
 
-def signatures(made: np.ndarray, common: np.ndarray) -> np.ndarray:
+def signatures(made: np.ndarray, common: np.ndarray, like: Likeness = JOIN) -> np.ndarray:
     """64-bit signatures of a set: two sets that link share one, unless they are equal.
 
     A set belongs to its size class, and to the next if a partner can be that large. For a class
@@ -122,13 +142,13 @@ def signatures(made: np.ndarray, common: np.ndarray) -> np.ndarray:
     else:
         rare = made
     out = [np.zeros(0, np.uint64)]
-    for c in [own] + [own + 1] * int(n * DEN >= _BOUNDS[own + 1] * NUM):
-        if most_apart(int(_BOUNDS[c + 1]) - 1, int(_BOUNDS[c + 1]) - 1) == 0:
+    for c in [own] + [own + 1] * int(n * like.den >= _BOUNDS[own + 1] * like.num):
+        if most_apart(int(_BOUNDS[c + 1]) - 1, int(_BOUNDS[c + 1]) - 1, like) == 0:
             continue  # only equal sets link
-        key, filled, agree = _agreeing(rare, c, 8, 1)
+        key, filled, agree = _agreeing(rare, c, 8, 1, like)
         out.append(key[filled])
         if (~filled).sum() >= agree:
-            key, filled, agree = _agreeing(made, c, 16, 2)
+            key, filled, agree = _agreeing(made, c, 16, 2, like)
             out.append(key if (~filled).sum() >= agree else key[filled])
     return np.concatenate(out)
 
@@ -139,44 +159,45 @@ def _digest(made: np.ndarray) -> bytes:
     return hashlib.blake2b(made.tobytes(), digest_size=16).digest()
 
 
-def _profiles(batches):
+def _profiles(batches, size: int):
     """(id, number of shingles, digest of the set) of each row."""
     import pyarrow as pa
 
     for batch in slices(batches, 8 << 20):
-        sets = shingle_sets(batch.column(1))
+        sets = shingle_sets(batch.column(1), size)
         n = pa.array([len(s) for s in sets], pa.int64())
         digest = pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())
         yield pa.record_batch([batch.column(0), n, digest], ["id", "n_shingles", "digest"])
 
 
-def _sampled_shingles(batches):
+def _sampled_shingles(batches, size: int):
     """(shingle, number of texts of a slice that have it)."""
     import pyarrow as pa
 
     for batch in slices(batches, 8 << 20):
-        made = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column(0))])
+        made = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column(0), size)])
         shingle, n = np.unique(made, return_counts=True)
         yield pa.record_batch([pa.array(shingle.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
 
-def common_shingles(texts: DataFrame, profiles: DataFrame) -> np.ndarray:
+def common_shingles(texts: DataFrame, profiles: DataFrame, size: int) -> np.ndarray:
     """Shingles of at least COMMON_IN of some SAMPLE texts, sorted; at most COMMON_MOST.
 
     They only steer which texts are compared: with any set of them every link is found.
     """
     share = SAMPLE / max(1, profiles.count())
     some = texts.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_003)) < F.lit(min(1.0, share) * 1_000_003))
-    counts = some.select("text").mapInArrow(_sampled_shingles, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    sampled = some.select("text").mapInArrow(lambda b: _sampled_shingles(b, size), "shingle long, n long")
+    counts = sampled.groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toArrow()
     return np.sort(top["shingle"].to_numpy().view(np.uint64))
 
 
-def _signature_rows(common: Broadcast):
-    return lambda batches: _signed(batches, common.value)
+def _signature_rows(common: Broadcast, like: Likeness):
+    return lambda batches: _signed(batches, common.value, like)
 
 
-def _signed(batches, common: np.ndarray):
+def _signed(batches, common: np.ndarray, like: Likeness):
     """Rows (key, id, first): a signature and the first text of a slice that has it, or a tie.
 
     Equal sets of a task send one set of signatures. Texts of a slice that share a signature are tied
@@ -187,11 +208,11 @@ def _signed(batches, common: np.ndarray):
     met: set[bytes] = set()
     for batch in slices(batches, 8 << 20):
         keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, made in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+        for i, made in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), like.size), strict=True):
             if i is None or not len(made) or (d := _digest(made)) in met:
                 continue
             met.add(d)
-            sigs = signatures(made, common)
+            sigs = signatures(made, common, like)
             keys.append(sigs)
             ids.append(np.full(len(sigs), i, np.int64))
         key, doc = np.concatenate(keys), np.concatenate(ids)
@@ -228,8 +249,8 @@ def _ties(batches):
         yield pa.record_batch([pa.array(tie[:, 0].astype(np.int64)), pa.array(tie[:, 1].astype(np.int64))], ["a", "b"])
 
 
-def _within(size_a: int, size_b: np.ndarray, overlap: np.ndarray) -> np.ndarray:
-    return DEN * overlap >= NUM * (size_a + size_b - overlap)
+def _within(size_a: int, size_b: np.ndarray, overlap: np.ndarray, like: Likeness) -> np.ndarray:
+    return like.den * overlap >= like.num * (size_a + size_b - overlap)
 
 
 class PrefixTree:
@@ -239,7 +260,8 @@ class PrefixTree:
     and largest set below a node.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], like: Likeness = JOIN):
+        self.like = like
         sizes = np.array([len(s) for s in sets])
         tokens, ranks = np.unique(np.concatenate(sets), return_inverse=True)
         count = np.bincount(ranks)
@@ -322,8 +344,8 @@ class PrefixTree:
             last = self.run[np.maximum(self.run_at[nodes + 1] - 1, 0)]
             best = got + np.minimum(self.hi[nodes] - self.depth[nodes], whole - spent[last])
             # Sizes from lo to hi lie below; the bound is weakest for the smallest that can hold `best`.
-            alive[nodes] = _within(n, np.maximum(self.lo[nodes], best), best)
-        good = alive[self.leaf] & _within(n, self.sizes, overlap[self.leaf])
+            alive[nodes] = _within(n, np.maximum(self.lo[nodes], best), best, self.like)
+        good = alive[self.leaf] & _within(n, self.sizes, overlap[self.leaf], self.like)
         return np.flatnonzero(good)
 
 
@@ -346,7 +368,7 @@ class _Union:
         return a != b
 
 
-def link_block(sets: list[np.ndarray], asked: list[bool] | None = None, known: list | None = None) -> list[tuple[int, int]]:
+def link_block(sets: list[np.ndarray], like: Likeness, asked: list[bool] | None = None, known: list | None = None) -> list[tuple[int, int]]:
     """Links that span the components of the links among these sets.
 
     With ``asked``, only pairs with such a set count; sets of one ``known`` component need no more
@@ -360,7 +382,7 @@ def link_block(sets: list[np.ndarray], asked: list[bool] | None = None, known: l
         union.join(first.setdefault(k, i), i)
     if union.left == 1:
         return links
-    tree = PrefixTree(sets)
+    tree = PrefixTree(sets, like)
     for i, made in enumerate(sets):
         if union.left == 1:
             break
@@ -369,16 +391,16 @@ def link_block(sets: list[np.ndarray], asked: list[bool] | None = None, known: l
     return links
 
 
-def _link_rows(batches):
+def _link_rows(batches, like: Likeness):
     """Links of the blocks of a partition, whose rows are sorted by block; pivots and asked sets first."""
     import pyarrow as pa
 
     def close():
         texts = pa.array([r[1] for r in held], pa.string())
-        sets, ids = shingle_sets(texts), [r[0] for r in held]
+        sets, ids = shingle_sets(texts, like.size), [r[0] for r in held]
         asked = [r[2] for r in held] if any(r[2] for r in held) else None
         known = [r[3] for r in held] if asked else None
-        return [(ids[i], ids[j]) for i, j in link_block(sets, asked, known)]
+        return [(ids[i], ids[j]) for i, j in link_block(sets, like, asked, known)]
 
     now, held, made = None, [], []
     for batch in slices(batches, 8 << 20):
@@ -393,37 +415,39 @@ def _link_rows(batches):
     yield pa.record_batch([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.int64())], ["a", "b"])
 
 
-def _blocks_linked(rows: DataFrame) -> DataFrame:
+def _blocks_linked(rows: DataFrame, like: Likeness) -> DataFrame:
     """``family, i, j, id, text, asked, known`` to links; each (family, i, j) is one block."""
     ordered = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", F.col("asked").desc(), "id")
-    return ordered.select("family", "i", "j", "id", "text", "asked", "known").mapInArrow(_link_rows, "a long, b long")
+    columns = ordered.select("family", "i", "j", "id", "text", "asked", "known")
+    return columns.mapInArrow(lambda batches: _link_rows(batches, like), "a long, b long")
 
 
-def _shingle_rows(batches):
+def _shingle_rows(batches, size: int):
     """(family, shingle, id, n) for each shingle of a text."""
     import pyarrow as pa
 
     for batch in slices(batches, 2 << 20):
-        sets = shingle_sets(batch.column(2))
+        sets = shingle_sets(batch.column(2), size)
         sizes = np.array([len(x) for x in sets], np.int64)
         rows = [np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1)]
         shingle = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, np.int64)
         yield pa.record_batch([pa.array(x) for x in (rows[0], shingle, rows[1], np.repeat(sizes, sizes))], ["family", "shingle", "id", "n"])
 
 
-def _split_by_rarest(members: DataFrame) -> DataFrame:
+def _split_by_rarest(members: DataFrame, like: Likeness) -> DataFrame:
     """(id, family) anew for the members ``family, id, text`` of families: by shared rarest shingles.
 
     A shingle of one text alone is rarer than all others, so only how many a text has counts. Texts
     that share none of their rarest have no link and are left out.
     """
-    rows = members.select("family", "id", "text").mapInArrow(_shingle_rows, "family long, shingle long, id long, n long")
+    texts = members.select("family", "id", "text")
+    rows = texts.mapInArrow(lambda batches: _shingle_rows(batches, like.size), "family long, shingle long, id long, n long")
     shared = written(rows.groupBy("family", "shingle").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     known = rows.join(shared, ["family", "shingle"])
     by_doc = Window.partitionBy("id")
     ranked = known.withColumns({"rank": F.row_number().over(by_doc.orderBy("df", "shingle")), "many": F.count("*").over(by_doc)})
-    # Of n shingles, n - many are this text's own; overlap of at least ceil(0.85 n) is needed.
-    first = ranked.where(F.col("rank") + F.col("n") - F.col("many") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)
+    # Of n shingles, n - many are this text's own; overlap of at least ceil(similarity * n) is needed.
+    first = ranked.where(F.col("rank") + F.col("n") - F.col("many") <= F.col("n") - F.ceil(F.col("n") * like.num / like.den) + 1)
     keys = first.select(F.xxhash64("family", "shingle").alias("key"), "id", F.lit(None).cast("long").alias("first"))
     ties = keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long").distinct()
     return components(ties).select("id", F.col("component").alias("family"))
@@ -434,18 +458,18 @@ def _with_blocks(members: DataFrame) -> DataFrame:
     return members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family")
 
 
-def jaccard_links(texts: DataFrame, profiles: DataFrame) -> DataFrame:
+def jaccard_links(texts: DataFrame, profiles: DataFrame, like: Likeness) -> DataFrame:
     """Links ``a, b`` that span the components of all links between different sets.
 
     ``texts`` has id and text, ``profiles`` id, n_shingles and digest.
     """
-    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, profiles))
-    rows = texts.mapInArrow(_signature_rows(common), "key long, id long, first long")
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, profiles, like.size))
+    rows = texts.mapInArrow(_signature_rows(common, like), "key long, id long, first long")
     ties = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long").distinct()
     families = components(ties).select("id", F.col("component").alias("family"))
     sized = families.join(profiles.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
     named = written(texts.join(_with_blocks(sized), "id"), "family-texts")
-    again = _split_by_rarest(named.where("blocks > 1"))
+    again = _split_by_rarest(named.where("blocks > 1"), like)
     small = named.where("blocks = 1").select("id", "n", "family")
     anew = named.where("blocks > 1").select("id", "n").distinct().join(again, "id")
     members = _with_blocks(small.distinct().unionByName(anew))
@@ -456,7 +480,7 @@ def jaccard_links(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     inside = named.join(placed, "id").select(
         "family", "i", F.lit(0).alias("j"), "id", "text", F.lit(False).alias("asked"), F.col("id").alias("known")
     )
-    links = written(_blocks_linked(inside), "links")
+    links = written(_blocks_linked(inside, like), "links")
 
     # Blocks of one family whose links leave them apart: all outside its largest component meet every block.
     split = members.where("blocks > 1")
@@ -476,28 +500,29 @@ def jaccard_links(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     others = others.where("not (outside and j = g)")
     columns = ["family", "i", "j", "id", "asked", "known"]
     met = named.join(asked.select(columns).unionByName(others.select(columns)), "id").select("family", "i", "j", "id", "text", "asked", "known")
-    return links.unionByName(written(_blocks_linked(met), "links"))
+    return links.unionByName(written(_blocks_linked(met, like), "links"))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = JOIN) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the least doc_id reachable by links.
 
-    Null, empty and blank texts have no shingles and link with nothing. Texts of fewer than four
-    words are one shingle each. A null id links with nothing and its component is null. Rows that
+    Null, empty and blank texts have no shingles and link with nothing. Texts of fewer words
+    than a shingle are one shingle each. A null id links with nothing and its component is null. Rows that
     repeat an id are texts of one document: each has its own n_shingles, and they share the component.
     """
+    like = like.checked()
     texts = text_rows(docs, id_col, text_col)
-    profiles = written(texts.mapInArrow(_profiles, "id long, n_shingles long, digest binary"), "profiles")
+    profiles = written(texts.mapInArrow(lambda batches: _profiles(batches, like.size), "id long, n_shingles long, digest binary"), "profiles")
     sets = profiles.where("id is not null and digest is not null")
     first = written(sets.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     copies = sets.join(first, "digest").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    found = components(jaccard_links(texts, profiles).unionByName(copies))
+    found = components(jaccard_links(texts, profiles, like).unionByName(copies))
     joined = profiles.join(found, "id", "left")
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = NEAR) -> DataFrame:
     """The rows of ``docs``, all columns, whose document is the least of its component."""
-    found = ngram_components(docs, id_col, text_col)
+    found = ngram_components(docs, id_col, text_col, like)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

@@ -41,7 +41,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), like=ngram_join.Likeness(size=4, num=85, den=100))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,51 @@ def test_linked_sets_share_a_signature():
             assert set(ngram_join.signatures(a, common)) & set(ngram_join.signatures(b, common))
 
 
+def brute_links(docs, size, num, den):
+    sets = []
+    for _, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    up = list(range(len(docs)))
+    for _ in docs:
+        for i in range(len(docs)):
+            for j in range(i):
+                if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                    up[i] = up[j] = min(up[i], up[j])
+    return [(docs[i][0], len(sets[i]), docs[up[i]][0]) for i in range(len(docs))]
+
+
+@pytest.mark.parametrize("like", [(4, 85, 100), (5, 80, 100)])
+def test_components_at_other_sizes_and_similarities(spark, monkeypatch, like):
+    import corpus_pipeline
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    long = [f"v{i}" for i in range(104)]  # 100 shingles of five words
+    docs = [(i, t) for i, t in near_copies(5, 60)]
+    docs += [(2000, " ".join(long)), (2001, " ".join(long + [f"x{i}" for i in range(25)])), (2002, " ".join(long + [f"y{i}" for i in range(27)])), (2003, " ".join(["z"] * 6 + long[10:]))]
+    made = ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string"), like=ngram_join.Likeness(*like)).collect()
+    told = brute_links(docs, *like)
+    assert sorted(map(tuple, made)) == sorted(told)
+    if like[0] == 5:
+        kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF)
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, c in told if i == c)
+        assert {i: c for i, _, c in told}[2001] == 2000 and {i: c for i, _, c in told}[2002] == 2002
+
+
+def test_linked_sets_of_other_similarity_share_a_signature():
+    rng, like = np.random.default_rng(4), ngram_join.NEAR
+    for _ in range(300):
+        n = int(rng.integers(3, 400))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.append(a[rng.permutation(len(a))[: len(a) - int(rng.integers(0, 0.12 * n + 1))]], rng.integers(0, 2**63, int(rng.integers(0, 0.24 * n + 1))).astype(np.uint64)))
+        common = np.sort(a[rng.random(len(a)) < rng.choice([0, 0.3, 0.9, 1])])
+        both = len(np.intersect1d(a, b))
+        linked = 100 * both >= 80 * (len(a) + len(b) - both)
+        assert (1 in ngram_join.PrefixTree([a, b], like).matches(a)) == linked
+        if linked and not np.array_equal(a, b):
+            assert set(ngram_join.signatures(a, common, like)) & set(ngram_join.signatures(b, common, like))
+
+
 def test_odd_rows_of_the_join(odd, empty):
     made = ngram_join.ngram_components(odd).collect()
     assert sorted((str(r[0]), r[1], str(r[2])) for r in made)[-1] == ("None", 2, "None")
