@@ -98,7 +98,11 @@ class Segmenter:
         total = math.log(sum(weight.values()) or 1)
         self.cost = {w: total - math.log(v) for w, v in weight.items()}
         self.unknown = total + 1
-        self.split = lru_cache(50_000)(self._split)
+        self._kept = lru_cache(50_000)(self._split)
+
+    def split(self, name: str) -> tuple[str, ...]:
+        """The words of the whole name; those of very long ones are not kept."""
+        return self._kept(name) if len(name) <= 256 else self._split(name)
 
     def _split(self, name: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
@@ -140,7 +144,7 @@ class NaiveBayes:
 
 def judge(host: str, path: str, segmenter: Segmenter, bayes: NaiveBayes) -> str:
     tokens = [t for t in re.split(r"[^a-z0-9\x80-\U0010ffff]+", f"{host}/{path.lower()}") if t]
-    return "block" if bayes.score([w for t in tokens for w in segmenter.split(t[:256])]) > 0 else "allow"
+    return "block" if bayes.score([w for t in tokens for w in segmenter.split(t)]) > 0 else "allow"
 
 
 def filter_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -315,6 +315,12 @@ def test_urls(spark):
     assert made[6]["verdict"] == "block" and made[10]["verdict"] == "allow"
 
 
+def test_long_url_tokens_are_judged_whole(spark):
+    rows = [(1, "http://a.net/" + "qz" * 128 + "casinowin" * 4), (2, "http://a.net/" + "casinowin" * 4 + "qz" * 128), (3, "http://a.net/" + "qz" * 600)]
+    made = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), {}).collect()
+    assert {r["page_id"]: r["verdict"] for r in made} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_segmenter_takes_the_best_split():
     split = url_filter.Segmenter({}, set()).split
     assert split("zzz")
