@@ -2,18 +2,20 @@
 
 Host labels are often words run together. A unigram model of words (counts over
 the tokens of all urls, and a fixed word list) splits them by Viterbi, and a
-multinomial naive Bayes model scores the words of host and path.
+multinomial naive Bayes model scores the words of host and path. All counts stay in
+a table: each distinct name is joined to those of its substrings, and split once.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, written
+
 # Labelled examples of host names as words, for the naive Bayes model.
 BLOCK_NAMES = """
 cheap pills; spam farm; casino win; free bets; adult only; ads track; adult video; adult dating; xxx cams; porn tube; sex chat
@@ -36,9 +38,9 @@ team wiki; forum help; support desk; software docs; linux docs; python docs; web
 family stories; short stories; poetry corner; podcast; radio station; newspaper; magazine; economy report
 """.replace("\n", ";").strip("; ")
 
-#: The unigram model keeps this many tokens, the most frequent first: what is sent to the executors is bounded.
-VOCABULARY = 20_000
 MAX_WORD = 24
+#: Scores are summed as whole numbers of this size, so that no order of rows matters.
+UNIT = 1 << 32
 _TOKEN = "[^a-z0-9\\x80-\\x{10ffff}]+"
 
 
@@ -70,20 +72,14 @@ def seed_words() -> list[str]:
     return re.findall(r"[a-z0-9]+", f"{BLOCK_NAMES} {ALLOW_NAMES}")
 
 
-def unigram_counts(urls: DataFrame) -> dict[str, int]:
-    """Counts over the tokens of all urls, the most frequent VOCABULARY of them, and 5 for each word of the fixed list."""
+def unigram_counts(urls: DataFrame) -> DataFrame:
+    """(token, n): counts over the tokens of all urls; tokens that can be no word of the model are left out.
+
+    A token of four letters and more that occurs once is none, unless it is on the fixed list.
+    """
     tokens = urls.select(F.explode(F.split(F.concat_ws("/", "host", ascii_lower(F.col("path"))), _TOKEN)).alias("token"))
-    top = (
-        tokens.where((F.length("token") > 1) & (F.length("token") <= MAX_WORD))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(VOCABULARY)
-    )
-    counts = {r["token"]: r["n"] for r in top.collect()}
-    for w in seed_words():
-        counts[w] = counts.get(w, 0) + 5
-    return counts
+    counts = tokens.where((F.length("token") > 1) & (F.length("token") <= MAX_WORD)).groupBy("token").agg(F.count("*").alias("n"))
+    return counts.where((F.length("token") < 4) | (F.col("n") > 1) | F.col("token").isin(sorted(set(seed_words()))))
 
 
 class Segmenter:
@@ -91,27 +87,24 @@ class Segmenter:
 
     A word that the model lacks costs as one of a probability that falls tenfold per letter; a
     name that another name is made of should not hide its parts, so counts enter by logarithm.
+    ``more`` is the weight of the words that ``split`` is given with each name.
     """
 
-    def __init__(self, counts: dict[str, int], seeds: set[str]):
+    def __init__(self, counts: dict[str, int], seeds: set[str], more: float = 0.0):
         weight = {w: math.log1p(n) + (4 if w in seeds else 0) for w, n in counts.items() if w in seeds or len(w) < 4 or n > 1}
-        total = math.log(sum(weight.values()) or 1)
-        self.cost = {w: total - math.log(v) for w, v in weight.items()}
-        self.unknown = total + 1
-        self._kept = lru_cache(50_000)(self._split)
+        self.total = math.log(math.fsum(weight.values()) + more or 1)
+        self.cost = {w: self.total - math.log(v) for w, v in weight.items()}
+        self.unknown = self.total + 1
 
-    def split(self, name: str) -> tuple[str, ...]:
-        """The words of the whole name; those of very long ones are not kept."""
-        return self._kept(name) if len(name) <= 256 else self._split(name)
-
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str, counts: dict[str, int] | None = None) -> tuple[str, ...]:
+        """The words of the whole name; ``counts`` has those of its substrings that this model lacks."""
+        cost = self.cost | {w: self.total - math.log(math.log1p(n)) for w, n in (counts or {}).items() if w not in self.cost}
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             found = (math.inf, 0)
             for start in range(max(0, end - MAX_WORD), end):
                 word = name[start:end]
-                cost = best[start] + self.cost.get(word, self.unknown + math.log(10) * len(word))
-                found = min(found, (cost, start))
+                found = min(found, (best[start] + cost.get(word, self.unknown + math.log(10) * len(word)), start))
             best.append(found[0])
             back.append(found[1])
         words, end = [], len(name)
@@ -141,10 +134,77 @@ class NaiveBayes:
         """Log odds of block."""
         return self.prior + sum(self.weight.get(w, 0.0) for w in words)
 
+    def units(self, words) -> int:
+        """What the words add to the log odds, in UNITs."""
+        return sum(round(self.weight.get(w, 0.0) * UNIT) for w in words)
+
+
+def url_names(host: str, path: str) -> list[str]:
+    return [t for t in re.split(r"[^a-z0-9\x80-\U0010ffff]+", f"{host}/{path.lower()}") if t]
+
+
+def _named(batches):
+    """(host, path, name) for each name of a url."""
+    import pyarrow as pa
+
+    for batch in slices(batches, 2 << 20):
+        rows = [(h, p, t) for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t in url_names(h, p)]
+        yield pa.record_batch([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["host", "path", "name"])
+
+
+def _substrings(batches):
+    """(key, token) for each distinct substring of a name that may be a word."""
+    import pyarrow as pa
+
+    def made(rows):
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], ["key", "token"])
 
-def judge(host: str, path: str, segmenter: Segmenter, bayes: NaiveBayes) -> str:
-    tokens = [t for t in re.split(r"[^a-z0-9\x80-\U0010ffff]+", f"{host}/{path.lower()}") if t]
-    return "block" if bayes.score([w for t in tokens for w in segmenter.split(t)]) > 0 else "allow"
+    for batch in batches:
+        rows: list[tuple[bytes, str]] = []
+        for key, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows += [(key, t) for t in {name[i : i + k] for i in range(len(name)) for k in range(2, min(MAX_WORD, len(name) - i) + 1)}]
+            if len(rows) > 100_000:
+                yield made(rows)
+                rows = []
+        yield made(rows)
+
+
+def name_scores(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(name, score) of distinct names: the naive Bayes weight of their words, in UNITs."""
+    seeds = seed_words()
+    known = F.col("token").isin(sorted(set(seeds)))
+    fixed = {r["token"]: r["n"] for r in counts.where(known).collect()}
+    for w in seeds:
+        fixed[w] = fixed.get(w, 0) + 5
+    # A sum of whole numbers is the same in any order.
+    whole = counts.where(~known).agg(F.sum(F.round(F.log1p("n") * UNIT).cast("decimal(38,0)")).alias("s")).first()["s"]
+    more = float(whole or 0) / UNIT
+    examples = [[re.findall(r"[a-z0-9]+", n) for n in text.split(";")] for text in (BLOCK_NAMES, ALLOW_NAMES)]
+
+    def score(batches):
+        import pyarrow as pa
+
+        segmenter, bayes = Segmenter(fixed, set(seeds), more), NaiveBayes(*examples)
+        now, name, found = None, None, {}
+        for batch in batches:
+            done = []
+            for key, text, token, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if now is not None:
+                        done.append((name, bayes.units(segmenter.split(name, found))))
+                    now, name, found = key, text, {}
+                else:
+                    found[token] = n
+            yield pa.record_batch([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["name", "score"])
+        if now is not None:
+            yield pa.record_batch([pa.array([name], pa.string()), pa.array([bayes.units(segmenter.split(name, found))], pa.int64())], ["name", "score"])
+
+    keyed = names.select(F.unhex(F.sha2("name", 256)).alias("key"), "name")
+    found = keyed.mapInArrow(_substrings, "key binary, token string").join(counts.where(~known), "token")
+    # The name's own row has no token and comes first.
+    rows = keyed.select("key", "name", F.lit(None).cast("string").alias("token"), F.lit(None).cast("long").alias("n"))
+    rows = rows.unionByName(found.select("key", F.lit(None).cast("string").alias("name"), "token", "n"))
+    return rows.repartition("key").sortWithinPartitions("key", F.col("token").asc_nulls_first()).mapInArrow(score, "name string, score long")
 
 
 def filter_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -160,16 +220,12 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id"
     parts = rows.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_column(rules, F.col("host"), F.col("path"))
     ruled = parts.withColumns({"rule": rule, "ruled": verdict})
-    counts = pages.sparkSession.sparkContext.broadcast(unigram_counts(parts))
-    names = [[re.findall(r"[a-z0-9]+", n) for n in text.split(";")] for text in (BLOCK_NAMES, ALLOW_NAMES)]
-
-    def run(batches):
-        import pyarrow as pa
-
-        segmenter, bayes = Segmenter(counts.value, set(seed_words())), NaiveBayes(*names)
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            made = [ruled or judge(h, p, segmenter, bayes) for h, p, ruled in zip(columns[1], columns[2], columns[4], strict=True)]
-            yield pa.record_batch([*batch.columns[:4], pa.array(made, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
-
-    return ruled.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    counts = written(unigram_counts(parts), "url-counts")
+    open_urls = ruled.where("ruled is null").select("host", "path").distinct()
+    named = written(open_urls.mapInArrow(_named, "host string, path string, name string"), "url-names")
+    scores = written(name_scores(named.select("name").distinct(), counts), "name-scores")
+    prior = round(NaiveBayes(*([re.findall(r"[a-z0-9]+", n) for n in t.split(";")] for t in (BLOCK_NAMES, ALLOW_NAMES))).prior * UNIT)
+    judged = named.join(scores, "name").groupBy("host", "path").agg((F.sum("score") + F.lit(prior) > 0).alias("blocked"))
+    made = ruled.join(judged, ["host", "path"], "left")
+    verdict = F.coalesce("ruled", F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
+    return made.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

@@ -321,6 +321,29 @@ def test_long_url_tokens_are_judged_whole(spark):
     assert {r["page_id"]: r["verdict"] for r in made} == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_urls_are_judged_alike_at_every_size(spark):
+    rows = [(1, "http://a.net/freecasinoprizewin"), (2, "http://b.net/freecasinoprizewin"), (3, "http://c.net/freecasinoprize/win")]
+    many = [(10 + i, f"http://n{i // 3 + 10000}.net/") for i in range(3 * 20_100)]
+    for urls in (rows, rows + many):
+        made = url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), {}).where("page_id < 10").collect()
+        assert {r["page_id"]: r["verdict"] for r in made} == {1: "allow", 2: "allow", 3: "block"}
+
+
+def test_urls_equal_one_model_of_all_counts(spark):
+    rng, parts = random.Random(8), ["casino", "daily", "win", "abc", "zorp", "news", "free", "Ünï", "x1", "prize"]
+    urls = [f"http://{''.join(rng.choices(parts, k=rng.randint(1, 3)))}.net/{''.join(rng.choices(parts, k=rng.randint(0, 4)))}/{rng.choice(parts)}" for _ in range(300)]
+    made = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls + urls[:20])), "page_id long, url string"), {}).collect()
+    lists = [[re.findall(r"[a-z0-9]+", n) for n in t.split(";")] for t in (url_filter.BLOCK_NAMES, url_filter.ALLOW_NAMES)]
+    names = {i: [t for t in re.split(r"[^a-z0-9\x80-\U0010ffff]+", u[7:].translate(LOWER)) if t] for i, u in enumerate(urls + urls[:20])}
+    counts = {w: 5 * url_filter.seed_words().count(w) for w in url_filter.seed_words()}
+    for t in (t for ts in names.values() for t in ts if 1 < len(t) <= 24):
+        counts[t] = counts.get(t, 0) + 1
+    split, bayes = url_filter.Segmenter(counts, set(url_filter.seed_words())).split, url_filter.NaiveBayes(*lists)
+    lowered = {i: url_filter.url_names(r["host"], r["path"]) for i, r in ((r["page_id"], r) for r in made)}
+    told = {i: "block" if bayes.score([w for t in ts for w in split(t)]) > 0 else "allow" for i, ts in lowered.items()}
+    assert len(made) == 320 and {r["page_id"]: r["verdict"] for r in made} == told and set(told.values()) == {"block", "allow"}
+
+
 def test_segmenter_takes_the_best_split():
     split = url_filter.Segmenter({}, set()).split
     assert split("zzz")
