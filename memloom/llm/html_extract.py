@@ -29,11 +29,14 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
 SILENT_TAGS = frozenset("script style noscript template textarea select option iframe object svg math canvas audio video noframes head".split())
+#: What may stand in a head; any other opening tag, and text, ends it.
+HEAD_TAGS = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 #: An opening tag of these ends an open paragraph, and one of the same kind an open item.
 ENDS_PARAGRAPH = BLOCK_TAGS - {"button", "option", "title", "body", "html"}
 SELF_CLOSING = frozenset("li dt dd tr td th option".split())
 
 SPACE = re.compile(r"\s+")
+_MARKED = re.compile(r"<!\[(?:cdata|temp|ignore|include|rcdata)\s*\[", re.I)
 
 
 class Block:
@@ -59,15 +62,33 @@ class _Blocks(HTMLParser):
                 self.blocks.append(Block(text, self.linked, tuple(x for x in self.open if x[0] in BLOCK_TAGS or x[1])))
             self.parts, self.linked = [], 0
 
+    def parse_marked_section(self, i, report=1):
+        """Sections run to their ``]]>``; any other ``<![`` is a comment up to ``>``."""
+        end = super().parse_marked_section(i, report) if _MARKED.match(self.rawdata, i) else -1
+        return end if end >= 0 else self.parse_bogus_comment(i, report)
+
+    def _end_head(self) -> None:
+        """A head that was never closed ends here, and what is open inside it."""
+        for k, (name, _) in enumerate(self.open):
+            if name == "head":
+                for t, _ in self.open[k:]:
+                    self.silent -= t in SILENT_TAGS
+                del self.open[k:]
+                self.in_link = any(t == "a" for t, _ in self.open)
+                return
+
     def handle_starttag(self, tag, attrs):
+        # In a script, noscript or template of the head the head goes on.
+        if self.silent and (tag in ("body", "article", "main") or self.silent == 1 and tag not in HEAD_TAGS):
+            self._end_head()
+        if tag == "head" and any(t == "head" for t, _ in self.open):
+            return
         if tag in VOID_TAGS:
             if tag == "hr":
                 self.flush()
             elif tag == "br":
                 self.parts.append(" ")
             return
-        if tag in ("body", "article", "main") and self.silent:  # a head that was never closed
-            self._close("head")
         if tag in BLOCK_TAGS:
             self.flush()
             if tag in ENDS_PARAGRAPH and any(t == "p" for t, _ in self.open):
@@ -86,7 +107,10 @@ class _Blocks(HTMLParser):
             return
         if tag in BLOCK_TAGS:
             self.flush()
-        self._close(tag)
+        if tag == "head":
+            self._end_head()
+        else:
+            self._close(tag)
 
     def _close(self, tag: str) -> None:
         """Close the innermost open element of this name, and what is open inside it."""
@@ -104,6 +128,8 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.silent == 1 and self.open[-1][0] == "head" and data.strip():
+            self._end_head()
         if not self.silent:
             self.parts.append(data)
             if self.in_link:
@@ -112,11 +138,8 @@ class _Blocks(HTMLParser):
 
 def leaf_blocks(html: str) -> list[Block]:
     parser = _Blocks()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # the parser's way of giving up on broken declarations
-        pass
+    parser.feed(html)
+    parser.close()
     parser.flush()
     return parser.blocks
 

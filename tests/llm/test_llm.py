@@ -155,6 +155,28 @@ def test_odd_pages(spark):
     assert made.count() == len(rows) and made.where("page_id < 3 and text = ''").count() == 2
 
 
+@pytest.mark.parametrize(
+    ("page", "told"),
+    [
+        ("<p>a</p><![foo[x]]><p>b</p>", ["a", "b"]),
+        ("<p>a</p><![-- x --><p>b</p>", ["a", "b"]),
+        ("<p>a</p><![><p>b</p><![ 1]>c", ["a", "b", "c"]),
+        ("<p>a</p><![if !IE]><p>b</p><![endif]><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><![endif><p>b</p><![endif]><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><![CDATA[x > y]]><p>b</p>", ["a", "b"]),
+        ("<p>a</p><![CDATA[x><p>b</p>", ["a", "b"]),
+        ("<head><title>t</title><div>a</div><p>b", ["a", "b"]),
+        ("<html><head><title>t</title><meta name=x>a<p>b", ["a", "b"]),
+        ("<head><title>t</title><img src=x>a", ["a"]),
+        ("<head><title>t</head><body><p>a", ["a"]),
+        ("<head><head><title>t</title></head><p>a", ["a"]),
+        ("<head><noscript><img src=x><p>n</p></noscript><script>if (a<b) x</script><style>p {}</style><title>t</title></head><p>a", ["a"]),
+    ],
+)
+def test_broken_pages_are_read_to_the_end(page, told):
+    assert [b.text for b in html_extract.leaf_blocks(page)] == told
+
+
 # Chat
 
 
