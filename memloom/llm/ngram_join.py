@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_rows, written
-from .components import components
+from .components import Forest, components, pointers
 
 
 class Likeness(NamedTuple):
@@ -228,14 +228,14 @@ def _signed(batches, common: np.ndarray, like: Likeness):
 
 
 def _ties(batches):
-    """Ties of a sorted partition: each run of one signature to its first text, and those made before."""
+    """Ties of a sorted partition as stars: each run of one signature to its first text, and those made before."""
     import pyarrow as pa
 
-    last_key, last_first = None, 0
+    forest, last_key, last_first = Forest(), None, 0
     for batch in batches:
         old = batch.filter(batch.column("first").is_valid())
         rows = batch.filter(batch.column("first").is_null())
-        pairs = [np.stack([old.column("id").to_numpy(), old.column("first").to_numpy(zero_copy_only=False)], 1)]
+        forest.add(old.column("id").to_numpy(), old.column("first").to_numpy(zero_copy_only=False).astype(np.int64))
         key, doc = rows.column("key").to_numpy(), rows.column("id").to_numpy()
         if len(key):
             new = np.ones(len(key), bool)
@@ -243,10 +243,9 @@ def _ties(batches):
             new[0] = last_key is None or key[0] != last_key
             start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
             first = np.where(start >= 0, doc[start], last_first)
-            pairs.append(np.stack([doc, first], 1)[doc != first])
+            forest.add(doc[doc != first], first[doc != first])
             last_key, last_first = key[-1], first[-1]
-        tie = np.unique(np.concatenate(pairs), axis=0)
-        yield pa.record_batch([pa.array(tie[:, 0].astype(np.int64)), pa.array(tie[:, 1].astype(np.int64))], ["a", "b"])
+    yield pa.record_batch([pa.array(x) for x in forest.stars()], ["a", "b"])
 
 
 def _within(size_a: int, size_b: np.ndarray, overlap: np.ndarray, like: Likeness) -> np.ndarray:
@@ -392,27 +391,28 @@ def link_block(sets: list[np.ndarray], like: Likeness, asked: list[bool] | None
 
 
 def _link_rows(batches, like: Likeness):
-    """Links of the blocks of a partition, whose rows are sorted by block; pivots and asked sets first."""
+    """Links of the blocks of a partition, whose rows are sorted by block; pivots and asked sets first.
+
+    A block's links come as stars, each text with the least of its component in the block.
+    """
     import pyarrow as pa
 
-    def close():
-        texts = pa.array([r[1] for r in held], pa.string())
-        sets, ids = shingle_sets(texts, like.size), [r[0] for r in held]
+    def close(held):
+        sets, ids = shingle_sets(pa.array([r[1] for r in held], pa.string()), like.size), [r[0] for r in held]
         asked = [r[2] for r in held] if any(r[2] for r in held) else None
         known = [r[3] for r in held] if asked else None
-        return [(ids[i], ids[j]) for i, j in link_block(sets, like, asked, known)]
+        links = link_block(sets, like, asked, known)
+        forest.add(np.array([ids[i] for i, _ in links], np.int64), np.array([ids[j] for _, j in links], np.int64))
 
-    now, held, made = None, [], []
+    forest, now, held = Forest(), None, []
     for batch in slices(batches, 8 << 20):
         for *block, i, text, asked, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if block != now:
-                made += close()
+                close(held)
                 now, held = block, []
             held.append((i, text, asked, known))
-        yield pa.record_batch([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.int64())], ["a", "b"])
-        made = []
-    made = close()
-    yield pa.record_batch([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.int64())], ["a", "b"])
+    close(held)
+    yield pa.record_batch([pa.array(x) for x in forest.stars()], ["a", "b"])
 
 
 def _blocks_linked(rows: DataFrame, like: Likeness) -> DataFrame:
@@ -449,58 +449,81 @@ def _split_by_rarest(members: DataFrame, like: Likeness) -> DataFrame:
     # Of n shingles, n - many are this text's own; overlap of at least ceil(similarity * n) is needed.
     first = ranked.where(F.col("rank") + F.col("n") - F.col("many") <= F.col("n") - F.ceil(F.col("n") * like.num / like.den) + 1)
     keys = first.select(F.xxhash64("family", "shingle").alias("key"), "id", F.lit(None).cast("long").alias("first"))
-    ties = keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long").distinct()
-    return components(ties).select("id", F.col("component").alias("family"))
+    return components(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long")).select("id", F.col("component").alias("family"))
 
 
-def _with_blocks(members: DataFrame) -> DataFrame:
+def _large(members: DataFrame) -> DataFrame:
+    """(family, blocks) of the families that take more than one block.
+
+    It is written, so that joins with it have two plain shuffles and a family of very many members can be split.
+    """
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
-    return members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family")
+    return written(members.groupBy("family").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
 
 
-def jaccard_links(texts: DataFrame, profiles: DataFrame, like: Likeness) -> DataFrame:
-    """Links ``a, b`` that span the components of all links between different sets.
+def _one_block(rows: DataFrame, like: Likeness) -> DataFrame:
+    """Links of families of one block each, from ``family, id, text``."""
+    return _blocks_linked(rows.select("family", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "text", F.lit(False).alias("asked"), F.col("id").alias("known")), like)
 
-    ``texts`` has id and text, ``profiles`` id, n_shingles and digest.
-    """
-    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, profiles, like.size))
-    rows = texts.mapInArrow(_signature_rows(common, like), "key long, id long, first long")
-    ties = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long").distinct()
-    families = components(ties).select("id", F.col("component").alias("family"))
-    sized = families.join(profiles.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
-    named = written(texts.join(_with_blocks(sized), "id"), "family-texts")
-    again = _split_by_rarest(named.where("blocks > 1"), like)
-    small = named.where("blocks = 1").select("id", "n", "family")
-    anew = named.where("blocks > 1").select("id", "n").distinct().join(again, "id")
-    members = _with_blocks(small.distinct().unionByName(anew))
-    members = written(members.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
-    pivots = members.where("id = family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = members.where("id <> family").unionByName(pivots)
-    named = named.select("id", "text")
-    inside = named.join(placed, "id").select(
-        "family", "i", F.lit(0).alias("j"), "id", "text", F.lit(False).alias("asked"), F.col("id").alias("known")
-    )
+
+def _large_links(named: DataFrame, like: Likeness) -> DataFrame:
+    """Links of families ``family, id, text, n`` that take several blocks: split by rarest shingles, then blocks."""
+    again = _split_by_rarest(named, like)
+    members = written(again.join(named.groupBy("id").agg(F.max("n").alias("n")), "id"), "members")
+    members = members.join(_large(members), "family", "left")
+    texts = named.select("id", "text")
+    small = _one_block(texts.join(members.where("blocks is null"), "id"), like)
+    split = written(members.where("blocks is not null").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "split")
+    if split.isEmpty():
+        return small
+    pivots = split.where("id = family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = split.where("id <> family").unionByName(pivots)
+    inside = texts.join(placed, "id").select("family", "i", F.lit(0).alias("j"), "id", "text", F.lit(False).alias("asked"), F.col("id").alias("known"))
     links = written(_blocks_linked(inside, like), "links")
 
     # Blocks of one family whose links leave them apart: all outside its largest component meet every block.
-    split = members.where("blocks > 1")
-    if split.isEmpty():
-        return links
-    label = split.join(components(links).withColumnRenamed("component", "known"), "id", "left").withColumn("known", F.coalesce("known", "id"))
+    label = split.join(pointers(links).withColumnRenamed("component", "known"), "id", "left").withColumn("known", F.coalesce("known", "id"))
     label = written(label, "labels")
     parts = label.groupBy("family", "known").agg(F.count("*").alias("n"))
-    main = parts.groupBy("family").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count("*").alias("parts"))
-    apart = label.join(main.where("parts > 1"), "family").withColumn("outside", F.col("known") != F.col("main"))
-    count = apart.groupBy("family").agg(F.ceil(F.sum(F.col("outside").cast("int")) / F.lit(BLOCK)).cast("int").alias("groups"))
-    apart = written(apart.join(count, "family").withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int")), "apart")
-    if apart.isEmpty():
-        return links
+    main = parts.groupBy("family").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    # Those outside number n - most, and meet in so many groups.
+    main = written(main.where("parts > 1").select("family", "main", F.ceil((F.col("n") - F.col("most")) / F.lit(BLOCK)).cast("int").alias("groups")), "main")
+    apart = label.join(main, "family").withColumns({"outside": F.col("known") != F.col("main"), "g": F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int")})
     asked = apart.where("outside").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "j": F.col("g"), "asked": F.lit(True)})
     others = apart.withColumns({"j": F.explode(F.sequence(F.lit(0), F.col("groups") - 1)), "asked": F.lit(False)})
     others = others.where("not (outside and j = g)")
     columns = ["family", "i", "j", "id", "asked", "known"]
-    met = named.join(asked.select(columns).unionByName(others.select(columns)), "id").select("family", "i", "j", "id", "text", "asked", "known")
-    return links.unionByName(written(_blocks_linked(met, like), "links"))
+    met = texts.join(asked.select(columns).unionByName(others.select(columns)), "id").select("family", "i", "j", "id", "text", "asked", "known")
+    return small.unionByName(links).unionByName(_blocks_linked(met, like))
+
+
+def jaccard_links(texts: DataFrame, profiles: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """Links ``a, b`` that span the components of all links between different sets.
+
+    ``texts`` has id and text, ``profiles`` id, n_shingles and digest, ``sets`` id, n_shingles and the
+    ``first`` id that has the same set, which alone is compared.
+    """
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, profiles, like.size))
+    rows = texts.mapInArrow(_signature_rows(common, like), "key long, id long, first long")
+    families = components(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long"))
+    firsts = families.join(sets, "id").groupBy(F.col("first").alias("id")).agg(F.min("component").alias("family"), F.max("n_shingles").alias("n"))
+    members = written(firsts, "members")
+    large = _large(members)
+    named = written(texts.join(members.join(large, "family", "left"), "id"), "family-texts")
+    links = written(_one_block(named.where("blocks is null"), like), "links")
+    return links if large.isEmpty() else links.unionByName(written(_large_links(named.where("blocks is not null").drop("blocks"), like), "links"))
+
+
+def _joined(texts: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """Profiles (id, n_shingles, digest) of all rows, and (id, component) of ids that aren't the least of theirs."""
+    like = like.checked()
+    profiles = written(texts.mapInArrow(lambda batches: _profiles(batches, like.size), "id long, n_shingles long, digest binary"), "profiles")
+    named = profiles.where("id is not null and digest is not null")
+    first = written(named.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    sets = named.join(first, "digest", "left").select("id", "n_shingles", F.coalesce("first", "id").alias("first"))
+    sets = written(sets, "sets")
+    copies = sets.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    return profiles, pointers(jaccard_links(texts, profiles, sets, like).unionByName(copies))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = JOIN) -> DataFrame:
@@ -510,19 +533,41 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     than a shingle are one shingle each. A null id links with nothing and its component is null. Rows that
     repeat an id are texts of one document: each has its own n_shingles, and they share the component.
     """
-    like = like.checked()
-    texts = text_rows(docs, id_col, text_col)
-    profiles = written(texts.mapInArrow(lambda batches: _profiles(batches, like.size), "id long, n_shingles long, digest binary"), "profiles")
-    sets = profiles.where("id is not null and digest is not null")
-    first = written(sets.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
-    copies = sets.join(first, "digest").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    found = components(jaccard_links(texts, profiles, like).unionByName(copies))
+    profiles, found = _joined(text_rows(docs, id_col, text_col), like)
     joined = profiles.join(found, "id", "left")
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = NEAR) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document is the least of its component."""
-    found = ngram_components(docs, id_col, text_col, like)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns, whose document is the least of its component.
+
+    Texts without words stay. Rows that repeat an id are one document: of those with equal sets of
+    shingles one stays, the others' different texts all stay with it. A row without an id stays unless
+    a document or another such row has its set, of which one stays; it is not compared otherwise.
+    """
+    profiles, found = _joined(text_rows(docs, id_col, text_col), like)
+    gone = found.select(F.col("id").alias(id_col))
+    left = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    again = written(profiles.where("digest is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "again")
+    if again.isEmpty():
+        return left
+    known = profiles.where("id is not null and digest is not null").select("digest").distinct()
+    repeats = left.join(again, left[id_col].eqNullSafe(again["id"]), "left_semi")
+    others = left.join(again, left[id_col].eqNullSafe(again["id"]), "left_anti")
+    size, kind = like.size, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `set digest` binary"
+    at = docs.columns.index(text_col)
+
+    def with_digest(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in slices(batches, 8 << 20):
+            sets = shingle_sets(pc.fill_null(batch.column(at).cast(pa.string()), ""), size)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, "set digest"])
+
+    marked = repeats.mapInArrow(with_digest, kind)
+    blank = marked.where(F.col("set digest").isNull())
+    named = marked.where(F.col(id_col).isNotNull() & F.col("set digest").isNotNull()).dropDuplicates([id_col, "set digest"])
+    nameless = marked.where(F.col(id_col).isNull() & F.col("set digest").isNotNull()).dropDuplicates(["set digest"])
+    nameless = nameless.join(known.withColumnRenamed("digest", "set digest"), "set digest", "left_anti").select(marked.columns)
+    return others.unionByName(blank.unionByName(named).unionByName(nameless).drop("set digest"))

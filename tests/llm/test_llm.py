@@ -212,12 +212,12 @@ def brute_components(docs):
     for _, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
         sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
-    up = list(range(len(docs)))
-    for _ in docs:
-        for i in range(len(docs)):
-            for j in range(i):
-                if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
-                    up[i] = up[j] = min(up[i], up[j])
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    up, before = list(range(len(docs))), None
+    while up != before:
+        before = list(up)
+        for i, j in links:
+            up[i] = up[j] = min(up[i], up[j])
     return [(docs[i][0], len(sets[i]), docs[up[i]][0]) for i in range(len(docs))]
 
 
@@ -269,12 +269,12 @@ def brute_links(docs, size, num, den):
     for _, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER))
         sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
-    up = list(range(len(docs)))
-    for _ in docs:
-        for i in range(len(docs)):
-            for j in range(i):
-                if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
-                    up[i] = up[j] = min(up[i], up[j])
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+    up, before = list(range(len(docs))), None
+    while up != before:
+        before = list(up)
+        for i, j in links:
+            up[i] = up[j] = min(up[i], up[j])
     return [(docs[i][0], len(sets[i]), docs[up[i]][0]) for i in range(len(docs))]
 
 
@@ -314,7 +314,16 @@ def test_odd_rows_of_the_join(odd, empty):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in made)[-1] == ("None", 2, "None")
     assert {r[0]: r[2] for r in made}[6] == 4
     assert ngram_join.ngram_components(empty).count() == 0
-    assert ngram_join.keep_first(odd).count() == len(ODD) - 1
+    # Blank texts stay; one row of a repeated id; no row of the null id, whose set a document has.
+    assert sorted(r["doc_id"] for r in ngram_join.keep_first(odd).collect()) == [1, 2, 3, 4, 5]
+    assert ngram_join.keep_first(empty).columns == empty.columns and ngram_join.keep_first(empty).count() == 0
+
+
+def test_repeated_and_null_ids_keep_one_row(spark):
+    same, other = "one two three four five six", "a b c d e f g"
+    rows = [(1, same, "p"), (1, same, "q"), (1, other, "r"), (None, "x y z", "s"), (None, "X y z", "t"), (None, same, "u"), (None, None, "v"), (None, "", "w")]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string, digest string")).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in kept) == [("1", other), ("1", same), ("None", ""), ("None", ""), ("None", "x y z")]
 
 
 def test_components(spark):
@@ -323,6 +332,19 @@ def test_components(spark):
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_union_find(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(600), rng.randrange(600)) for _ in range(400)] + [(7, 7), (None, 3)] + [(0, i) for i in range(0, 600, 9)]
+    up = {i: i for e in edges for i in e if None not in e and e[0] != e[1]}
+    for _ in range(40):
+        for a, b in edges:
+            if a in up and b in up and a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    assert {r["id"]: r["component"] for r in components.components(frame).collect()} == up
+
+
 # URLs
 
 
