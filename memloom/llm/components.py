@@ -73,7 +73,7 @@ def _met(batches):
     yield pa.record_batch([pa.array(u), pa.array(v), pa.array(~np.isin(u, own))], ["u", "v", "extra"])
 
 
-def pointers(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def pointers(edges: DataFrame, most_rounds: int = 60, contract: bool = True) -> DataFrame:
     """(id, component) of every node of the edges ``a, b`` but the least of each component.
 
     A round contracts the edges inside the tasks, deals them by their larger node and contracts again;
@@ -81,12 +81,15 @@ def pointers(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     from leaves to the least node, so they are dealt evenly however many a node has, and the jump is a
     plain join whose hot nodes Spark can split. The rounds end once nothing was left to contract or
     jump; without nodes that have several pointers a round only jumps. Each round is written to the shared folder.
+    ``contract=False`` leaves out the first contraction, for edges that are dealt so that tasks hold few of a component's.
     """
     now, single = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False
     for _ in range(most_rounds):
         if not single:
-            dealt = now.select("u", "v").mapInArrow(contracted, "u long, v long").repartition("u")
-            now = written(dealt.mapInArrow(_met, "u long, v long, extra boolean"), "stars")
+            ends = now.select("u", "v")
+            ends = ends.mapInArrow(contracted, "u long, v long") if contract else ends
+            contract = True
+            now = written(ends.repartition("u").mapInArrow(_met, "u long, v long, extra boolean"), "stars")
         up = now.where("not extra").select(F.col("u").alias("v"), F.col("v").alias("top"))
         jumped = now.join(up, "v", "left").select("u", F.coalesce("top", "v").alias("v"), "extra", F.col("top").isNotNull().alias("moved"))
         now = written(jumped, "jumped")
@@ -97,10 +100,10 @@ def pointers(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no components after {most_rounds} rounds")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, contract: bool = True) -> DataFrame:
     """(id, component) of every node of the edges ``a, b``: the least node reachable.
 
     Edges with a null end are passed over, repeated edges and loops change nothing.
     """
-    found = pointers(edges, most_rounds)
+    found = pointers(edges, most_rounds, contract)
     return found.union(found.select(F.col("component").alias("id"), "component").distinct())

@@ -228,14 +228,14 @@ def _signed(batches, common: np.ndarray, like: Likeness):
 
 
 def _ties(batches):
-    """Ties of a sorted partition as stars: each run of one signature to its first text, and those made before."""
+    """Ties of a sorted partition: each run of one signature to its first text, and those made before."""
     import pyarrow as pa
 
-    forest, last_key, last_first = Forest(), None, 0
+    last_key, last_first = None, 0
     for batch in batches:
         old = batch.filter(batch.column("first").is_valid())
         rows = batch.filter(batch.column("first").is_null())
-        forest.add(old.column("id").to_numpy(), old.column("first").to_numpy(zero_copy_only=False).astype(np.int64))
+        pairs = [np.stack([old.column("id").to_numpy(), old.column("first").to_numpy(zero_copy_only=False)], 1)]
         key, doc = rows.column("key").to_numpy(), rows.column("id").to_numpy()
         if len(key):
             new = np.ones(len(key), bool)
@@ -243,9 +243,10 @@ def _ties(batches):
             new[0] = last_key is None or key[0] != last_key
             start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
             first = np.where(start >= 0, doc[start], last_first)
-            forest.add(doc[doc != first], first[doc != first])
+            pairs.append(np.stack([doc, first], 1)[doc != first])
             last_key, last_first = key[-1], first[-1]
-    yield pa.record_batch([pa.array(x) for x in forest.stars()], ["a", "b"])
+        tie = np.unique(np.concatenate(pairs), axis=0).astype(np.int64)
+        yield pa.record_batch([pa.array(tie[:, 0]), pa.array(tie[:, 1])], ["a", "b"])
 
 
 def _within(size_a: int, size_b: np.ndarray, overlap: np.ndarray, like: Likeness) -> np.ndarray:
@@ -449,7 +450,7 @@ def _split_by_rarest(members: DataFrame, like: Likeness) -> DataFrame:
     # Of n shingles, n - many are this text's own; overlap of at least ceil(similarity * n) is needed.
     first = ranked.where(F.col("rank") + F.col("n") - F.col("many") <= F.col("n") - F.ceil(F.col("n") * like.num / like.den) + 1)
     keys = first.select(F.xxhash64("family", "shingle").alias("key"), "id", F.lit(None).cast("long").alias("first"))
-    return components(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long")).select("id", F.col("component").alias("family"))
+    return components(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long"), contract=False).select("id", F.col("component").alias("family"))
 
 
 def _large(members: DataFrame) -> DataFrame:
@@ -505,7 +506,7 @@ def jaccard_links(texts: DataFrame, profiles: DataFrame, sets: DataFrame, like:
     """
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, profiles, like.size))
     rows = texts.mapInArrow(_signature_rows(common, like), "key long, id long, first long")
-    families = components(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long"))
+    families = components(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_ties, "a long, b long"), contract=False)
     firsts = families.join(sets, "id").groupBy(F.col("first").alias("id")).agg(F.min("component").alias("family"), F.max("n_shingles").alias("n"))
     members = written(firsts, "members")
     large = _large(members)
