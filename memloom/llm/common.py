@@ -58,7 +58,7 @@ def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def slices(batches, limit: int = 16 << 20):
+def slices(batches, limit: int = 4 << 20):
     """The batches, cut so that no part holds much more than ``limit`` bytes unless one row does."""
     for batch in batches:
         rows = max(1, batch.num_rows * limit // max(batch.nbytes, 1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Edges that a task gathers before it contracts them.
-HELD_EDGES = 1 << 20
+HELD_EDGES = 1 << 18
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

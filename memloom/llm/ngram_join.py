@@ -163,7 +163,7 @@ def _profiles(batches, size: int):
     """(id, number of shingles, digest of the set) of each row."""
     import pyarrow as pa
 
-    for batch in slices(batches, 8 << 20):
+    for batch in slices(batches):
         sets = shingle_sets(batch.column(1), size)
         n = pa.array([len(s) for s in sets], pa.int64())
         digest = pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())
@@ -174,7 +174,7 @@ def _sampled_shingles(batches, size: int):
     """(shingle, number of texts of a slice that have it)."""
     import pyarrow as pa
 
-    for batch in slices(batches, 8 << 20):
+    for batch in slices(batches):
         made = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column(0), size)])
         shingle, n = np.unique(made, return_counts=True)
         yield pa.record_batch([pa.array(shingle.view(np.int64)), pa.array(n)], ["shingle", "n"])
@@ -206,7 +206,7 @@ def _signed(batches, common: np.ndarray, like: Likeness):
     import pyarrow as pa
 
     met: set[bytes] = set()
-    for batch in slices(batches, 8 << 20):
+    for batch in slices(batches, 2 << 20):
         keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, made in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), like.size), strict=True):
             if i is None or not len(made) or (d := _digest(made)) in met:
@@ -224,7 +224,9 @@ def _signed(batches, common: np.ndarray, like: Likeness):
         tie = np.unique(np.stack([doc, first], 1)[doc != first], axis=0)
         column = lambda x, y: pa.array(np.concatenate((x, y)))
         firsts = pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(tie[:, 1])])
-        yield pa.record_batch([column(key[new].view(np.int64), tie[:, 0]), column(doc[new], tie[:, 0]), firsts], ["key", "id", "first"])
+        made = pa.record_batch([column(key[new].view(np.int64), tie[:, 0]), column(doc[new], tie[:, 0]), firsts], ["key", "id", "first"])
+        for i in range(0, made.num_rows, 50_000):
+            yield made.slice(i, 50_000)
 
 
 def _ties(batches):
@@ -406,7 +408,7 @@ def _link_rows(batches, like: Likeness):
         forest.add(np.array([ids[i] for i, _ in links], np.int64), np.array([ids[j] for _, j in links], np.int64))
 
     forest, now, held = Forest(), None, []
-    for batch in slices(batches, 8 << 20):
+    for batch in slices(batches):
         for *block, i, text, asked, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if block != now:
                 close(held)
@@ -562,7 +564,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches):
             sets = shingle_sets(pc.fill_null(batch.column(at).cast(pa.string()), ""), size)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, "set digest"])
 
