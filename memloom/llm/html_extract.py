@@ -27,39 +27,48 @@ BLOCK_TAGS = frozenset(
     "title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-SILENT_TAGS = frozenset("script style noscript template textarea select option iframe object svg math canvas audio video noframes head".split())
+#: Scripts and what stands in for them, styles, the fields of forms, and what a browser shows as another page or not at all.
+SILENT_TAGS = frozenset("script style noscript template textarea select option iframe noframes head".split())
 #: What may stand in a head; any other opening tag, and text, ends it.
 HEAD_TAGS = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 #: An opening tag of these ends an open paragraph, and one of the same kind an open item.
 ENDS_PARAGRAPH = BLOCK_TAGS - {"button", "option", "title", "body", "html"}
 SELF_CLOSING = frozenset("li dt dd tr td th option".split())
+#: An end tag of a paragraph or item doesn't reach out of these.
+BARRIERS = frozenset("article body div main section td aside footer nav form".split())
 
 SPACE = re.compile(r"\s+")
 _MARKED = re.compile(r"<!\[(?:cdata|temp|ignore|include|rcdata)\s*\[", re.I)
 
 
 class Block:
-    __slots__ = ("after_heading", "link_chars", "path", "text")
+    """A run of text, its characters in links, and the features of its ancestors."""
 
-    def __init__(self, text: str, link_chars: int, path: tuple):
-        self.text, self.link_chars, self.path = text, link_chars, path
+    __slots__ = ("link_chars", "place", "text")
+
+    def __init__(self, text: str, link_chars: int, place: tuple[str, ...]):
+        self.text, self.link_chars, self.place = text, link_chars, place
 
 
 class _Blocks(HTMLParser):
+    """Open elements are a stack; where each tag, block and barrier stands in it is kept, so no step walks the stack."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str]] = []
+        self.open: list[str] = []
+        #: Features of each open element's ancestors and itself; elements that add none share their parent's.
+        self.places: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+        self.at: dict[str, list[int]] = {}
+        self.block_at, self.barrier_at = [-1], [-1]
         self.parts: list[str] = []
         self.linked = self.silent = 0
-        self.in_link = False
         self.blocks: list[Block] = []
 
     def flush(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append(Block(text, self.linked, tuple(x for x in self.open if x[0] in BLOCK_TAGS or x[1])))
+                self.blocks.append(Block(text, self.linked, _place(*self.places[-1])))
             self.parts, self.linked = [], 0
 
     def parse_marked_section(self, i, report=1):
@@ -67,21 +76,42 @@ class _Blocks(HTMLParser):
         end = super().parse_marked_section(i, report) if _MARKED.match(self.rawdata, i) else -1
         return end if end >= 0 else self.parse_bogus_comment(i, report)
 
+    def _push(self, tag: str, named: str) -> None:
+        here = len(self.open)
+        leaf, found = self.places[-1]
+        if tag in BLOCK_TAGS or named:
+            more = _own_features(tag, named) - found
+            leaf, found = tag if tag in BLOCK_TAGS else leaf, found | more if more else found
+        self.open.append(tag)
+        self.places.append((leaf, found))
+        self.at.setdefault(tag, []).append(here)
+        if tag in BLOCK_TAGS:
+            self.block_at.append(here)
+        if tag in BARRIERS:
+            self.barrier_at.append(here)
+        self.silent += tag in SILENT_TAGS
+
+    def _pop_to(self, depth: int) -> None:
+        while len(self.open) > depth:
+            tag = self.open.pop()
+            self.places.pop()
+            self.at[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.block_at.pop()
+            if tag in BARRIERS:
+                self.barrier_at.pop()
+            self.silent -= tag in SILENT_TAGS
+
     def _end_head(self) -> None:
         """A head that was never closed ends here, and what is open inside it."""
-        for k, (name, _) in enumerate(self.open):
-            if name == "head":
-                for t, _ in self.open[k:]:
-                    self.silent -= t in SILENT_TAGS
-                del self.open[k:]
-                self.in_link = any(t == "a" for t, _ in self.open)
-                return
+        if self.at.get("head"):
+            self._pop_to(self.at["head"][0])
 
     def handle_starttag(self, tag, attrs):
         # In a script, noscript or template of the head the head goes on.
         if self.silent and (tag in ("body", "article", "main") or self.silent == 1 and tag not in HEAD_TAGS):
             self._end_head()
-        if tag == "head" and any(t == "head" for t, _ in self.open):
+        if tag == "head" and self.at.get("head"):
             return
         if tag in VOID_TAGS:
             if tag == "hr":
@@ -91,14 +121,11 @@ class _Blocks(HTMLParser):
             return
         if tag in BLOCK_TAGS:
             self.flush()
-            if tag in ENDS_PARAGRAPH and any(t == "p" for t, _ in self.open):
+            if tag in ENDS_PARAGRAPH and self.at.get("p"):
                 self._close("p")
-            if tag in SELF_CLOSING and self.open and self.open[-1][0] == tag:
+            if tag in SELF_CLOSING and self.open and self.open[-1] == tag:
                 self._close(tag)
-        named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
-        self.open.append((tag, named))
-        self.silent += tag in SILENT_TAGS
-        self.in_link = self.in_link or tag == "a"
+        self._push(tag, " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower())
 
     def handle_endtag(self, tag):
         if tag in VOID_TAGS:
@@ -114,25 +141,18 @@ class _Blocks(HTMLParser):
 
     def _close(self, tag: str) -> None:
         """Close the innermost open element of this name, and what is open inside it."""
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                for t, _ in self.open[k:]:
-                    self.silent -= t in SILENT_TAGS
-                del self.open[k:]
-                self.in_link = any(t == "a" for t, _ in self.open)
-                return
-            if tag not in BLOCK_TAGS and name in BLOCK_TAGS:
-                return  # an inline end tag doesn't reach out of its block
-            if tag in ("p", "li") and name in ("article", "body", "div", "main", "section", "td", "aside", "footer", "nav", "form"):
-                return
+        where = self.at.get(tag)
+        # An inline end tag doesn't reach out of its block, one of a paragraph or item not out of its part of the page.
+        if not where or tag not in BLOCK_TAGS and self.block_at[-1] > where[-1] or tag in ("p", "li") and self.barrier_at[-1] > where[-1]:
+            return
+        self._pop_to(where[-1])
 
     def handle_data(self, data):
-        if self.silent == 1 and self.open[-1][0] == "head" and data.strip():
+        if self.silent == 1 and self.open[-1] == "head" and data.strip():
             self._end_head()
         if not self.silent:
             self.parts.append(data)
-            if self.in_link:
+            if self.at.get("a"):
                 self.linked += len(data)
 
 
@@ -154,17 +174,20 @@ _CUE = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.!?…»\"”)]$")
 
 
-@lru_cache(100_000)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    found = {f"leaf={path[-1][0]}"} if path else set()
-    for tag, named in path:
-        if tag not in ("html", "body"):
-            found.add(f"in={tag}")
-        for word in _CUE.findall(named):
-            for cue in (word, word.rstrip("s")):
-                if cue in CUES:
-                    found.add(f"name={cue}")
-    return tuple(sorted(found))
+@lru_cache(10_000)
+def _own_features(tag: str, named: str) -> frozenset[str]:
+    """What an element says of the text inside it; there are a bounded number of such features."""
+    found = {f"in={tag}"} if tag in BLOCK_TAGS and tag not in ("html", "body") else set()
+    for word in _CUE.findall(named):
+        for cue in (word, word.rstrip("s")):
+            if cue in CUES:
+                found.add(f"name={cue}")
+    return frozenset(found)
+
+
+@lru_cache(10_000)
+def _place(leaf: str, found: frozenset[str]) -> tuple[str, ...]:
+    return tuple(sorted([f"leaf={leaf}", *found]))
 
 
 def block_features(block: Block) -> tuple[str, ...]:
@@ -172,7 +195,7 @@ def block_features(block: Block) -> tuple[str, ...]:
     words = text.count(" ") + 1
     share = block.link_chars / max(1, len(text))
     return (
-        *_path_features(block.path),
+        *block.place,
         f"words={min(7, words.bit_length())}",
         f"links={min(4, int(share * 4))}",
         "ends" if _SENTENCE.search(text) else "open",
@@ -405,7 +428,10 @@ def extract(pages: DataFrame, field: Field | None = None, id_col: str = "page_id
     """Per row: page_id, url, text (empty if there is none) and n_chars, its code points.
 
     Null and empty html has no text. Tags that are never closed, stray end tags and cut-off pages
-    are read as far as they go. Repeated rows have equal results; other columns are ignored.
+    are read as far as they go, an unclosed head to the first tag or text that can't stand in one.
+    Only scripts and their stand-ins, styles, form fields, frames and templates are silent wherever they stand.
+    Time and memory go with a page's length, however deep it nests. Repeated rows have equal results, null
+    ids stay, other columns are ignored, an empty table gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(field or default_field())
     rows = pages.select(

@@ -1,7 +1,7 @@
 """URL verdicts: host rules first, then naive Bayes over segmented words.
 
 Host labels are often words run together. A unigram model of words (counts over
-the tokens of all urls, and a fixed word list) splits them by Viterbi, and a
+the tokens of all urls, and the labelled examples) splits them by Viterbi, and a
 multinomial naive Bayes model scores the words of host and path. All counts stay in
 a table: each distinct name is joined to those of its substrings, and split once.
 """
@@ -16,27 +16,28 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-# Labelled examples of host names as words, for the naive Bayes model.
-BLOCK_NAMES = """
-cheap pills; spam farm; casino win; free bets; adult only; ads track; adult video; adult dating; xxx cams; porn tube; sex chat
-live cams; hot girls; nude pics; escort girls; online casino; poker bonus; slots jackpot; free spins; sports bets
-betting odds; lucky win; win prize; free prize; claim prize; free gift; cheap meds; buy viagra; cialis online
-diet pills; weight loss miracle; pills shop; pharma cheap; replica watches; fake watches; payday loan; fast loan
-easy cash; quick cash; get rich; crypto doubler; bitcoin giveaway; spam mail; bulk mail; link farm; click farm
-click bait; click track; track ads; ad server; ads banner; popup ads; ad click; banner track; tracker pixel
-pixel track; phish login; verify account; malware download; crack keygen; warez torrent; free download crack
-hack tool; seo links; backlinks cheap; traffic bot; fake news viral; gamble now; roulette win; bingo bonus
-""".replace("\n", ";").strip("; ")
-ALLOW_NAMES = """
-news daily; daily post; science journal; city library; public library; university press; state university
-school board; open source; code docs; user guide; travel guide; garden notes; cooking recipes; recipe book
-home cooking; book review; film review; music review; art museum; history museum; local history; weather report
-sports news; football club; chess club; health care; medical center; hospital care; research lab; data science
-machine learning; physics notes; math world; language school; english lessons; grammar guide; photo gallery
-nature park; bird watch; city council; government office; tax office; train times; bus times; map service
-team wiki; forum help; support desk; software docs; linux docs; python docs; web standards
-family stories; short stories; poetry corner; podcast; radio station; newspaper; magazine; economy report
-""".replace("\n", ";").strip("; ")
+# Labelled examples for the naive Bayes model where the caller has none: words by the topics of public category lists.
+# One topic is one example; nothing here is taken from the tables.
+BLOCK_TOPICS = {
+    "adult": "adult porn porno xxx sex sexy nude erotic escort cams webcam girls hot dating hookup fetish tube",
+    "gambling": "casino poker roulette slots slot jackpot bingo lottery lotto bet bets betting wager odds bookmaker gamble gambling win winner spins bonus",
+    "pharmacy": "pills pill pharma pharmacy meds drugs viagra cialis tablets prescription diet slimming steroids cheap discount",
+    "money": "loan loans payday cash credit debt rich profit forex crypto bitcoin doubler giveaway invest easy quick fast",
+    "fakes": "replica fake knockoff counterfeit outlet handbags watches sale cheap free",
+    "malware": "malware virus trojan crack cracked keygen warez serial hack hacked exploit torrent phish phishing login verify",
+    "tracking": "ads ad adserver advert banner banners popup popunder track tracker tracking pixel click clicks beacon analytics affiliate promo",
+    "spam": "spam spammer bulk farm linkfarm backlinks seo traffic bot bots clickbait viral prize prizes claim gift free win",
+}
+ALLOW_TOPICS = {
+    "press": "news daily post times press journal herald tribune gazette chronicle magazine newspaper editorial weekly report",
+    "learning": "school university college academy education course courses lessons student students teacher language grammar study",
+    "science": "science research lab physics biology chemistry math data institute papers journal space climate",
+    "culture": "library museum gallery art arts history book books poetry theatre film music review reviews heritage archive",
+    "home": "cooking recipes recipe kitchen garden family home travel guide food health care hospital clinic medical",
+    "public": "city council government gov office public tax ministry court police park map train bus weather",
+    "software": "docs code open source software developer forum wiki help support manual linux python web standards",
+    "sport": "sports football club chess league team tennis cycling running",
+}
 
 MAX_WORD = 24
 #: Scores are summed as whole numbers of this size, so that no order of rows matters.
@@ -68,18 +69,23 @@ def rule_column(rules: dict[str, str], host: Column, path: Column) -> tuple[Colu
     return found, verdict
 
 
-def seed_words() -> list[str]:
-    return re.findall(r"[a-z0-9]+", f"{BLOCK_NAMES} {ALLOW_NAMES}")
+def topic_examples() -> tuple[list[str], list[str]]:
+    """The texts of the built-in examples to block and to allow."""
+    return list(BLOCK_TOPICS.values()), list(ALLOW_TOPICS.values())
 
 
-def unigram_counts(urls: DataFrame) -> DataFrame:
+def example_words(texts: list[str]) -> list[list[str]]:
+    return [re.findall(r"[a-z0-9]+", t) for t in texts]
+
+
+def unigram_counts(urls: DataFrame, seeds: list[str]) -> DataFrame:
     """(token, n): counts over the tokens of all urls; tokens that can be no word of the model are left out.
 
-    A token of four letters and more that occurs once is none, unless it is on the fixed list.
+    A token of four letters and more that occurs once is none, unless the examples have it.
     """
     tokens = urls.select(F.explode(F.split(F.concat_ws("/", "host", ascii_lower(F.col("path"))), _TOKEN)).alias("token"))
     counts = tokens.where((F.length("token") > 1) & (F.length("token") <= MAX_WORD)).groupBy("token").agg(F.count("*").alias("n"))
-    return counts.where((F.length("token") < 4) | (F.col("n") > 1) | F.col("token").isin(sorted(set(seed_words()))))
+    return counts.where((F.length("token") < 4) | (F.col("n") > 1) | F.col("token").isin(sorted(set(seeds))))
 
 
 class Segmenter:
@@ -139,8 +145,11 @@ class NaiveBayes:
         return sum(round(self.weight.get(w, 0.0) * UNIT) for w in words)
 
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def url_names(host: str, path: str) -> list[str]:
-    return [t for t in re.split(r"[^a-z0-9\x80-\U0010ffff]+", f"{host}/{path.lower()}") if t]
+    return [t for t in re.split(r"[^a-z0-9\x80-\U0010ffff]+", f"{host}/{path.translate(_LOWER)}") if t]
 
 
 def _named(batches):
@@ -169,9 +178,9 @@ def _substrings(batches):
         yield made(rows)
 
 
-def name_scores(names: DataFrame, counts: DataFrame) -> DataFrame:
+def name_scores(names: DataFrame, counts: DataFrame, block: list[list[str]], allow: list[list[str]]) -> DataFrame:
     """(name, score) of distinct names: the naive Bayes weight of their words, in UNITs."""
-    seeds = seed_words()
+    seeds = [w for words in [*block, *allow] for w in words]
     known = F.col("token").isin(sorted(set(seeds)))
     fixed = {r["token"]: r["n"] for r in counts.where(known).collect()}
     for w in seeds:
@@ -179,12 +188,11 @@ def name_scores(names: DataFrame, counts: DataFrame) -> DataFrame:
     # A sum of whole numbers is the same in any order.
     whole = counts.where(~known).agg(F.sum(F.round(F.log1p("n") * UNIT).cast("decimal(38,0)")).alias("s")).first()["s"]
     more = float(whole or 0) / UNIT
-    examples = [[re.findall(r"[a-z0-9]+", n) for n in text.split(";")] for text in (BLOCK_NAMES, ALLOW_NAMES)]
 
     def score(batches):
         import pyarrow as pa
 
-        segmenter, bayes = Segmenter(fixed, set(seeds), more), NaiveBayes(*examples)
+        segmenter, bayes = Segmenter(fixed, set(seeds), more), NaiveBayes(block, allow)
         now, name, found = None, None, {}
         for batch in batches:
             done = []
@@ -207,24 +215,34 @@ def name_scores(names: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", F.col("token").asc_nulls_first()).mapInArrow(score, "name string, score long")
 
 
-def filter_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(
+    pages: DataFrame,
+    rules: dict[str, str],
+    id_col: str = "page_id",
+    url_col: str = "url",
+    examples: tuple[list[str], list[str]] | None = None,
+    prior_block: float = 0.25,
+) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict (allow or block).
 
     Rules are ``host/path`` prefixes with their verdict, a short list that becomes one CASE. A url
     that no rule fits goes to the method, and without host and path it is allowed by the prior.
-    Repeated rows are judged alike, null ids stay, other columns are ignored.
+    ``examples`` are texts to block and to allow, which the model learns from (a bounded list; by
+    default the built-in topics). Names are taken whole, however long. Repeated rows are judged alike,
+    null ids stay, null urls have empty parts, other columns are ignored, no rows give none.
     """
+    block, allow = (example_words(t) for t in examples or topic_examples())
     url = F.col("url")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     host, path = split_url(url)
     parts = rows.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_column(rules, F.col("host"), F.col("path"))
     ruled = parts.withColumns({"rule": rule, "ruled": verdict})
-    counts = written(unigram_counts(parts), "url-counts")
+    counts = written(unigram_counts(parts, [w for words in [*block, *allow] for w in words]), "url-counts")
     open_urls = ruled.where("ruled is null").select("host", "path").distinct()
     named = written(open_urls.mapInArrow(_named, "host string, path string, name string"), "url-names")
-    scores = written(name_scores(named.select("name").distinct(), counts), "name-scores")
-    prior = round(NaiveBayes(*([re.findall(r"[a-z0-9]+", n) for n in t.split(";")] for t in (BLOCK_NAMES, ALLOW_NAMES))).prior * UNIT)
+    scores = written(name_scores(named.select("name").distinct(), counts, block, allow), "name-scores")
+    prior = round(NaiveBayes(block, allow, prior_block).prior * UNIT)
     judged = named.join(scores, "name").groupBy("host", "path").agg((F.sum("score") + F.lit(prior) > 0).alias("blocked"))
     made = ruled.join(judged, ["host", "path"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))

@@ -177,6 +177,47 @@ def test_broken_pages_are_read_to_the_end(page, told):
     assert [b.text for b in html_extract.leaf_blocks(page)] == told
 
 
+def test_silent_tags_follow_the_contract():
+    page = "<article><p>a <math><mi>x</mi></math> <object>b</object> <svg><text>c</text></svg></p><video>d</video><script>e</script><style>f</style><select><option>g</select><textarea>h</textarea></article>"
+    assert " ".join(b.text for b in html_extract.leaf_blocks(page)) == "a x b c d"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        began = time.perf_counter()
+        assert len(html_extract.leaf_blocks("<div>x " * n)) == n
+        assert len(html_extract.leaf_blocks("<section>" * n + "x" + "</p></div></li></b>" * n)) == 1
+        assert len(html_extract.leaf_blocks("<p><b class=nav>" * n + "x" + "</p>" * n)) == 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 5
+
+
+HAND = [
+    ("<body><div id=top-nav><a href=/>Home</a> <a href=/b>Blog</a></div><main><h1>The old mill at the river bend</h1><p>The mill was built a long time ago. It ground corn for the whole valley.</p>"
+     "<p>Today it is a small museum, and a good one.</p></main><div class=sidebar><h3>More</h3><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div><footer>&copy; The valley paper</footer>",
+     "The old mill at the river bend\nThe mill was built a long time ago. It ground corn for the whole valley.\nToday it is a small museum, and a good one."),
+    ("<div class='site-header'><h1>Daily</h1></div><div class=cookie-notice>We use cookies to make this site work better for you.</div><div class='post-content'><h2>Rain comes late</h2>"
+     "<p>Rain came late this year, farmers say. Some fields are lost.</p><blockquote>We have never seen this.</blockquote></div><div id=comments><h3>Comments</h3><div class=comment><p>I agree with all of this.</p></div></div>",
+     "Rain comes late\nRain came late this year, farmers say. Some fields are lost.\nWe have never seen this."),
+]
+
+
+@pytest.mark.parametrize("page", HAND)
+def test_pages_of_other_layouts(page):
+    assert html_extract.main_text(page[0], html_extract.default_field()) == page[1]
+
+
+def test_page_tables(spark):
+    kind = "page_id long, url string, html string, text string, n_chars int"
+    rows = [(1, "u", "<article><p>One two three.</p></article>", "x", 1)] * 2 + [(None, None, "<article><p>One two three.</p></article>", None, None)]
+    made = html_extract.extract(spark.createDataFrame(rows, kind)).collect()
+    assert [r["text"] for r in made] == ["One two three."] * 3
+    assert html_extract.extract(spark.createDataFrame([], kind)).count() == 0
+
+
 # Chat
 
 
@@ -377,12 +418,13 @@ def test_urls_equal_one_model_of_all_counts(spark):
     rng, parts = random.Random(8), ["casino", "daily", "win", "abc", "zorp", "news", "free", "Ünï", "x1", "prize"]
     urls = [f"http://{''.join(rng.choices(parts, k=rng.randint(1, 3)))}.net/{''.join(rng.choices(parts, k=rng.randint(0, 4)))}/{rng.choice(parts)}" for _ in range(300)]
     made = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls + urls[:20])), "page_id long, url string"), {}).collect()
-    lists = [[re.findall(r"[a-z0-9]+", n) for n in t.split(";")] for t in (url_filter.BLOCK_NAMES, url_filter.ALLOW_NAMES)]
+    lists = [url_filter.example_words(t) for t in url_filter.topic_examples()]
+    seeds = [w for words in lists for ws in words for w in ws]
     names = {i: [t for t in re.split(r"[^a-z0-9\x80-\U0010ffff]+", u[7:].translate(LOWER)) if t] for i, u in enumerate(urls + urls[:20])}
-    counts = {w: 5 * url_filter.seed_words().count(w) for w in url_filter.seed_words()}
+    counts = {w: 5 * seeds.count(w) for w in seeds}
     for t in (t for ts in names.values() for t in ts if 1 < len(t) <= 24):
         counts[t] = counts.get(t, 0) + 1
-    split, bayes = url_filter.Segmenter(counts, set(url_filter.seed_words())).split, url_filter.NaiveBayes(*lists)
+    split, bayes = url_filter.Segmenter(counts, set(seeds)).split, url_filter.NaiveBayes(*lists)
     lowered = {i: url_filter.url_names(r["host"], r["path"]) for i, r in ((r["page_id"], r) for r in made)}
     told = {i: "block" if bayes.score([w for t in ts for w in split(t)]) > 0 else "allow" for i, ts in lowered.items()}
     assert len(made) == 320 and {r["page_id"]: r["verdict"] for r in made} == told and set(told.values()) == {"block", "allow"}
@@ -391,8 +433,32 @@ def test_urls_equal_one_model_of_all_counts(spark):
 def test_segmenter_takes_the_best_split():
     split = url_filter.Segmenter({}, set()).split
     assert split("zzz")
-    words = url_filter.Segmenter({w: 5 for w in url_filter.seed_words()}, set(url_filter.seed_words()))
+    words = url_filter.Segmenter({w: 5 for w in ("casino", "win", "in", "was")}, {"casino", "win", "in", "was"})
     assert words.split("casinowin") == ("casino", "win")
+    # All splits of a short name, by their cost.
+    rng = random.Random(2)
+    for _ in range(60):
+        name = "".join(rng.choice("wincaso") for _ in range(9))
+        made = words.split(name)
+        cost = lambda ws: sum(words.cost.get(w, words.unknown + np.log(10) * len(w)) for w in ws)
+        every = [tuple(name[a:b] for a, b in zip([0, *c], [*c, len(name)], strict=True)) for m in range(1 << 8) for c in [[i + 1 for i in range(8) if m >> i & 1]]]
+        assert "".join(made) == name and np.isclose(cost(made), min(map(cost, every)))
+
+
+def test_urls_learn_from_given_examples(spark):
+    rows = [(1, "http://zorpflim.net/"), (2, "http://quuxdaily.net/")]
+    made = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), {}, examples=(["zorp flim", "zorp"], ["quux daily", "news"]), prior_block=0.5).collect()
+    assert {r["page_id"]: r["verdict"] for r in made} == {1: "block", 2: "allow"}
+
+
+def test_odd_urls(spark):
+    kind = "page_id long, url string, host string, verdict string"
+    rows = [(1, "http://a.net/x", "h", "v"), (1, "http://a.net/x", "h", "v"), (None, "http://pokerbonus.net/", None, None), (2, None, None, None), (3, "", "", ""), (4, "http://É.net/ÉX" + "y" * 5000, "", "")]
+    made = url_filter.filter_urls(spark.createDataFrame(rows, kind), {"a.net/": "block"}).collect()
+    assert sorted((str(r["page_id"]), r["host"], r["verdict"]) for r in made) == sorted(
+        [("1", "a.net", "block")] * 2 + [("None", "pokerbonus.net", "block"), ("2", "", "allow"), ("3", "", "allow"), ("4", "É.net", "allow")]
+    )
+    assert url_filter.filter_urls(spark.createDataFrame([], kind), {}).count() == 0
 
 
 # Packing and tokens
