@@ -1,16 +1,15 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Items and documents are normalised alike: A-Z to lower case, words of letters,
-digits and any non-ASCII bytes, joined by single spaces. An item's windows are
-its runs of 13 words (a shorter item is one window). The automaton of all windows
-scans each document once; hits become spans of words, and of characters of the
-original text.
+digits and any non-ASCII bytes. An item's windows are its runs of 13 words (a
+shorter item is one window). Words are numbered, and the automaton of all windows
+runs over word numbers: it scans each document once; hits are spans of words, and
+if asked for of characters of the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from uuid import uuid4
 
 import numpy as np
@@ -18,10 +17,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows, written
+from .common import slices, text_rows, written
 
-#: Upper bound of the items' text that one automaton is built from; more items take several scans.
-BLOCK_BYTES = 8 << 20
+#: Upper bound of the windows of one automaton, about 1 KB each in a worker; more take several scans.
+BLOCK_WINDOWS = 200_000
 WINDOW = 13
 
 #: Word bytes to lower case, all others to a space. Bytes of 0x80 and more are word bytes.
@@ -37,24 +36,32 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_WORDS).split()
 
 
-def windows(words: list[bytes], size: int = WINDOW) -> list[bytes]:
-    return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
+    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
 def build_automaton(items: list[tuple[int, str]], size: int = WINDOW):
-    """Automaton whose values are (number of words, ids of the items that have the window)."""
+    """(numbers of the words, automaton of the windows), with (number of words, ids of the items that have it) for each.
+
+    None without windows. Number 0 is any word that no item has.
+    """
     import ahocorasick
 
-    ids = defaultdict(set)
+    number: dict[bytes, int] = {}
+    ids: dict[tuple[int, ...], tuple[int, ...]] = {}
     for item, text in items:
-        for w in windows(words_of(text), size):
-            ids[w].add(item)
-    found = ahocorasick.Automaton()
-    for w, of in ids.items():
-        found.add_word(f" {w.decode()} ", (w.count(b" ") + 1, tuple(sorted(of))))
-    if ids:
-        found.make_automaton()
-    return found if ids else None
+        codes = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
+        for w in set(windows(codes, size)):
+            if item not in ids.get(w, ()):
+                ids[w] = (*ids.get(w, ()), item)
+    if not ids:
+        return None
+    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    while ids:
+        w, of = ids.popitem()
+        found.add_word(w, (len(w), of))
+    found.make_automaton()
+    return number, found
 
 
 def scan(text: str, automaton) -> tuple[int, list[tuple[int, int, tuple]]]:
@@ -62,13 +69,9 @@ def scan(text: str, automaton) -> tuple[int, list[tuple[int, int, tuple]]]:
     words = words_of(text)
     if not words or automaton is None:
         return len(words), []
-    norm = f" {b' '.join(words).decode()} "
-    hits = [(end, *value) for end, value in automaton.iter(norm)]
-    if not hits:
-        return len(words), []
-    ends = np.cumsum([len(w.decode()) + 1 for w in words])  # where the space after each word stands
-    last = np.searchsorted(ends, [h[0] for h in hits])
-    return len(words), [(int(k) - n + 1, int(k), ids) for k, (_, n, ids) in zip(last, hits, strict=True)]
+    number, found = automaton
+    get = number.get
+    return len(words), [(end - n + 1, end, ids) for end, (n, ids) in found.iter(tuple([get(w, 0) for w in words]))]
 
 
 def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -97,20 +100,27 @@ def _shared(sc, items: list[tuple[int, str]]) -> Broadcast:
     return sc.broadcast((uuid4().hex, items))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_BYTES; a row at a time comes to the driver."""
-    blocks, held = [[]], 0
-    for r in text_rows(benchmark, id_col, text_col).where(F.col("id").isNotNull()).toLocalIterator():
-        size = len(r["text"].encode())
-        if held + size > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["id"], r["text"]))
-        held += size
-    return blocks
-
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int):
+    """The items in blocks of at most BLOCK_WINDOWS windows, one block at a time; a longer item is cut between windows.
 
-def _scan_rows(items: Broadcast, size: int, keep_text: bool):
+    Items come to the driver row by row, and only the block in hand stays there.
+    """
+    block, held = [], 0
+    for r in text_rows(benchmark, id_col, text_col).where(F.col("id").isNotNull()).toLocalIterator():
+        words, at = words_of(r["text"]), 0
+        while at < len(words):
+            n = min(max(1, len(words) - size + 1 - at), BLOCK_WINDOWS - held)
+            block.append((r["id"], b" ".join(words[at : at + n + size - 1]).decode()))
+            held, at = held + n, at + n
+            if held >= BLOCK_WINDOWS:
+                yield block
+                block, held = [], 0
+            if at + size > len(words):
+                break
+    yield block
+
+
+def _scan_rows(items: Broadcast, size: int, keep_text: bool, chars: bool):
     """Adds a block's hits to those of the blocks before."""
 
     def run(batches):
@@ -119,13 +129,13 @@ def _scan_rows(items: Broadcast, size: int, keep_text: bool):
         names = ["item_id", "first_word", "last_word", "first_char", "end_char"]
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
         automaton = _automaton(items, size)
-        for batch in batches:
+        for batch in slices(batches):
             counts, hits = [], []
             before = batch.column("hits").to_pylist() if "hits" in batch.schema.names else [[]] * batch.num_rows
             for text, old in zip(batch.column("text").to_pylist(), before, strict=True):
                 n, found = scan(text, automaton)
-                chars = char_spans(text, [(a, b) for a, b, _ in found]) if found else []
-                new = [dict(zip(names, (i, a, b, *c), strict=True)) for (a, b, ids), c in zip(found, chars, strict=True) for i in ids]
+                where = char_spans(text, [(a, b) for a, b, _ in found]) if found and chars else [(None, None)] * len(found)
+                new = [dict(zip(names, (i, a, b, *c), strict=True)) for (a, b, ids), c in zip(found, where, strict=True) for i in ids]
                 counts.append(n)
                 hits.append(old + new)
             columns = {"id": batch.column("id"), "n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, kind)}
@@ -134,16 +144,21 @@ def _scan_rows(items: Broadcast, size: int, keep_text: bool):
     return run
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """Per document row: id, n_words and ``hits``, an array of item, word span and character span.
+def find_hits(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", size: int = WINDOW, chars: bool = True
+) -> DataFrame:
+    """Per document row: id, n_words and ``hits``, an array of item, word span and character span (null without ``chars``).
 
     Each block of items costs one scan; between scans the rows go through the shared folder.
     """
     sc = docs.sparkSession.sparkContext
-    rows, blocks = text_rows(docs, doc_id, text_col), _blocks(benchmark, item_id, text_col)
-    for items in blocks[:-1]:
-        rows = written(rows.mapInArrow(_scan_rows(_shared(sc, items), size, True), f"id long, n_words long, hits {HITS}, text string"), "decontaminate")
-    return rows.mapInArrow(_scan_rows(_shared(sc, blocks[-1]), size, False), f"id long, n_words long, hits {HITS}")
+    rows, blocks = text_rows(docs, doc_id, text_col), _blocks(benchmark, item_id, text_col, size)
+    now = next(blocks)
+    for after in blocks:
+        if after:
+            rows = written(rows.mapInArrow(_scan_rows(_shared(sc, now), size, True, chars), f"id long, n_words long, hits {HITS}, text string"), "decontaminate")
+            now = after
+    return rows.mapInArrow(_scan_rows(_shared(sc, now), size, False, chars), f"id long, n_words long, hits {HITS}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
@@ -153,7 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     of a window. Null and empty texts have no words and are clean; items without words have
     no window; items without an id are passed over; repeated rows give repeated results.
     """
-    hits = find_hits(docs, benchmark, doc_id, item_id, text_col, size)
+    hits = find_hits(docs, benchmark, doc_id, item_id, text_col, size, chars=False)
 
     def run(batches):
         import pyarrow as pa
@@ -175,21 +190,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text_col: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated.
+    """The rows of ``docs``, all columns, that are not contaminated; null and empty texts stay.
 
-    With items for one automaton there is no shuffle; with more, the ids found are joined.
+    With items for one automaton there is no shuffle; with more, the ids found are joined, so rows
+    that repeat an id go together, and rows without an id are judged one by one, as their texts are.
     """
-    blocks = _blocks(benchmark, "item_id", "text")
-    if len(blocks) > 1:
-        bad = contamination(docs, benchmark, doc_id, "item_id", text_col, size, share).where("contaminated")
-        return docs.join(bad.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti").select(docs.columns)
-    items = _shared(docs.sparkSession.sparkContext, blocks[0])
+    blocks = _blocks(benchmark, "item_id", "text", size)
+    first, more = next(blocks), any(next(blocks, None) or ())
+    if more:
+        named = docs.where(F.col(doc_id).isNotNull())
+        bad = contamination(named, benchmark, doc_id, "item_id", text_col, size, share).where("contaminated")
+        kept = named.join(bad.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti").select(docs.columns)
+        nameless = docs.where(F.col(doc_id).isNull())
+        keyed = nameless.select(F.sha2(F.col(text_col), 256).alias("doc_id"), F.col(text_col))
+        numbers = written(keyed.where("doc_id is not null").distinct().withColumn("row", F.monotonically_increasing_id()), "nameless")
+        poor = contamination(numbers, benchmark, "row", "item_id", text_col, size, share).where("contaminated").select(F.col("doc_id").alias("row"))
+        texts = numbers.join(poor, "row").select(F.col(text_col).alias("poor"))
+        return kept.unionByName(nameless.join(texts, F.col(text_col) == F.col("poor"), "left_anti").select(docs.columns))
+    items = _shared(docs.sparkSession.sparkContext, first)
 
     def run(batches):
         import pyarrow as pa
 
         automaton = _automaton(items, size)
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for text in batch.column(text_col).to_pylist():
                 n, found = scan(text or "", automaton)
