@@ -14,9 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 OPEN, COLON, CLOSE = b"### ", b": ", b"</turn>\n"
 #: A longer conversation goes on in further parts, cut between turns.
 PART_BYTES = 4 << 20
+#: Bytes that are scattered at once.
+SCATTERED = 1 << 17
 SCHEMA = "conv_id long, part int, formatted binary, loss_start array<long>, loss_end array<long>"
 
 _HEADER = re.compile(rb"### ((?:[^\\:]++|\\.)*+): ", re.S)
@@ -48,9 +52,20 @@ def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
-    """Copy row i of ``data`` to ``out[at[i]:]``."""
-    if len(data):
-        out[np.repeat(at - offsets[:-1], np.diff(offsets)) + np.arange(len(data))] = data
+    """Copy row i of ``data`` to ``out[at[i]:]``.
+
+    Short rows go by scatter indices, in groups of SCATTERED bytes at most so that the indices stay
+    small; a row that alone is longer goes as one run.
+    """
+    first = 0
+    while first < len(at):
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SCATTERED, "right")) - 1)
+        lo, hi = offsets[first], offsets[end]
+        if end == first + 1:
+            out[at[first] : at[first] + hi - lo] = data[lo:hi]
+        else:
+            out[np.repeat(at[first:end] - offsets[first:end], np.diff(offsets[first : end + 1])) + np.arange(lo, hi)] = data[lo:hi]
+        first = end
 
 
 def assemble(roles, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +130,7 @@ def _format(batches):
         return None, table.slice(left), part
 
     held, part = None, 0
-    for batch in batches:
+    for batch in slices(batches):
         table = pa.Table.from_batches([batch])
         if held is not None and held.num_rows:
             table = pa.concat_tables([held, table])
