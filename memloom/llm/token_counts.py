@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import path_exists, text_rows
+from .common import path_exists, text_rows, written
 from .tokenizing import TokenCounter, tokenizer_version
 
 CACHE_SCHEMA = "content binary, n_tokens long, version string"
@@ -80,17 +80,19 @@ def count_tokens(
     """
     version = tokenizer_version(tokenizer)
     keyed = text_rows(docs, id_col, text_col).withColumn("content", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    known = _cache(docs, cache_path, version)
-    missing = keyed.select("content").distinct().join(known, "content", "left_anti")
-    texts = keyed.select("content", "text").mapInArrow(_packed_texts, "content binary, packed binary")
-    counted = (
-        texts.join(missing, "content", "left_semi")
-        .mapInArrow(_counter(tokenizer), "content binary, n_tokens long")
-        .groupBy("content")
-        .agg(F.max("n_tokens").alias("n_tokens"))
-    )
-    counted.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache_path)
-    stored = _cache(docs, cache_path, version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    digests = keyed.select("content").distinct()
+    missing = written(digests.join(_cache(docs, cache_path, version), "content", "left_anti"), "missing")
+    if not missing.isEmpty():
+        texts = keyed.select("content", "text").mapInArrow(_packed_texts, "content binary, packed binary")
+        counted = (
+            texts.join(missing, "content", "left_semi")
+            .mapInArrow(_counter(tokenizer), "content binary, n_tokens long")
+            .groupBy("content")
+            .agg(F.max("n_tokens").alias("n_tokens"))
+        )
+        counted.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache_path)
+    # Written, so that the join has two plain shuffles and Spark can split a digest with very many rows.
+    stored = written(_cache(docs, cache_path, version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "stored")
     rows = keyed.select("id", F.octet_length("text").cast(T.LongType()).alias("n_bytes"), "content")
     return rows.join(stored, "content").select(
         F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
