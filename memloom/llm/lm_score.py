@@ -189,19 +189,23 @@ def _score(model: Broadcast):
 
 
 def _frequent(named: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The most frequent words, at most HELD_WORDS, and their counts, in order.
+    """The HELD_WORDS most frequent words (all, if there are fewer) and their counts; of equal counts the first by spelling.
 
-    A histogram of the counts' logarithms gives the least count to take, so no task sorts more than
-    its own words.
+    A histogram of the counts' logarithms gives the step that the bound falls into. What lies above
+    comes whole, and of that step the first words in order, so no task sorts more than its own words.
     """
     step = F.floor(F.log2("c") * 32).cast("int")
     sizes = sorted(((r["step"], r["n"]) for r in named.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, held = 1 << 30, 0
+    last, held = -1, 0
     for k, n in sizes:
         if held + n > HELD_WORDS:
+            last = k
             break
-        least, held = k, held + n
-    found = named.where(step >= least).toArrow()
+        held += n
+    found = named.where(step > last)
+    if last >= 0:
+        found = found.unionByName(named.where(step == last).orderBy(F.desc("c"), "word").limit(HELD_WORDS - held))
+    found = found.toArrow()
     rows = sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
     return [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
 

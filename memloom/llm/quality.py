@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     """
     chance = lambda share: F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(min(1.0, share) * 1_000_003)
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = known.where(chance(labelled / max(1, known.count()))).limit(labelled)
+    some = known.where(chance(labelled / max(1, known.count()))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     rows = _columns(docs).where("doc_id is not null")
     near = rows.join(F.broadcast(some), "doc_id", "left")  # at most `labelled` ids
     near = near.where(F.col("quality").isNotNull() | chance(pool / max(1, rows.count())))
@@ -193,7 +193,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose quality is not rejected; no shuffle of texts."""
+    """The rows of ``docs``, all columns, whose quality is not rejected; no shuffle of texts.
+
+    Rows are judged as in ``score_quality``: repeated rows alike, rows with null ids and texts too; with
+    labels of one class or none all stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     needed = ["text", "lang", "source", "n_chars"]
     missing = [c for c in needed if c not in docs.columns]

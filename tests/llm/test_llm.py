@@ -67,9 +67,13 @@ def test_contamination_equals_brute_force(spark, odd, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(str(tuple(r)) for r in decontaminate.contamination(frame, bench).collect()) == told
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)  # several automata
+    kept = sorted(str((r["doc_id"], r["text"])) for r in decontaminate.drop_contaminated(frame, bench).collect())
+    assert kept == sorted(str(d) for d, c in zip(docs, brute_contamination(docs, items), strict=True) if not c[-1])
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 5)  # several automata, long items cut
     assert sorted(str(tuple(r)) for r in decontaminate.contamination(frame, bench).collect()) == told
-    assert decontaminate.drop_contaminated(frame, bench).count() <= len(docs)
+    assert sorted(str((r["doc_id"], r["text"])) for r in decontaminate.drop_contaminated(frame, bench).collect()) == kept
+    spans = decontaminate.find_hits(frame, bench).where("size(hits) > 0").join(frame.withColumnRenamed("doc_id", "id"), "id").collect()
+    assert spans and all(len(decontaminate.words_of(r["text"][h["first_char"] : h["end_char"]])) == h["last_word"] - h["first_word"] + 1 for r in spans for h in r["hits"])
 
 
 def test_spans_of_the_original():
@@ -77,6 +81,23 @@ def test_spans_of_the_original():
     assert [text[a:b] for a, b in decontaminate.char_spans(text, [(0, 0), (1, 2)])] == ["Äh", "ONE, two"]
 
 
+def test_automaton_memory_goes_with_its_windows():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from memloom.llm import decontaminate as d
+rng = random.Random(1)
+items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(1000))) for i in range(200)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = d.build_automaton(items)
+assert sum(1 for _ in found[1]) <= d.BLOCK_WINDOWS and len(found[1]) > 0.98 * d.BLOCK_WINDOWS * 0.98
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd="/root/repo").stdout) < 500
+
+
 def test_no_items_and_no_documents(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in decontaminate.contamination(odd, none).collect())
@@ -104,6 +125,13 @@ def test_lm_base_score_and_normalisation(spark, odd, empty, monkeypatch):
     assert lm_score.lm_scores(odd).count() == len(ODD)
 
 
+def test_frequent_words_fill_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HELD_WORDS", 5)
+    named = spark.createDataFrame([("a", 9), ("b", 9), *((f"w{i}", 1) for i in range(9))], "word string, c long")
+    words, counts = lm_score._frequent(named)
+    assert words == ["a", "b", "w0", "w1", "w2"] and counts.tolist() == [9, 9, 1, 1, 1]
+
+
 def test_nce_learns_and_normalises():
     pairs = np.ones((6, 6))
     pairs[np.arange(6), (np.arange(6) + 1) % 6] = 200
@@ -127,6 +155,29 @@ def test_quality_on_labels(spark, odd, empty):
     assert quality.drop_poor(docs, labels).count() == quality.score_quality(docs, labels).where("keep").count()
     assert quality.score_quality(odd, labels.limit(0)).where("keep").count() == len(ODD)
     assert quality.score_quality(empty, labels).count() == 0
+    assert quality.drop_poor(odd, labels).columns == odd.columns
+
+
+def test_quality_on_labels_it_has_not_seen(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    seen, unseen = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
+    rows = quality.score_quality(docs, seen).join(unseen, "doc_id").collect()
+    good = np.array([bool(r["quality"]) for r in rows])
+    p = {c: np.array([r[c] for r in rows]) for c in ("p_text", "p_meta", "p_quality")}
+    auc = {c: np.mean([(a > b) + 0.5 * (a == b) for a in x[good] for b in x[~good]]) for c, x in p.items()}
+    assert len(good) > 80 and auc["p_quality"] > 0.95 and auc["p_text"] > 0.95 and auc["p_meta"] > 0.5
+    assert np.mean([r["keep"] == g for r, g in zip(rows, good, strict=True)]) > 0.93
+
+
+def test_quality_of_long_texts_and_clashing_columns(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, quality int, p_text string"
+    text = docs.first()["text"]
+    rows = [(-1, text * 500, "en", "src1", len(text) * 500, 0, "x"), (-1, text * 500, "en", "src1", len(text) * 500, 1, "y"), (-2, "", None, None, None, None, None)]
+    frame = docs.unionByName(spark.createDataFrame(rows, kind), allowMissingColumns=True)
+    made = quality.score_quality(frame, labels).where("doc_id < 0").orderBy("doc_id").collect()
+    assert len(made) == 3 and made[1] == made[2] and 0 <= made[0]["p_quality"] <= 1
 
 
 # HTML
@@ -236,6 +287,34 @@ def test_chat_round_trip(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_odd_tables_and_long_texts(spark):
+    kind = "conv_id long, turn long, role string, text string, part int, formatted string"
+    assert chat_format.read_back(chat_format.format_conversations(spark.createDataFrame([], kind))).count() == 0
+    long = "é<##</turn>" * 900_000  # over two parts
+    rows = [(1, 0, "user", long, 1, "x"), (1, 1, "assistant", long + "!", 1, "x"), (1, 1, "assistant", None, 1, "x")]
+    (made,) = chat_format.read_back(chat_format.format_conversations(spark.createDataFrame(rows, kind))).collect()
+    assert made["n_turns"] == 3 and made["loss_sha256"] == hashlib.sha256((long + "!").encode()).hexdigest() and made["loss_chars"] == len(long) + 1
+
+
+def test_chat_memory_goes_with_slices():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import pyarrow as pa
+from memloom.llm import chat_format as c
+text = "some words of a turn " * 20
+n = (60 << 20) // len(text)
+batch = pa.record_batch([pa.array([i // 5 for i in range(n)]), pa.array(["user"] * n), pa.array([text] * n)], ["conv_id", "role", "text"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = sum(b.num_rows for b in c._format([batch]))
+assert rows == (n + 4) // 5
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd="/root/repo").stdout) < 300
+
+
 def test_long_conversations_go_in_parts(monkeypatch):
     monkeypatch.setattr(chat_format, "PART_BYTES", 100)
     batch = lambda a, b: pa.record_batch([pa.array([7] * (b - a)), pa.array(["assistant"] * (b - a)), pa.array([f"text {i} " * 3 for i in range(a, b)])], ["conv_id", "role", "text"])
@@ -522,6 +601,9 @@ def test_counts_and_cache(spark, odd, empty):
     again = token_counts.count_tokens(odd, path).collect()
     assert sorted(map(str, again)) == sorted(map(str, made)) and spark.read.parquet(path).count() == before
     assert token_counts.count_tokens(empty, fresh_path(spark, "cache")).count() == 0
+    more = odd.unionByName(spark.createDataFrame([(9, "a new text", "", "")], SCHEMA))
+    assert {r[0]: r[2] for r in token_counts.count_tokens(more, path).collect()}[9] == 3
+    assert spark.read.parquet(path).count() == before + 1
 
 
 # Media
