@@ -8,7 +8,9 @@ FRESH_DAYS = 30
 DECAY = {"fact": 0.15, "episodic": 0.35, "ambient": 0.6}
 PREDICATE_COSINE = 0.85
 DAMPING_DAYS, DAMPING_LOW, DAMPING_HIGH = 14, 0.5, 1.5
-FEEDBACK = {"view": 0.0, "click": 0.5, "purchase": 1.0, "error": -0.5, "signup": -1.0}
+# What a signal adds to the damping coefficient; engagements are shares of 0.05.
+DAMPING = {"surfacing": -0.02, "direct": 0.05, "paraphrase": 0.05 * 0.7, "correction": 0.05 * 1.2, "dismiss": 0.05 * -0.5, "no_engagement": 0.0, "inherited": 0.05 * 0.5}
+FEEDBACK = {"surfaced": 0.0, "opened": 0.5, "replied": 1.0, "dismissed": -0.5, "flagged_spam": -1.0}
 FEEDBACK_STEEPNESS = 0.6
 ENGAGE_FULL_DAYS, ENGAGE_FLOOR_DAYS, ENGAGE_FLOOR = 30, 60, 0.25
 THREAD_MIN, THREAD_KEEP, THREAD_CHARS = 3, 16, 500
@@ -19,8 +21,8 @@ TOPIC_TOP, TOPIC_FILLER_DF = 12, 0.8
 
 # Words that the lexical index leaves out.
 STOP_WORDS = (
-    "a an and are as at be but by for from has have he her his i if in into is it its me my no not of on or our she so "
-    "that the their them then there these they this to us was we were what when where which who will with you your"
+    "a an and are as at be but by for from had has have he her his i if in into is it its itself me my no not of off on or our "
+    "she so that the their them then there they this to too was we were what when where which who will with would you your yours"
 ).split()
 
 SIGN_THRESHOLD, LEAST_TOKENS = 0.05, 2

@@ -11,10 +11,19 @@ from memloom import config as C
 def valence(text: Column) -> Column:
     """Signed magnitude in [-1, 1]: net lexicon hits over the root of the words that count. Null stays null."""
     words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: (t != "") & ~t.isin(C.NEUTRAL_WORDS))
-    hits = lambda lexicon: F.size(F.filter(words, lambda t: t.isin(lexicon)))
-    value = (hits(C.POSITIVE_WORDS) - hits(C.NEGATIVE_WORDS)) / F.sqrt(F.size(words))
-    faint = (F.size(words) < C.LEAST_TOKENS) | (F.abs(value) < C.SIGN_THRESHOLD)
-    return F.when(text.isNull(), F.lit(None).cast("double")).when(faint, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+
+    def scored(n: Column) -> Column:
+        value = n["net"] / F.sqrt(n["size"])
+        faint = (n["size"] < C.LEAST_TOKENS) | (F.abs(value) < C.SIGN_THRESHOLD)
+        return F.when(faint, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+
+    def counted(w: Column) -> Column:
+        net = F.aggregate(w, F.lit(0), lambda n, t: n + F.when(t.isin(C.POSITIVE_WORDS), 1).when(t.isin(C.NEGATIVE_WORDS), -1).otherwise(0))
+        return F.struct(net.alias("net"), F.size(w).alias("size"))
+
+    # Lambdas name the words and their counts, so that a text is split once.
+    counts = F.transform(F.array(words), counted)
+    return F.when(text.isNull(), F.lit(None).cast("double")).otherwise(F.element_at(F.transform(counts, scored), 1))
 
 
 def mood_valence(mood: Column) -> Column:

@@ -10,15 +10,19 @@ from memloom.config import STOP_WORDS
 #: White space as an explicit class, so that other engines agree.
 SPACE = r"[ \t\n\r\f\v]+"
 
-# Shapes of secrets and the label that replaces each.
+# Shapes of secrets, in the order of replacement, and the label that replaces each.
 SECRETS = (
-    ("aws", "AKIA[0-9A-Z]{16}"),
-    ("github", "gh[pousr]_[A-Za-z0-9]{20,}"),
-    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    ("openai", "sk-[A-Za-z0-9]{20,}"),
-    ("google", "AIza[0-9A-Za-z_-]{35}"),
-    ("jwt", "eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+"),
-    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
+    ("openai_sk_proj", "sk-proj-[A-Za-z0-9_-]{20,}"),
+    ("openai_sk", "sk-[A-Za-z0-9]{20,}"),
+    ("gcp_ya29", "ya29[.][A-Za-z0-9_-]{20,}"),
+    ("gcp_aiza", "AIza[A-Za-z0-9_-]{35,60}"),
+    ("github_pat", "(?:ghp|gho|ghs|ghr)_[A-Za-z0-9_]{36,}"),
+    ("aws_access_key_id", "(?:AKIA|ASIA)[A-Z0-9]{16,20}"),
+    ("slack_token", "(?:xox[bpa](?:pp)?|xapp)-[A-Za-z0-9-]{10,}"),
+    ("stripe_live_key", "(?:sk|pk)_live_[A-Za-z0-9]{16,}"),
+    ("anthropic_sk_ant", "sk-ant-[A-Za-z0-9_-]{20,}"),
+    ("openrouter_sk_or_v1", "sk-or-v1-[A-Za-z0-9_-]{20,}"),
+    ("jwt", "eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]+"),
 )
 
 
@@ -36,8 +40,9 @@ def content_hash(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
+    """Secrets as their labels. A shape counts only where no letter, digit, underscore or hyphen stands before it."""
     for name, shape in SECRETS:
-        text = F.regexp_replace(text, shape, f"[REDACTED:{name}]")
+        text = F.regexp_replace(text, f"(?<![A-Za-z0-9_-]){shape}", f"[REDACTED:{name}]")
     return text
 
 

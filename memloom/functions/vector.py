@@ -22,4 +22,6 @@ def cosine(a: Column, b: Column) -> Column:
 def leading(a: Column, dims: int) -> Column:
     """The first dimensions, scaled to unit length."""
     part = F.slice(a, 1, dims)
-    return F.transform(part, lambda x: x.cast("double") / norm(part))
+    # The lambda names the length, so it is made once a row.
+    both = F.array(F.struct(part.alias("x"), norm(part).alias("n")))
+    return F.element_at(F.transform(both, lambda b: F.transform(b["x"], lambda x: x.cast("double") / b["n"])), 1)

@@ -53,10 +53,11 @@ def grid(candidates: DataFrame, k: int = C.EVAL_K) -> DataFrame:
 
 
 def bootstrap_ci(rows: DataFrame, resamples: int = C.CI_RESAMPLES, level: float = C.CI_LEVEL) -> DataFrame:
-    """(mean, low, high) of ``id, value`` by a Poisson bootstrap.
+    """(mean, low, high) of ``value`` by a Poisson bootstrap.
 
-    Each row draws its weight in every resample from a generator keyed by its id, and tasks send on
-    one partial sum a resample: no task holds the rows, and results don't depend on partitions.
+    A row's weight in a resample is Poisson(1), so rows of one value together weigh Poisson(their number):
+    one draw for each distinct value, from a generator keyed by it. Tasks send on one partial sum a
+    resample: no task holds the rows, and results don't depend on partitions.
     """
 
     def draw(batches):
@@ -64,14 +65,14 @@ def bootstrap_ci(rows: DataFrame, resamples: int = C.CI_RESAMPLES, level: float
 
         weight, total = np.zeros(resamples), np.zeros(resamples)
         for b in batches:
-            for i, x in zip(b["id"].to_numpy(), b["value"].to_numpy(), strict=True):
-                w = np.random.Generator(np.random.Philox(key=int(i) & (2**64 - 1))).poisson(1.0, resamples)
+            for x, n in zip(b["value"].to_numpy(), b["n"].to_numpy(), strict=True):
+                w = np.random.Generator(np.random.Philox(key=int(np.float64(x).view(np.uint64)))).poisson(float(n), resamples)
                 weight += w
                 total += w * x
         yield pd.DataFrame({"resample": np.arange(resamples), "weight": weight, "total": total})
 
-    plain = rows.where("value is not null").select(F.col("id").cast("long").alias("id"), F.col("value").cast("double").alias("value"))
-    whole = plain.agg(F.lit(-1).cast("long").alias("resample"), F.count("*").cast("double").alias("w"), F.sum("value").alias("t"))
+    plain = rows.where("value is not null").groupBy(F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+    whole = plain.agg(F.lit(-1).cast("long").alias("resample"), F.sum("n").cast("double").alias("w"), F.sum(F.col("n") * F.col("value")).alias("t"))
     sums = plain.mapInPandas(draw, "resample long, weight double, total double").groupBy("resample").agg(F.sum("weight").alias("w"), F.sum("total").alias("t"))
     drawn, mean = F.col("resample") >= 0, F.try_divide(F.col("t"), F.col("w"))
     edge = (1 - level) / 2

@@ -61,10 +61,17 @@ def engagement_prior(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def damping(rows: DataFrame, now: Column) -> DataFrame:
-    """(subject, coefficient): 1 plus the signals of the window, clamped; an expunged subject has the lowest."""
+    """(subject, coefficient): 1 plus the signals of the window, clamped; an expunged subject has the lowest.
+
+    Signals are surfacing, the classes of an engagement, inherited (an engagement passed on by a derived
+    row) and expunged, which counts at any time; unknown ones and rows without a time add nothing.
+    """
     age = (F.unix_timestamp(now) - F.unix_timestamp("ts")) / 86400
     seen = (age <= C.DAMPING_DAYS) & (age >= -1)
-    part = F.when(~seen, 0.0).when(F.col("signal") == "surfacing", -0.02).when(F.col("signal") == "direct", 0.05).when(F.col("signal") == "dismiss", -0.025).otherwise(0.0)
+    part = F.when(~seen | F.col("ts").isNull(), 0.0)
+    for signal, adds in C.DAMPING.items():
+        part = part.when(F.col("signal") == signal, adds)
+    part = part.otherwise(0.0)
     sums = rows.groupBy("subject").agg(F.sum(part).alias("s"), F.max((F.col("signal") == "expunged").cast("int")).alias("gone"))
     clamped = F.least(F.lit(C.DAMPING_HIGH), F.greatest(F.lit(C.DAMPING_LOW), 1 + F.col("s")))
     return sums.select("subject", F.when(F.col("gone") == 1, F.lit(C.DAMPING_LOW)).otherwise(clamped).alias("coefficient"))

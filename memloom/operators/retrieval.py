@@ -15,26 +15,37 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("id", tokens(F.col("text")).alias("words"))
 
 
-def _times(words: str, term: str) -> Column:
+def _times(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
+def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, len, tf0, ...): a text's length and how often it has each term; a lambda names the tokens, so they are made once."""
+
+    def counted(words: Column) -> Column:
+        times = [_times(words, t).alias(f"tf{i}") for i, t in enumerate(terms)]
+        return F.struct(F.size(words).alias("len"), *times)
+
+    return docs.select("id", F.element_at(F.transform(F.array(tokens(F.col("text"))), counted), 1).alias("n")).select("id", "n.*")
+
+
 def bm25_topk(docs: DataFrame, query: list[str], k: int = C.LEXICAL_TOP) -> DataFrame:
-    """(id, score) of the best k. The index rows are cut to the query's terms before any shuffle.
+    """(id, score) of the best k. Nothing is shuffled but partial sums and each task's best k.
 
-    Document frequencies are sums of conditional counts in one aggregate, so there is one pass for
-    statistics and one for scores, and no join with the postings.
+    Document frequencies are sums of conditional counts in one aggregate. Scores are made of the texts
+    that contain a term as a string, a cheap test that leaves out nothing; the others aren't split again.
     """
     terms = sorted(set(query))
-    words = lengths(docs).select("id", F.size("words").alias("len"), *[_times("words", t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = words.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
+    all_, lower = _term_counts(docs, terms), F.lower("text")
+    stats = all_.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
+    score, met = F.lit(0.0), F.lit(False)
+    for i, t in enumerate(terms):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
         score = score + F.when(tf > 0, idf * tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("len") / F.col("avg_len")))).otherwise(0.0)
-    hit = F.array_max(F.array(*[F.col(f"tf{i}") for i in range(len(terms))])) > 0 if len(terms) > 1 else F.col("tf0") > 0
-    found = words.where(hit).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # stats is one row
+        met = met | lower.contains(t)
+    # Scores are positive where a term occurs. They need the statistics, so this filter stays above the counts.
+    found = _term_counts(docs.where(met), terms).crossJoin(F.broadcast(stats)).select("id", score.alias("score")).where("score > 0")  # stats is one row
     return found.orderBy(F.desc("score"), "id").limit(k)
 
 

@@ -95,13 +95,24 @@ def softmax(scored: DataFrame, group: str, score: str, tau: float = C.PROPENSITY
 
 
 def idf_jaccard(sets: DataFrame, query: list[str]) -> DataFrame:
-    """(id, score): idf of the shared terms over idf of all, between ``id, words`` and one query set."""
-    n = sets.count()
-    terms = sets.select("id", F.explode(F.array_distinct("words")).alias("term"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log1p(n / F.col("df")))
+    """(id, score): idf of the shared keys over idf of all keys of either, between rows ``id, keys`` and one query set.
+
+    Keys are entity match keys; ``peers``, if there, are keys that name the row's own group or channel,
+    which weigh as if every row had them. Only rows that share a key are joined to the frequencies.
+    """
     asked = sorted(set(query))
-    known = {r["term"]: r["idf"] for r in df.where(F.col("term").isin(asked)).collect()}
-    whole = sum(known.get(t, float(np.log1p(n))) for t in asked)
-    shared = F.col("term").isin(asked)
-    sums = terms.join(df, "term").groupBy("id").agg(F.sum(F.when(shared, F.col("idf")).otherwise(0.0)).alias("both"), F.sum("idf").alias("own"))
-    return sums.where("both > 0").select("id", (F.col("both") / (F.col("own") + whole - F.col("both"))).alias("score"))
+    keys, peers = F.array_distinct("keys"), F.coalesce("peers", F.array().cast("array<string>")) if "peers" in sets.columns else F.array().cast("array<string>")
+    rows = sets.select("id", keys.alias("keys"), peers.alias("peers"))
+    n = rows.count()
+    df = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"))
+    idf = lambda d: F.log((n - d + 0.5) / (d + 0.5) + 1)
+    known = {r["key"]: r["df"] for r in df.where(F.col("key").isin(asked)).collect()}
+    met = rows.where(F.arrays_overlap("keys", F.array(*[F.lit(t) for t in asked])))
+    # What the query has and the row lacks; a key that no row has counts as one row's.
+    missing = F.lit(0.0)
+    for t in asked:
+        missing = missing + F.when(F.array_contains("keys", t), 0.0).when(F.array_contains("peers", t), idf(F.lit(n))).otherwise(idf(F.lit(known.get(t, 1))))
+    each = met.select("id", "peers", missing.alias("missing"), F.explode("keys").alias("key")).join(df, "key")
+    weight = idf(F.when(F.array_contains("peers", F.col("key")), F.lit(n)).otherwise(F.col("df")))
+    sums = each.groupBy("id").agg(F.sum(F.when(F.col("key").isin(asked), weight).otherwise(0.0)).alias("both"), F.sum(weight).alias("own"), F.first("missing").alias("missing"))
+    return sums.select("id", (F.col("both") / (F.col("own") + F.col("missing"))).alias("score"))

@@ -36,7 +36,7 @@ def abstain_f1(spark, sf_dir):
 
 @query("""WITH g AS (SELECT e, d FROM (VALUES (0.0::DOUBLE), (0.01), (0.02), (0.04)) a(e), (VALUES (0.0::DOUBLE), (0.01), (0.02), (0.03)) b(d)),
 r AS (SELECT l_orderkey AS event, e, d, l_quantity >= 25 AS relevant, row_number() OVER (PARTITION BY l_orderkey, e, d
-  ORDER BY CAST(round((l_discount + e * (l_partkey % 7) + d * (l_suppkey % 5)) * 1e6) AS BIGINT) DESC, l_linenumber * 1000000 + l_partkey) AS rank FROM lineitem, g),
+  ORDER BY CAST(round((l_discount + e * (l_partkey % 7) + d * (l_suppkey % 5)) * 1e6) AS BIGINT) DESC, l_linenumber * 1000000 + l_partkey, l_quantity >= 25) AS rank FROM lineitem, g),
 s AS (SELECT event, e, d, sum(CASE WHEN relevant THEN 1 ELSE 0 END) AS n, sum(CASE WHEN relevant AND rank <= 3 THEN 1 / log2(rank + 1) ELSE 0.0 END) AS dcg FROM r GROUP BY 1, 2, 3)
 SELECT e AS engagement, d AS damping, round(avg(dcg / list_sum(list_transform(range(1, least(3, CAST(n AS INTEGER)) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg FROM s WHERE n > 0 GROUP BY 1, 2""")
 def grid_calibration(spark, sf_dir):
@@ -50,7 +50,7 @@ def grid_calibration(spark, sf_dir):
 @query()
 def bootstrap_ci(spark, sf_dir):
     """Of the mean quality label."""
-    return evaluation.bootstrap_ci(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("value")), 1000)
+    return evaluation.bootstrap_ci(table(spark, sf_dir, "labels").select(F.col("quality").alias("value")))
 
 
 _DAYS = """days AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END) AS entities,

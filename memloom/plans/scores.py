@@ -117,15 +117,28 @@ def softmax_propensity(spark, sf_dir):
     return selection.softmax(rows, "event_type", "score").select("id", rounded("p", 9).alias("p"))
 
 
-@query(f"""WITH w AS (SELECT doc_id AS id, unnest(list_distinct({_TOKENS})) AS t FROM documents),
-n AS (SELECT count(*) AS n FROM documents), q(t) AS (VALUES {", ".join(f"('{t}')" for t in TERMS)}),
-df AS (SELECT t, ln(1 + n / count(*)) AS idf FROM w, n GROUP BY t, n),
-whole AS (SELECT sum(coalesce(idf, ln(1 + n))) AS s FROM q LEFT JOIN df USING (t), n),
-s AS (SELECT id, sum(CASE WHEN t IN ({_listed(TERMS)}) THEN idf ELSE 0.0 END) AS shared, sum(idf) AS own FROM w JOIN df USING (t) GROUP BY id)
-SELECT id, round(shared / (own + s - shared), 6) AS score FROM s AS s0(id, shared, own), whole WHERE shared > 0""")
+#: Entities that an order names, as match keys, and those asked for.
+ENTITIES = ["person:c3", "product:p17", "product:p44", "org:s5", "org:none"]
+
+
+@query(f"""WITH k AS (SELECT l_orderkey AS id, 'product:p' || l_partkey % 97 AS t FROM lineitem UNION SELECT l_orderkey, 'org:s' || l_suppkey % 23 FROM lineitem
+  UNION SELECT o_orderkey, 'person:c' || o_custkey % 50 FROM orders),
+r AS (SELECT DISTINCT id FROM k), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM r), df AS (SELECT t, CAST(count(*) AS DOUBLE) AS df FROM k GROUP BY t),
+q(t) AS (VALUES {", ".join(f"('{t}')" for t in ENTITIES)}),
+u AS (SELECT id, t FROM k WHERE id IN (SELECT id FROM k JOIN q USING (t)) UNION SELECT id, q.t FROM (SELECT DISTINCT id FROM k JOIN q USING (t)), q),
+w AS (SELECT u.id, u.t, k.t IS NOT NULL AND u.t IN (SELECT t FROM q) AS shared,
+  CASE WHEN u.id % 7 = 0 AND u.t = 'org:s5' THEN n ELSE coalesce(df, 1) END AS d, n FROM u LEFT JOIN k ON k.id = u.id AND k.t = u.t LEFT JOIN df ON df.t = u.t, n),
+i AS (SELECT id, shared, ln((n - d + 0.5) / (d + 0.5) + 1) AS idf FROM w)
+SELECT id, round(sum(CASE WHEN shared THEN idf ELSE 0.0 END) / sum(idf), 6) AS score FROM i GROUP BY id""")
 def idf_weighted_jaccard(spark, sf_dir):
-    rows = facts(spark, sf_dir).where("text is not null").select("id", tokens(F.col("text")).alias("words"))
-    return selection.idf_jaccard(rows, TERMS).select("id", rounded("score").alias("score"))
+    """Between each order's entities and those asked for; every seventh order is from the channel ``org:s5``."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    named = lambda kind, c, m: F.concat(F.lit(kind), (F.col(c) % m).cast("string")).alias("key")
+    keys = lines.select(F.col("l_orderkey").alias("id"), named("product:p", "l_partkey", 97)).union(lines.select("l_orderkey", named("org:s", "l_suppkey", 23)))
+    keys = keys.union(orders.select("o_orderkey", named("person:c", "o_custkey", 50)))
+    peers = F.when(F.col("id") % 7 == 0, F.array(F.lit("org:s5")))
+    rows = keys.groupBy("id").agg(F.collect_set("key").alias("keys")).withColumn("peers", peers)  # an order has few lines
+    return selection.idf_jaccard(rows, ENTITIES).select("id", rounded("score").alias("score"))
 
 
 @query(f"""WITH w AS (SELECT doc_id AS id, list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS w FROM documents)

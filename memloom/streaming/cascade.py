@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -49,15 +50,15 @@ def throttle(stream: DataFrame, window_us: int = 3_600_000_000) -> DataFrame:
 
     def step(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         opened, held = state.get if state.exists else (None, 0)
-        for chunk in chunks:
-            told = []
-            for at in chunk["at"].sort_values():
-                if opened is None or at - opened >= window_us:
-                    told.append((*key, int(at), held))
-                    opened, held = int(at), 0
-                else:
-                    held += 1
-            yield pd.DataFrame(told, columns=["source", "reason", "at", "suppressed"])
+        # A key's rows of one batch may come in several chunks; only their times are held, in order.
+        times, told = np.sort(np.concatenate([np.zeros(0, np.int64), *(c["at"].to_numpy(np.int64) for c in chunks)])), []
+        for at in times.tolist():
+            if opened is None or at - opened >= window_us:
+                told.append((*key, at, held))
+                opened, held = at, 0
+            else:
+                held += 1
+        yield pd.DataFrame(told, columns=["source", "reason", "at", "suppressed"])
         state.update((opened, held))
 
     out = "source string, reason string, at long, suppressed long"

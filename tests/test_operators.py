@@ -38,4 +38,22 @@ def test_within_is_inclusive_and_keyed(spark):
 
 def test_redaction_and_hash(spark):
     row = spark.createDataFrame([("mail me@x.org  now",)], "t string").select(text.redact(F.col("t")).alias("r"), text.normalised(F.col("t")).alias("n")).first()
-    assert row["r"] == "mail [REDACTED:email]  now" and row["n"] == "mail me@x.org now"
+    assert row["r"] == "mail me@x.org  now" and row["n"] == "mail me@x.org now"
+
+
+def test_secrets_need_a_left_boundary(spark):
+    key, pat = "AKIA" + "ABCDEFGH12345678", "gh" + "p_" + "a1" * 18
+    cases = {
+        f"k={key}": "k=[REDACTED:aws_access_key_id]", f"x{key}": f"x{key}", f"_{key}": f"_{key}", f"{key} {key}": "[REDACTED:aws_access_key_id] [REDACTED:aws_access_key_id]",
+        f"({pat})": "([REDACTED:github_pat])", pat[:30]: pat[:30], "xapp-1-A123-456789": "[REDACTED:slack_token]", "sk-" + "proj-" + "a" * 20: "[REDACTED:openai_sk_proj]",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.redact(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in rows} == cases
+
+
+def test_damping_adds_the_signals_of_the_window(spark):
+    rows = [("a", "direct", 1), ("a", "paraphrase", 2), ("a", "correction", 3), ("a", "dismiss", 4), ("a", "inherited", 5), ("a", "surfacing", 6), ("a", "direct", 15), ("a", "no_engagement", 1),
+            ("b", "expunged", 90), ("b", "direct", 1), ("c", "unknown", 1), *[("d", "correction", 1)] * 20]
+    frame = spark.createDataFrame(rows, "subject string, signal string, days int").selectExpr("subject", "signal", "timestamp'2024-02-01 00:00:00' - make_dt_interval(days) AS ts")
+    found = {r["subject"]: round(r["coefficient"], 6) for r in events.damping(frame, F.lit("2024-02-01 00:00:00").cast("timestamp")).collect()}
+    assert found == {"a": round(1 + 0.05 + 0.035 + 0.06 - 0.025 + 0.025 - 0.02, 6), "b": 0.5, "c": 1.0, "d": 1.5}
