@@ -36,32 +36,38 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_WORDS).split()
 
 
-def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+def letter(n: int) -> str:
+    """The n-th character of Unicode that is no surrogate: words are numbered by these, so that the automaton takes strings."""
+    return chr(n if n < 0xD800 else n + 0x800)
+
+
+def windows(line: str, size: int = WINDOW) -> list[str]:
+    """The windows of a line of words, one letter a word."""
+    return [line[i : i + size] for i in range(max(1, len(line) - size + 1))] if line else []
 
 
 def build_automaton(items: list[tuple[int, str]], size: int = WINDOW):
-    """(numbers of the words, automaton of the windows), with (number of words, ids of the items that have it) for each.
+    """(letters of the words, automaton of the windows), with (number of words, ids of the items that have it) for each.
 
-    None without windows. Number 0 is any word that no item has.
+    None without windows. Letter 0 is any word that no item has.
     """
     import ahocorasick
 
-    number: dict[bytes, int] = {}
-    ids: dict[tuple[int, ...], tuple[int, ...]] = {}
+    letters: dict[bytes, str] = {}
+    ids: dict[str, tuple[int, ...]] = {}
     for item, text in items:
-        codes = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
-        for w in set(windows(codes, size)):
+        line = "".join([letters.setdefault(w, letter(len(letters) + 1)) for w in words_of(text)])
+        for w in set(windows(line, size)):
             if item not in ids.get(w, ()):
                 ids[w] = (*ids.get(w, ()), item)
     if not ids:
         return None
-    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    found = ahocorasick.Automaton()
     while ids:
         w, of = ids.popitem()
         found.add_word(w, (len(w), of))
     found.make_automaton()
-    return number, found
+    return letters, found
 
 
 def scan(text: str, automaton) -> tuple[int, list[tuple[int, int, tuple]]]:
@@ -69,9 +75,9 @@ def scan(text: str, automaton) -> tuple[int, list[tuple[int, int, tuple]]]:
     words = words_of(text)
     if not words or automaton is None:
         return len(words), []
-    number, found = automaton
-    get = number.get
-    return len(words), [(end - n + 1, end, ids) for end, (n, ids) in found.iter(tuple([get(w, 0) for w in words]))]
+    letters, found = automaton
+    get = letters.get
+    return len(words), [(end - n + 1, end, ids) for end, (n, ids) in found.iter("".join([get(w, "\0") for w in words]))]
 
 
 def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
