@@ -36,28 +36,26 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_WORDS).split()
 
 
-def letter(n: int) -> str:
-    """The n-th character of Unicode that is no surrogate: words are numbered by these, so that the automaton takes strings."""
-    return chr(n if n < 0xD800 else n + 0x800)
-
-
 def windows(line: str, size: int = WINDOW) -> list[str]:
-    """The windows of a line of words, one letter a word."""
-    return [line[i : i + size] for i in range(max(1, len(line) - size + 1))] if line else []
+    """The windows of a line of words, two letters a word."""
+    return [line[i : i + 2 * size] for i in range(0, max(1, len(line) - 2 * size + 1), 2)] if line else []
 
 
 def build_automaton(items: list[tuple[int, str]], size: int = WINDOW):
     """(letters of the words, automaton of the windows), with (number of words, ids of the items that have it) for each.
 
-    None without windows. Letter 0 is any word that no item has.
+    None without windows. A word's number is written with two letters of separate alphabets, whose sizes
+    are the root of the vocabulary's: an automaton's step searches the letters that go on from a state.
     """
     import ahocorasick
 
-    letters: dict[bytes, str] = {}
+    words = [(item, words_of(text)) for item, text in items]
+    number = {w: n for n, w in enumerate(dict.fromkeys(w for _, line in words for w in line))}
+    base = int(len(number) ** 0.5) + 1
+    letters = {w: chr(0x100 + n // base) + chr(0x4000 + n % base) for w, n in number.items()}
     ids: dict[str, tuple[int, ...]] = {}
-    for item, text in items:
-        line = "".join([letters.setdefault(w, letter(len(letters) + 1)) for w in words_of(text)])
-        for w in set(windows(line, size)):
+    for item, line in words:
+        for w in set(windows("".join([letters[x] for x in line]), size)):
             if item not in ids.get(w, ()):
                 ids[w] = (*ids.get(w, ()), item)
     if not ids:
@@ -65,7 +63,7 @@ def build_automaton(items: list[tuple[int, str]], size: int = WINDOW):
     found = ahocorasick.Automaton()
     while ids:
         w, of = ids.popitem()
-        found.add_word(w, (len(w), of))
+        found.add_word(w, (len(w) // 2, of))
     found.make_automaton()
     return letters, found
 
@@ -77,7 +75,8 @@ def scan(text: str, automaton) -> tuple[int, list[tuple[int, int, tuple]]]:
         return len(words), []
     letters, found = automaton
     get = letters.get
-    return len(words), [(end - n + 1, end, ids) for end, (n, ids) in found.iter("".join([get(w, "\0") for w in words]))]
+    line = "".join([get(w, "\0\0") for w in words])
+    return len(words), [(end // 2 - n + 1, end // 2, ids) for end, (n, ids) in found.iter(line)]
 
 
 def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
