@@ -86,3 +86,9 @@ TIER_RECIPROCITY, EARLIEST_SECOND = 0.9, 1_199_145_600
 # Words that deny, and phrases that dismiss.
 NEGATIONS = "no not wrong actually but incorrect nope false".split()
 DISMISSALS = r"(?i)\b(stop\s+bringing|not\s+relevant|irrelevant|forget\s+(that|it)|drop\s+(it|that)|don't\s+(care|mention))\b"
+
+HEALTH_DAYS, FUNNEL_ROWS, STALE_HOURS, HOSTNAME_SHARE = 30, 100, 6, 0.05
+LAG_WARN_MS, LAG_GROWTH_MS = 24 * 3_600_000, 3_600_000
+LIVE_ROWS, LIVE_SHARE = 100, 0.5
+GAINS = {"expected": 2.0, "neighbour": 1.0, "forbidden": -2.0}
+CATCHUP_ROWS, CATCHUP_MOST = 50, 500

@@ -55,6 +55,12 @@ def match_key(entity: Column) -> Column:
     return F.regexp_replace(entity, "^([^:]*:)[^:]*:", "$1")
 
 
+def noise_entity(key: Column) -> Column:
+    """Whether a match key names only a role of a conversation, or a conversation by its id; null is no noise."""
+    role = key.isin("person:user", "person:assistant")
+    return F.coalesce(role | key.rlike("^topic:(?i)[0-9a-f]{8}_[0-9a-f]{4}_[0-9a-f]{4}_[0-9a-f]{4}_[0-9a-f]{12}$"), F.lit(False))
+
+
 def _resolve(phrase: Column, at: Column) -> Column:
     """(day, confidence) of a lower-case phrase seen on date ``at``."""
     number = F.regexp_extract(phrase, "([0-9]{1,3}) ", 1).try_cast("int")

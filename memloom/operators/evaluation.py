@@ -29,6 +29,51 @@ def metrics(surfaced: DataFrame, k: int = C.EVAL_K) -> DataFrame:
     )
 
 
+def graded(surfaced: DataFrame, labels: DataFrame, k: int = C.EVAL_K) -> DataFrame:
+    """(event, ndcg, harm) of ``event, id, rank`` (from 1) against ``event, id, role``, a row for each event of either.
+
+    Roles are expected, neighbour (derived from or into an expected id) and forbidden; of several forbidden
+    counts first for the gain, then expected. The ideal order has the expected ids, then the neighbours;
+    without any of both, ndcg is null. ``harm`` says that a forbidden id is among the first ``k``.
+    """
+    role = F.col("role")
+    each = labels.groupBy("event", "id").agg(*[F.max((role == r).cast("int")).alias(r) for r in C.GAINS])
+    gain = F.when(F.col("forbidden") == 1, C.GAINS["forbidden"]).when(F.col("expected") == 1, C.GAINS["expected"]).when(F.col("neighbour") == 1, C.GAINS["neighbour"]).otherwise(0.0)
+    near = (F.col("neighbour") == 1) & (F.col("expected") == 0)
+    rows = each.withColumn("gain", gain).join(surfaced.where(F.col("rank") <= k), ["event", "id"], "full")
+    sums = rows.groupBy("event").agg(
+        F.coalesce(F.sum("expected"), F.lit(0)).alias("e"), F.count_if(near).alias("n"),
+        F.coalesce(F.sum(F.col("gain") / F.log2(F.col("rank") + 1)), F.lit(0.0)).alias("dcg"),
+        (F.count_if(F.col("rank").isNotNull() & (F.col("forbidden") == 1)) > 0).alias("harm"),
+    )
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), (F.col("e") + F.col("n")).cast("int"))))
+    weight = lambda i: F.when(i <= F.col("e"), C.GAINS["expected"]).otherwise(C.GAINS["neighbour"])
+    ideal = F.aggregate(places, F.lit(0.0), lambda s, i: s + weight(i) / F.log2(i + 1))
+    return sums.select("event", F.when(F.col("e") + F.col("n") > 0, F.col("dcg") / ideal).alias("ndcg"), "harm")
+
+
+def failure_rates(ranks: DataFrame) -> DataFrame:
+    """(leg, n, failure_20, recall_5, recall_10, recall_20) of ``leg, rank``: ranks of the wanted ids from 0, null for a miss."""
+    share = lambda k: F.avg(F.coalesce(F.col("rank") < k, F.lit(False)).cast("int"))
+    return ranks.groupBy("leg").agg(F.count("*").alias("n"), (1 - share(20)).alias("failure_20"), *[share(k).alias(f"recall_{k}") for k in (5, 10, 20)])
+
+
+def weight_overlay(rows: DataFrame, frozen: dict[str, float]) -> DataFrame:
+    """One row (the weights, applied): those of the latest row by (ts, id), or the frozen ones.
+
+    Rows have ``id, ts, reviewed, cold_start, harm_delta, ndcg_delta, headroom`` and a column a weight. Only the latest is
+    looked at: it must be reviewed, not from a cold start, do no more harm, gain NDCG and have finite weights.
+    """
+    last = rows.agg(F.max_by(F.struct(*rows.columns), F.struct(F.coalesce("ts", F.lit("")), F.coalesce("id", F.lit("")))).alias("r"))
+    r = lambda name: F.col(f"r.{name}")
+    finite = lambda name: F.abs(r(name)) < float("inf")
+    fit = r("reviewed") & ~F.coalesce(r("cold_start"), F.lit(False)) & F.coalesce(r("headroom"), F.lit(True))
+    for name in ("harm_delta", "ndcg_delta", *frozen):
+        fit = fit & finite(name)
+    fit = F.coalesce(fit & (r("harm_delta") <= 0) & (r("ndcg_delta") > 0), F.lit(False))
+    return last.select(*[F.when(fit, r(name)).otherwise(F.lit(w)).alias(name) for name, w in frozen.items()], F.when(fit, r("id")).alias("applied"))
+
+
 def abstain_f1(rows: DataFrame) -> DataFrame:
     """(tp, fp, fn, f1) of ``should, did``."""
     both = lambda a, b: F.sum((a & b).cast("long"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom import config as C
 from memloom.functions.text import tokens
+from memloom.operators.events import latest_wins
 
 
 def reciprocity(turns: DataFrame) -> DataFrame:
@@ -28,9 +29,10 @@ def trailing_run(turns: DataFrame) -> DataFrame:
 
 
 def reciprocity_factor(inbound, outbound, turns):
-    """1 from six turns on, from 0.7 at two; 0.3 for a broadcast, else 0.7."""
+    """1 from six turns on, from 0.7 at two; 0.3 for a broadcast; towards it the more came in unanswered, from three on; else 0.7."""
     broadcast = (inbound >= 5) & (turns <= 1) & (outbound <= 1)
-    return F.when(broadcast, 0.3).when(turns >= 6, 1.0).when(turns >= 2, 0.7 + 0.3 * (turns - 2) / 4).otherwise(0.7)
+    unanswered = 0.3 + 0.4 * (1 - F.least(F.lit(1.0), inbound / 5))
+    return F.when(broadcast, 0.3).when(turns >= 6, 1.0).when(turns >= 2, 0.7 + 0.3 * (turns - 2) / 4).when((turns == 0) & (inbound >= 3), unanswered).otherwise(0.7)
 
 
 def catchup(turns: DataFrame, top: int = 50) -> DataFrame:
@@ -40,6 +42,33 @@ def catchup(turns: DataFrame, top: int = 50) -> DataFrame:
     return rows.select("thread", "waiting", score.alias("score")).orderBy(F.desc("score"), F.desc("waiting"), "thread").limit(top)
 
 
+def catchup_score(ts: Column, now: Column, directed: Column, reciprocity: Column, anchor: Column) -> Column:
+    """Recency x directedness x reciprocity x anchor; an anchor only ever lifts.
+
+    Recency falls in a line from 1 to 0.05 over seven days; without a time it is 0.05.
+    """
+    lift = F.when((anchor > 1) & (anchor < float("inf")), anchor).otherwise(1.0)
+    age = (F.unix_micros(now) - F.unix_micros(ts)) / (86400e6 * C.RECENT_DAYS)
+    left = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - age)), F.lit(0.0))
+    return (C.RECENT_FLOOR + (1 - C.RECENT_FLOOR) * left) * directed * reciprocity * lift
+
+
+def catchup_order(rows: DataFrame, top: int = C.CATCHUP_ROWS) -> DataFrame:
+    """The first ``top`` rows of ``thread, tier, contact, score, ts``: relationships, then saved contacts, score, last and thread.
+
+    Scores that are null, not numbers or below 0 count as 0; rows without a time come last of their equals.
+    """
+    score = F.when((F.col("score") > 0) & (F.col("score") < float("inf")), F.col("score")).otherwise(0.0)
+    close = F.coalesce(F.col("tier") == "relationship", F.lit(False))
+    order = [F.desc(close), F.desc(F.coalesce("contact", F.lit(False))), F.desc(score), F.desc_nulls_last("ts"), F.asc_nulls_first("thread")]
+    return rows.orderBy(*order).limit(min(top, C.CATCHUP_MOST))
+
+
+def last_rows(turns: DataFrame) -> DataFrame:
+    """The last row of each thread by ``seq``, by partial aggregation."""
+    return latest_wins(turns, "thread", "seq")
+
+
 def round_robin(rows: DataFrame, take: int = 1) -> DataFrame:
     """Adds round: rows of each platform in order of rank, ``take`` a round."""
     w = Window.partitionBy("platform").orderBy("rank", "id")

@@ -212,20 +212,6 @@ def empty_rate(spark, sf_dir):
     return events.empty_rate(rows.select("source", blank.alias("text"))).select("source", "n", _r("rate").alias("rate"), "degraded")
 
 
-@query("""SELECT event_type AS source, date_diff('hour', max(ts), TIMESTAMP '2024-01-31 00:00:00') >= 6 AS stale, count(*) AS n FROM events GROUP BY 1""")
-def capture_staleness(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    hours = F.timestamp_diff("HOUR", F.date_trunc("hour", F.max("ts")), F.lit(NOW).cast("timestamp"))
-    return rows.groupBy(F.col("event_type").alias("source")).agg((hours >= 6).alias("stale"), F.count("*").alias("n"))
-
-
-@query("""SELECT source, count(*) AS n, round(avg(CASE WHEN n_chars < 500 THEN 1.0 ELSE 0.0 END), 6) AS drop_rate, count(*) >= 30 AND min(CASE WHEN n_chars < 500 THEN 1 ELSE 0 END) = 1 AS alert FROM documents GROUP BY 1""")
-def funnel_drop_rate(spark, sf_dir):
-    short = (F.col("n_chars") < 500).cast("int")
-    rows = table(spark, sf_dir, "documents").groupBy("source")
-    return rows.agg(F.count("*").alias("n"), _r(F.avg(short)).alias("drop_rate"), ((F.count("*") >= 30) & (F.min(short) == 1)).alias("alert"))
-
-
 _EDGES_SQL = """edges AS (SELECT DISTINCT l_partkey AS parent, l_partkey * 7 % 1999 + 2000 * (1 + l_suppkey % 3) AS child FROM lineitem
 UNION SELECT DISTINCT l_partkey * 7 % 1999 + 2000 * (1 + l_suppkey % 3), 20000 + l_suppkey FROM lineitem)"""
 
@@ -283,7 +269,7 @@ def trailing_run(spark, sf_dir):
 
 
 @query(f"""WITH {_RECIPROCITY}, s AS (SELECT thread, CAST(waiting AS BIGINT) AS waiting, CASE WHEN inbound >= 5 AND turn_count <= 1 AND outbound <= 1 THEN 0.3 WHEN turn_count >= 6 THEN 1.0
-  WHEN turn_count >= 2 THEN 0.7 + 0.3 * (turn_count - 2) / 4 ELSE 0.7 END AS score FROM r JOIN t USING (thread) WHERE waiting > 0)
+  WHEN turn_count >= 2 THEN 0.7 + 0.3 * (turn_count - 2) / 4 WHEN turn_count = 0 AND inbound >= 3 THEN 0.3 + 0.4 * (1 - least(1.0, inbound / 5.0)) ELSE 0.7 END AS score FROM r JOIN t USING (thread) WHERE waiting > 0)
 SELECT thread, waiting, round(CAST(score AS DOUBLE), 6) AS score FROM s ORDER BY s.score DESC, waiting DESC, thread LIMIT 50""")
 def catchup_rank(spark, sf_dir):
     return messaging.catchup(_turns(spark, sf_dir)).select("thread", "waiting", _r("score").alias("score"))
