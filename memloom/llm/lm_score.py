@@ -1,12 +1,13 @@
 """A log-bilinear neural language model, trained by noise-contrastive estimation.
 
 Tokens fall into a bounded number of classes: the most frequent words and the end
-have one each, any other word that of its ending. The model gives P(class | class
-before) as a softmax of a bilinear form of class vectors, and a word within a class
-by its count. Its training data are the class pairs of all training tokens, as a
-count table whose size the classes bound; against such a table the noise term can be
-taken in expectation instead of by samples. One matrix product then gives the
-normalised log-probabilities of all pairs, and texts are scored in batches.
+have one each, any other word that of its ending. The classes of the last words, each
+scaled by the weights of its position, add up to a vector; its products with the
+classes' vectors, normalised over all classes, give P(class | words before), and a word
+within a class goes by its count. Every training token is an example. Each task makes
+its minibatches of numpy products against sampled noise, from the same start, and the
+tasks' parameters are averaged by their tokens between passes. Texts are then scored
+in batches of products.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ FREQUENT, ENDINGS = 511, 512
 CLASSES = 1 + FREQUENT + ENDINGS
 #: Words whose counts every executor holds; the counts of all others are joined.
 HELD_WORDS = 200_000
-DIM, NOISE, STEPS = 32, 10, 300
-#: Shrinks class vectors towards the unigram model where pairs are few.
-RIDGE = 0.5
+#: Words before that the model sees, length of the vectors.
+CONTEXT, DIM = 4, 32
+#: Passes over all training tokens, tokens in a minibatch, noise tokens drawn for it, rate of the steps.
+PASSES, BATCH, NOISE, RATE = 1, 512, 64, 0.3
+#: Parameters travel in rows of this many: sums over a task's or several tasks' tokens, with the tokens.
+BLOCK = 4096
+_SUMS_DDL = "block int, part int, n double, total array<double>"
 
 
 def _words(texts):
@@ -68,83 +73,184 @@ def _count_words(batches):
         yield pa.record_batch([word, pa.array(np.append(n[some], batch.num_rows))], ["word", "c"])
 
 
-def _sequence(words, codes, at, shortlist) -> np.ndarray:
-    """Classes of all tokens, an end before the first text and after each."""
-    made = classes_of(words.to_pylist(), shortlist)[codes]
-    return np.concatenate(([0], np.insert(made, at[1:], 0)))
+def _examples(words, codes, at, shortlist) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each token with the end of each text, and the classes before it, nearest first; ends stand before a text."""
+    line = np.insert(classes_of(words.to_pylist(), shortlist)[codes], at[1:], 0)
+    sizes = np.diff(at) + 1
+    since = np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    line = line.astype(np.int16)
+    before = np.zeros((len(line), CONTEXT), np.int16)
+    for i in range(CONTEXT):
+        before[i + 1 :, i] = np.where(since[i + 1 :] > i, line[: len(line) - i - 1], 0)
+    return line, before
 
 
-def _pair_counts(shortlist: Broadcast):
+def _class_sums(shortlist: Broadcast):
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in slices(batches):
-            words, codes, at = _words(batch.column(0))
-            line = _sequence(words, *_present(words, codes, at), shortlist.value)
-            total += np.bincount(line[:-1] * CLASSES + line[1:], minlength=len(total))
-        cells = np.flatnonzero(total)
-        for i in range(0, len(cells), 100_000):
-            some = cells[i : i + 100_000]
-            yield pa.record_batch([pa.array(some), pa.array(total[some])], ["cell", "n"])
+        for batch in batches:
+            made = classes_of(batch.column(0).to_pylist(), shortlist.value)
+            c = batch.column(1).to_numpy()
+            total, n = np.bincount(made, c + 1, CLASSES), np.bincount(made, c, CLASSES)
+            some = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(some), pa.array(total[some]), pa.array(n[some])], ["class", "total", "n"])
 
     return run
 
 
-def _class_sums(shortlist: Broadcast):
+def start(n: np.ndarray, dim: int = DIM, context: int = CONTEXT, seed: int = 7) -> dict[str, np.ndarray]:
+    """Parameters before training: vectors of contexts Q and of classes R, weights of positions C, biases b of the classes' counts n."""
+    rng = np.random.default_rng(seed)
+    q = (n + 1) / (n.sum() + len(n))
+    return {
+        "Q": rng.normal(0, 0.1, (len(n), dim)).astype(np.float32),
+        "R": rng.normal(0, 0.1, (len(n), dim)).astype(np.float32),
+        "C": np.full((context, dim), 0.5, np.float32),
+        "b": np.log(q).astype(np.float32),
+    }
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
+
+
+class Nce:
+    """Noise-contrastive steps on one task's tokens, with steps scaled by past gradients (Adagrad).
+
+    The score of class w after context u is s(u, w) = sum over positions i of (C_i * Q[u_i]) . R_w + b_w. With
+    s' = sigmoid(s - log(k q)) a step raises log s'(u, w) of each token and log(1 - s'(u, v)) of the k
+    noise classes v that a minibatch shares, drawn by the unigram model q.
+    """
+
+    def __init__(self, p: dict[str, np.ndarray], q: np.ndarray, seed: int, rate: float = RATE, noise: int = NOISE):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.past = {k: np.full_like(v, 1e-2) for k, v in p.items()}
+        self.rng, self.rate, self.noise = np.random.default_rng(seed), rate, noise
+        self.edges = np.cumsum(q) / q.sum()
+        self.log_kq = np.log(noise * q).astype(np.float32)
+
+    def _move(self, name: str, rows, grad: np.ndarray) -> None:
+        self.past[name][rows] += grad * grad
+        self.p[name][rows] += self.rate * grad / np.sqrt(self.past[name][rows])
+
+    def step(self, w: np.ndarray, u: np.ndarray) -> None:
+        p = self.p
+        v = np.minimum(np.searchsorted(self.edges, self.rng.random(self.noise), "right"), len(self.edges) - 1)
+        seen = [p["Q"][u[:, i]] for i in range(u.shape[1])]
+        h = sum(c * x for c, x in zip(p["C"], seen, strict=True))
+        true, false = p["R"][w], p["R"][v]
+        sigmoid = lambda x: 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+        up = 1 - sigmoid((h * true).sum(1) + (p["b"] - self.log_kq)[w])
+        down = -sigmoid(h @ false.T + (p["b"] - self.log_kq)[v])
+        g = (up[:, None] * true + down @ false) / len(w)
+        rows = np.concatenate((w, v))
+        at, grad = _row_sums(rows, np.concatenate((up[:, None] * h, down.T @ h)) / len(w))
+        _, bias = _row_sums(rows, np.concatenate((up, down.sum(0))) / len(w))
+        places = np.stack([(g * x).sum(0) for x in seen])
+        contexts = _row_sums(u.T.ravel(), np.concatenate([g * c for c in p["C"]]))
+        self._move("R", at, grad)
+        self._move("b", at, bias)
+        self._move("C", slice(None), places)
+        self._move("Q", *contexts)
+
+    def learn(self, w: np.ndarray, u: np.ndarray, size: int = BATCH) -> None:
+        order = self.rng.permutation(len(w))
+        for i in range(0, len(order), size):
+            self.step(w[order[i : i + size]], u[order[i : i + size]])
+
+
+def _sums(rows: list[list]):
+    import pyarrow as pa
+
+    kinds = {"block": pa.int32(), "part": pa.int32(), "n": pa.float64(), "total": pa.list_(pa.float64())}
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+
+def _learn(model: Broadcast, turn: int):
     def run(batches):
-        import pyarrow as pa
+        from pyspark import TaskContext
 
-        for batch in batches:
-            made = classes_of(batch.column(0).to_pylist(), shortlist.value)
-            total = np.bincount(made, batch.column(1).to_numpy() + 1, CLASSES)
-            some = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(some), pa.array(total[some])], ["class", "total"])
+        task = TaskContext.get().partitionId()
+        m, tokens = model.value, 0
+        nce = Nce(m["p"], m["q"], seed=[turn, task])
+        for batch in slices(batches):
+            words, codes, at = _words(batch.column(0))
+            w, u = _examples(words, *_present(words, codes, at), m["shortlist"])
+            nce.learn(w, u)
+            tokens += len(w)
+        if tokens:
+            flat = np.concatenate([nce.p[k].ravel() for k in sorted(nce.p)]).astype(np.float64) * tokens
+            parts = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
+            yield _sums([[i, task % 256, float(tokens), x] for i, x in enumerate(parts)])
 
     return run
 
 
-def train_nce(pairs: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, seed: int = 7, ridge: float = RIDGE) -> dict[str, np.ndarray]:
-    """Class vectors R, context matrix C and biases b, where s(u, w) = (R_u C) . R_w + b_w.
+def _add(batches):
+    """Sums by block of a task's rows."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for block, part, n, total in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+            more = total.values.to_numpy(zero_copy_only=False)
+            _, _, n0, old = sums.get(block, (0, 0, 0.0, 0.0))
+            sums[block] = [block, part, n0 + n, old + more]
+    if sums:
+        yield _sums(list(sums.values()))
+
 
-    Maximises, over the counts n(u, w) and noise q, the sum of n(u, w) log s'(u, w) +
-    noise n(u) q(w) log(1 - s'(u, w)) with s' = sigmoid(s - log(noise q)), less a ridge, by Adam.
+def train(learnt: DataFrame, p: dict[str, np.ndarray], q: np.ndarray, shortlist: dict[str, int], passes: int = PASSES) -> dict[str, np.ndarray]:
+    """Parameters after passes over all training texts: each task starts from p, and their results are averaged by tokens.
+
+    A task's steps depend on its rows and its number alone, so a task that runs again gives the same result; another
+    division of the input into tasks gives slightly other parameters. Only sums of parameters meet, in blocks, by part
+    of the tasks and then over all; the driver gets one row for each block. Without a token p stays.
     """
-    k = len(pairs)
-    rng = np.random.default_rng(seed)
-    n_u = pairs.sum(1, keepdims=True)
-    q = (pairs.sum(0) + 1) / (pairs.sum() + k)
-    # Rare contexts weigh by the root of their count, so that they are learnt too.
-    weight = 1 / np.sqrt(n_u + 1) / max(1.0, np.sqrt(n_u + 1).sum() / k)
-    data, false = (pairs * weight).astype(np.float32), (noise * n_u * weight * q).astype(np.float32)
-    shift = np.log(noise * q).astype(np.float32)
-    p = {
-        "R": rng.normal(0, 0.1, (k, dim)).astype(np.float32),
-        "C": np.eye(dim, dtype=np.float32) + rng.normal(0, 0.1, (dim, dim)).astype(np.float32),
-        "b": np.log(q).astype(np.float32),
-    }
-    first, second = ({x: np.zeros_like(v) for x, v in p.items()} for _ in range(2))
-    for t in range(1, steps + 1):
-        context = p["R"] @ p["C"]
-        s = 1 / (1 + np.exp(np.clip(shift - context @ p["R"].T - p["b"], -30, 30)))
-        g = data * (1 - s) - false * s
-        grad = {"R": g.T @ context + g @ p["R"] @ p["C"].T - ridge * p["R"], "C": p["R"].T @ (g @ p["R"]), "b": g.sum(0)}
-        rate = 0.03 * min(1.0, 2 * (1 - (t - 1) / steps))
-        for x, v in grad.items():
-            first[x] = 0.9 * first[x] + 0.1 * v
-            second[x] = 0.99 * second[x] + 0.01 * v * v
-            p[x] += rate * (first[x] / (1 - 0.9**t)) / (np.sqrt(second[x] / (1 - 0.99**t)) + 1e-8)
+    for turn in range(passes):
+        model = learnt.sparkSession.sparkContext.broadcast({"p": p, "q": q, "shortlist": shortlist})
+        made = learnt.mapInArrow(_learn(model, turn), _SUMS_DDL)
+        for keys in (("block", "part"), ("block",)):
+            made = made.repartition(*keys).mapInArrow(_add, _SUMS_DDL)
+        rows = sorted(made.toArrow().to_pylist(), key=lambda r: r["block"])
+        if not rows:
+            return p
+        flat, at, new = np.concatenate([np.array(r["total"]) / r["n"] for r in rows]).astype(np.float32), 0, {}
+        for k in sorted(p):
+            new[k] = flat[at : at + p[k].size].reshape(p[k].shape)
+            at += p[k].size
+        p = new
     return p
 
 
-def log_probabilities(p: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 P(w | u) for all pairs: one batch of products, each row normalised."""
-    s = (p["R"] @ p["C"]).astype(np.float64) @ p["R"].T.astype(np.float64) + p["b"]
+def log_probabilities(p: dict[str, np.ndarray], u: np.ndarray) -> np.ndarray:
+    """log10 P(w | u) of all classes for each row of u: one product, each row normalised."""
+    h = sum(c * p["Q"][u[:, i]] for i, c in enumerate(p["C"]))
+    s = h @ p["R"].T + p["b"]
     s -= s.max(1, keepdims=True)
-    return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
+    return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.float32(np.log(10))
+
+
+def token_scores(p: dict[str, np.ndarray], w: np.ndarray, u: np.ndarray, rows: int = 512) -> np.ndarray:
+    """log10 P(w | u) of each token: a product for each batch, of which the token's own score and the norm are kept."""
+    made = np.empty(len(w))
+    out = np.concatenate((p["R"], p["b"][:, None]), axis=1).T.copy()
+    seen = [c * p["Q"] for c in p["C"]]
+    h = np.ones((rows, len(out)), np.float32)
+    for i in range(0, len(w), rows):
+        some = w[i : i + rows]
+        h[: len(some), :-1] = sum(x[u[i : i + rows, k]] for k, x in enumerate(seen))
+        s = h[: len(some)] @ out
+        s -= s.max(1, keepdims=True)
+        own = s[np.arange(len(some)), some].astype(np.float64)
+        made[i : i + rows] = own - np.log(np.exp(s, out=s).sum(1, dtype=np.float64))
+    return made / np.log(10)
 
 
-_tables: dict[str, tuple] = {}
+_tables: dict[str, dict] = {}
 
 
 def _score(model: Broadcast):
@@ -154,8 +260,8 @@ def _score(model: Broadcast):
         m = model.value
         if m["key"] not in _tables:
             _tables.clear()
-            _tables[m["key"]] = log_probabilities(m["p"]), dict(zip(m["words"], m["counts"].tolist(), strict=True))
-        pair, held = _tables[m["key"]]
+            _tables[m["key"]] = dict(zip(m["words"], m["counts"].tolist(), strict=True))
+        held = _tables[m["key"]]
         log_total = np.log10(m["n"] + m["v"] + 1)
         within = -np.log10(m["class_total"] + 1)  # the one is for words that training lacks
         for batch in slices(batches):
@@ -166,8 +272,7 @@ def _score(model: Broadcast):
             c = np.array([held.get(w, -1) for w in names], np.int64) if names else np.zeros(0, np.int64)
             log_c = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0)
             inner = np.where(kind > FREQUENT, log_c + within[kind], 0)
-            line = _sequence(words, codes, at, m["shortlist"])
-            step = pair[line[:-1], line[1:]]
+            step = token_scores(m["p"], *_examples(words, codes, at, m["shortlist"]))
             ends = at[1:] + np.arange(1, len(at))  # each text has one end more
             total = lambda x, edges: np.diff(np.concatenate(([0], np.cumsum(x)))[edges])
             n = np.diff(at) + 1
@@ -215,8 +320,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     Texts whose crc32 of the id modulo ``folds`` is ``held_fold`` are scored but not learnt from; a
     null id is learnt from. Null text is empty: one end token. Repeated rows are learnt and scored
-    each. Without training texts every word is unknown. Counts, classes and pairs come from all
-    training tokens; only the counts of words grow with the corpus, and those stay in a table.
+    each. Without training texts every word is unknown. Counts come from all training tokens, and
+    all of them are examples for the model; the counts of words grow with the corpus and stay in a table.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -233,16 +338,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     named = counts.where("word <> ''")
     words, word_counts = _frequent(named)
     shortlist = sc.broadcast({w: i + 1 for i, w in enumerate(words[:FREQUENT])})
-    pairs = np.zeros(CLASSES * CLASSES)
-    found = learnt.mapInArrow(_pair_counts(shortlist), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    pairs[found["cell"].to_numpy()] = found["n"].to_numpy()
-    totals = np.zeros(CLASSES)
-    for r in named.mapInArrow(_class_sums(shortlist), "class long, total double").groupBy("class").agg(F.sum("total").alias("total")).collect():
-        totals[r["class"]] = r["total"]
+    totals, n_class = np.zeros(CLASSES), np.zeros(CLASSES)
+    n_class[0] = ends
+    sums = named.mapInArrow(_class_sums(shortlist), "class long, total double, n double").groupBy("class").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    for r in sums.collect():
+        totals[r["class"]], n_class[r["class"]] = r["total"], r["n"]
     model = sc.broadcast(
         {
             "key": uuid4().hex,
-            "p": train_nce(pairs.reshape(CLASSES, CLASSES)),
+            "p": train(learnt, start(n_class), (n_class + 1) / (n_class.sum() + CLASSES), shortlist.value),
             "words": words,
             "counts": word_counts,
             "shortlist": shortlist.value,

@@ -119,8 +119,32 @@ def test_lm_base_score_and_normalisation(spark, odd, empty, monkeypatch):
             c[w] = c.get(w, 0) + 1
     n, v = sum(c.values()), len(c)
     told = sorted((i, held(i), len(t), sum(w in c for w in t), n, round(sum(np.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in t), 6)) for i, t in tokens)
+    trained, fit = [], lm_score.train
+
+    def train(learnt, p, q, shortlist):
+        trained.extend((fit(learnt, p, q, shortlist), shortlist))
+        return trained[0]
+
+    monkeypatch.setattr(lm_score, "train", train)
     made = lm_score.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r[0], r[1], r[2], r[3], r[4], round(r[5], 6)) for r in made) == told
+    # The score, token by token.
+    p, shortlist = trained[:2]
+    kind = lambda w: 0 if w is None else int(lm_score.classes_of([w], shortlist)[0])
+    in_class = {}
+    for w in c.keys() - {None}:
+        in_class[kind(w)] = in_class.get(kind(w), 1) + c[w] + 1
+    plain = {}
+    for i, t in tokens:
+        classes, total = [kind(w) for w in t], 0.0
+        for j, (w, k) in enumerate(zip(t, classes, strict=True)):
+            before = ([0] * lm_score.CONTEXT + classes[:j])[: -lm_score.CONTEXT - 1 : -1]
+            s = p["b"] + p["R"] @ sum(p["C"][x] * p["Q"][b] for x, b in enumerate(before))
+            total += (s[k] - np.log(np.exp(s.astype(float)).sum())) / np.log(10)
+            if k > lm_score.FREQUENT:
+                total += np.log10((c.get(w, 0) + 1) / in_class.get(k, 1))
+        plain[i] = total
+    assert all(abs(r["score"] - plain[r["doc_id"]]) < 1e-3 * r["n_tokens"] for r in made)
     assert lm_score.lm_scores(empty).count() == 0
     assert lm_score.lm_scores(odd).count() == len(ODD)
 
@@ -133,11 +157,56 @@ def test_frequent_words_fill_the_bound(spark, monkeypatch):
 
 
 def test_nce_learns_and_normalises():
-    pairs = np.ones((6, 6))
-    pairs[np.arange(6), (np.arange(6) + 1) % 6] = 200
-    table_ = lm_score.log_probabilities(lm_score.train_nce(pairs, dim=8))
-    assert np.allclose((10**table_).sum(1), 1)
-    assert (table_.argmax(1) == (np.arange(6) + 1) % 6).all()
+    line = np.arange(30_000) % 6  # each class follows the one before
+    w, u = line[2:], np.stack([line[1:-1], line[:-2]], 1)
+    n = np.bincount(w, minlength=6)
+    nce = lm_score.Nce(lm_score.start(n, dim=8, context=2), (n + 1) / (n.sum() + 6), seed=1, noise=16)
+    for _ in range(3):
+        nce.learn(w, u, size=100)
+    table_ = lm_score.log_probabilities(nce.p, u)
+    assert np.allclose((10.0**table_).sum(1), 1, atol=1e-4)
+    assert (table_.argmax(1) == w).all()
+    assert np.allclose(lm_score.token_scores(nce.p, w, u, rows=100), table_[np.arange(len(w)), w], atol=1e-4)
+
+
+def test_nce_step_follows_its_gradient():
+    """One step against the objective's slope by differences, on the noise that the step draws."""
+    rng = np.random.default_rng(3)
+    w, u, n = rng.integers(0, 5, 40), rng.integers(0, 5, (40, 2)), np.array([9, 5, 4, 2, 1])
+    q = n / n.sum()
+    p = {k: v.astype(np.float64) for k, v in lm_score.start(n, dim=3, context=2).items()}
+    nce = lm_score.Nce(p, q, seed=4, noise=8)
+    v = np.searchsorted(np.cumsum(q), np.random.default_rng(4).random(8), "right")
+
+    def objective(x):
+        h = sum(x["C"][i] * x["Q"][u[:, i]] for i in range(2))
+        s = h @ x["R"].T + x["b"] - np.log(8 * q)
+        return (-np.log1p(np.exp(-s[np.arange(40), w])) - np.log1p(np.exp(s[:, v])).sum(1)).mean()
+
+    got = {}
+    nce._move = lambda name, rows, grad: got.update({name: np.zeros_like(p[name])}) or got[name].__setitem__(rows, grad)
+    nce.step(w, u)
+    for name, x in p.items():
+        for at in np.ndindex(x.shape):
+            near = [{**p, name: x + d * (np.arange(x.size).reshape(x.shape) == np.ravel_multi_index(at, x.shape))} for d in (1e-5, -1e-5)]
+            assert abs((objective(near[0]) - objective(near[1])) / 2e-5 - got[name][at]) < 1e-5
+
+
+def test_lm_contexts_stay_inside_a_text():
+    import pyarrow as pa
+
+    words, codes, at = lm_score._words(pa.array(["a b a", "", "b"]))
+    w, u = lm_score._examples(words, *lm_score._present(words, codes, at), {"a": 1, "b": 2})
+    assert w.tolist() == [1, 2, 1, 0, 0, 2, 0]
+    assert u[:, :3].tolist() == [[0, 0, 0], [1, 0, 0], [2, 1, 0], [1, 2, 1], [0, 0, 0], [0, 0, 0], [2, 0, 0]]
+
+
+def test_lm_parameters_are_averaged_by_tokens(spark):
+    rows = spark.createDataFrame([(0, i % 4, float(i), [float(i), 1.0]) for i in range(1, 9)], lm_score._SUMS_DDL).repartition(3)
+    for keys in (("block", "part"), ("block",)):
+        rows = rows.repartition(*keys).mapInArrow(lm_score._add, lm_score._SUMS_DDL)
+    (r,) = rows.collect()
+    assert (r["n"], list(r["total"])) == (36.0, [36.0, 8.0])
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark):
