@@ -140,18 +140,25 @@ class Nce:
 
     def step(self, w: np.ndarray, u: np.ndarray) -> None:
         p = self.p
-        v = np.minimum(np.searchsorted(self.edges, self.rng.random(self.noise), "right"), len(self.edges) - 1)
+        v = np.minimum(np.searchsorted(self.edges, self.rng.random(self.noise), "right"), len(self.edges) - 1).astype(w.dtype)
         seen = [p["Q"][u[:, i]] for i in range(u.shape[1])]
         h = sum(c * x for c, x in zip(p["C"], seen, strict=True))
         true, false = p["R"][w], p["R"][v]
-        sigmoid = lambda x: 1 / (1 + np.exp(np.clip(-x, -30, 30)))
-        up = 1 - sigmoid((h * true).sum(1) + (p["b"] - self.log_kq)[w])
-        down = -sigmoid(h @ false.T + (p["b"] - self.log_kq)[v])
-        g = (up[:, None] * true + down @ false) / len(w)
+        over = p["b"] - self.log_kq
+        # The logistic function of x is (1 + tanh(x / 2)) / 2; the mean over the minibatch is in the factors.
+        up = (1 - np.tanh((np.einsum("ij,ij->i", h, true) + over[w]) / 2)) / (2 * len(w))
+        down = np.tanh((h @ false.T + over[v]) / 2)
+        down += 1
+        down /= -2 * len(w)
+        g = up[:, None] * true + down @ false
         rows = np.concatenate((w, v))
-        at, grad = _row_sums(rows, np.concatenate((up[:, None] * h, down.T @ h)) / len(w))
-        _, bias = _row_sums(rows, np.concatenate((up, down.sum(0))) / len(w))
-        places = np.stack([(g * x).sum(0) for x in seen])
+        # The last column is the bias.
+        values = np.empty((len(rows), h.shape[1] + 1), h.dtype)
+        values[: len(w), :-1], values[: len(w), -1] = up[:, None] * h, up
+        values[len(w) :, :-1], values[len(w) :, -1] = down.T @ h, down.sum(0)
+        at, grad = _row_sums(rows, values)
+        grad, bias = grad[:, :-1], grad[:, -1]
+        places = np.stack([np.einsum("ij,ij->j", g, x) for x in seen])
         contexts = _row_sums(u.T.ravel(), np.concatenate([g * c for c in p["C"]]))
         self._move("R", at, grad)
         self._move("b", at, bias)
@@ -234,23 +241,41 @@ def log_probabilities(p: dict[str, np.ndarray], u: np.ndarray) -> np.ndarray:
     return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.float32(np.log(10))
 
 
-def token_scores(p: dict[str, np.ndarray], w: np.ndarray, u: np.ndarray, rows: int = 512) -> np.ndarray:
-    """log10 P(w | u) of each token: a product for each batch, of which the token's own score and the norm are kept."""
-    made = np.empty(len(w))
-    out = np.concatenate((p["R"], p["b"][:, None]), axis=1).T.copy()
-    seen = [c * p["Q"] for c in p["C"]]
-    h = np.ones((rows, len(out)), np.float32)
-    for i in range(0, len(w), rows):
-        some = w[i : i + rows]
-        h[: len(some), :-1] = sum(x[u[i : i + rows, k]] for k, x in enumerate(seen))
-        s = h[: len(some)] @ out
-        s -= s.max(1, keepdims=True)
-        own = s[np.arange(len(some)), some].astype(np.float64)
-        made[i : i + rows] = own - np.log(np.exp(s, out=s).sum(1, dtype=np.float64))
-    return made / np.log(10)
+def score_tables(p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """What one place adds to the scores: products S_i of all classes, their row maxima, and exp of S_i less these; the first has the biases."""
+    products = np.stack([(c * p["Q"]) @ p["R"].T for c in p["C"]])
+    products[0] += p["b"]
+    top = products.max(2)
+    return products, top, np.exp(products - top[:, :, None])
 
 
-_tables: dict[str, dict] = {}
+def token_scores(tables: tuple[np.ndarray, ...], w: np.ndarray, u: np.ndarray, rows: int = 256) -> np.ndarray:
+    """log10 P(w | u) of each token. The norm's terms, exp of a sum over places, are products of the places' rows.
+
+    Tokens whose products get too small for that take the sum of the scores itself.
+    """
+    products, top, factors = tables
+    n, places = u.shape
+    own, norm = np.zeros(n), np.empty(n)
+    for k in range(places):
+        own += products[k, u[:, k], w] - top[k, u[:, k]].astype(np.float64)
+    made, more = (np.empty((rows, products.shape[2]), np.float32) for _ in range(2))
+    one = np.ones(products.shape[2], np.float32)
+    for i in range(0, n, rows):
+        some = u[i : i + rows].astype(np.intp)
+        x, y = made[: len(some)], more[: len(some)]
+        np.take(factors[0], some[:, 0], axis=0, out=x, mode="clip")
+        for k in range(1, places):
+            np.take(factors[k], some[:, k], axis=0, out=y, mode="clip")
+            np.multiply(x, y, out=x)
+        norm[i : i + rows] = x @ one
+    for i in np.flatnonzero(norm < 1e-25):
+        s = sum(products[k, u[i, k]] - top[k, u[i, k]] for k in range(places)).astype(np.float64)
+        own[i], norm[i] = own[i] - s.max(), np.exp(s - s.max()).sum()
+    return (own - np.log(norm)) / np.log(10)
+
+
+_tables: dict[str, tuple] = {}
 
 
 def _score(model: Broadcast):
@@ -260,8 +285,8 @@ def _score(model: Broadcast):
         m = model.value
         if m["key"] not in _tables:
             _tables.clear()
-            _tables[m["key"]] = dict(zip(m["words"], m["counts"].tolist(), strict=True))
-        held = _tables[m["key"]]
+            _tables[m["key"]] = score_tables(m["p"]), dict(zip(m["words"], m["counts"].tolist(), strict=True))
+        scores, held = _tables[m["key"]]
         log_total = np.log10(m["n"] + m["v"] + 1)
         within = -np.log10(m["class_total"] + 1)  # the one is for words that training lacks
         for batch in slices(batches):
@@ -272,7 +297,7 @@ def _score(model: Broadcast):
             c = np.array([held.get(w, -1) for w in names], np.int64) if names else np.zeros(0, np.int64)
             log_c = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0)
             inner = np.where(kind > FREQUENT, log_c + within[kind], 0)
-            step = token_scores(m["p"], *_examples(words, codes, at, m["shortlist"]))
+            step = token_scores(scores, *_examples(words, codes, at, m["shortlist"]))
             ends = at[1:] + np.arange(1, len(at))  # each text has one end more
             total = lambda x, edges: np.diff(np.concatenate(([0], np.cumsum(x)))[edges])
             n = np.diff(at) + 1

@@ -166,7 +166,9 @@ def test_nce_learns_and_normalises():
     table_ = lm_score.log_probabilities(nce.p, u)
     assert np.allclose((10.0**table_).sum(1), 1, atol=1e-4)
     assert (table_.argmax(1) == w).all()
-    assert np.allclose(lm_score.token_scores(nce.p, w, u, rows=100), table_[np.arange(len(w)), w], atol=1e-4)
+    assert np.allclose(lm_score.token_scores(lm_score.score_tables(nce.p), w, u, rows=100), table_[np.arange(len(w)), w], atol=1e-4)
+    far = {**nce.p, "Q": nce.p["Q"] * 60}  # products below what floats hold
+    assert np.allclose(lm_score.token_scores(lm_score.score_tables(far), w[:600], u[:600]), lm_score.log_probabilities(far, u[:600])[np.arange(600), w[:600]], rtol=1e-4, atol=1e-2)
 
 
 def test_nce_step_follows_its_gradient():
