@@ -92,3 +92,14 @@ LAG_WARN_MS, LAG_GROWTH_MS = 24 * 3_600_000, 3_600_000
 LIVE_ROWS, LIVE_SHARE = 100, 0.5
 GAINS = {"expected": 2.0, "neighbour": 1.0, "forbidden": -2.0}
 CATCHUP_ROWS, CATCHUP_MOST = 50, 500
+
+# The inverted index: buckets of terms, tasks that write a bucket, and the share of texts that it must cover to serve.
+POSTING_BUCKETS, POSTING_SPLITS, LEXICAL_COVERAGE = 64, 4, 0.99
+# The vector index: rows a cell, rows that the centroids are trained on, rounds, cells probed first, and rows and queries that meet at once.
+CELL_ROWS, CELL_SAMPLE, CELLS_MOST, CELL_ROUNDS, PROBES = 256, 20_000, 4_096, 8, 8
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
+
+# Kinds of entities, and the least code points of a name.
+ENTITY_KINDS, NAME_LEAST = ("person", "place", "org", "project", "event", "topic", "artifact"), 3
+#: Different numbers of pieces that the names of a lexicon may have.
+NAME_PIECES = 32

@@ -1,6 +1,6 @@
 """The registered queries; importing the modules registers them."""
 
-from memloom.plans import bonds, health, ingest, measures, queries, recall, scores  # noqa: F401
+from memloom.plans import bonds, health, ingest, measures, privacy, queries, recall, scores  # noqa: F401
 from memloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from memloom import config as C
 from memloom.functions import scoring, text, vector
-from memloom.operators import events, graph, messaging, retrieval
+from memloom.operators import ann, events, graph, messaging, postings, retrieval
+from memloom.plans import indexes
 from memloom.plans.registry import NOW, facts, query, table
 from memloom.plans.registry import rounded as _r
 
@@ -28,15 +29,13 @@ bm AS (SELECT id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2
 
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 50")
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25_topk(facts(spark, sf_dir), TERMS).select("id", _r("score").alias("score"))
+    return postings.search(spark, indexes.lexical(spark, sf_dir), TERMS).select("id", _r("score").alias("score"))
 
 
 @query(f"""WITH words AS (SELECT unnest({_TOKENS}) AS t, doc_id FROM documents)
 SELECT t AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM words GROUP BY t""")
 def bm25_stats(spark, sf_dir):
-    words = retrieval.lengths(facts(spark, sf_dir)).select("id", F.explode("words").alias("term"))
-    per_doc = words.groupBy("term", "id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    return postings.frequencies(spark, indexes.lexical(spark, sf_dir))
 
 
 def _vectors(spark, sf_dir):
@@ -53,7 +52,18 @@ _DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUB
 @query(f"""SELECT a.vec_id AS id, round({_DOT}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b
 ORDER BY {_DOT} DESC, id LIMIT 20""")
 def knn_cosine(spark, sf_dir):
-    return retrieval.knn(_vectors(spark, sf_dir), _one_vector(spark, sf_dir), 20).select("id", _r("score").alias("score"))
+    one = _vectors(spark, sf_dir).where("id = 0").select(F.col("id").alias("query"), "embedding")
+    return ann.search(one, indexes.cells(spark, sf_dir), 20).select("id", _r("score").alias("score"))
+
+
+@query(f"""SELECT query, id, round(score, 6) AS score FROM (
+  SELECT b.vec_id AS query, a.vec_id AS id, round({_DOT}, 12) AS score,
+    row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_DOT}, 12) DESC, a.vec_id) AS r
+  FROM embeddings a, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) b) WHERE r <= 10""")
+def ann_topk(spark, sf_dir):
+    """The ten nearest of every vector whose id is divisible by 50, among all vectors, from the index of cells."""
+    asked = _vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query"), "embedding")
+    return ann.search(asked, indexes.cells(spark, sf_dir), 10).select("query", "id", _r("score").alias("score"))
 
 
 @query(f"""SELECT a.label, round(max({_DOT}), 6) AS maxsim FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b
@@ -76,8 +86,9 @@ dense AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM (
   SELECT a.vec_id AS id, {_DOT} AS s FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b) ORDER BY s DESC, id LIMIT 50)
 SELECT id, round(sum(1.0::DOUBLE / (60 + r - 1)), 6) AS rrf FROM (SELECT * FROM lex UNION ALL SELECT * FROM dense) GROUP BY id ORDER BY sum(1.0::DOUBLE / (60 + r - 1)) DESC, id LIMIT 50""")
 def rrf_hybrid(spark, sf_dir):
-    lexical = retrieval.bm25_topk(facts(spark, sf_dir), TERMS)
-    dense = retrieval.knn(_vectors(spark, sf_dir), _one_vector(spark, sf_dir), 50)
+    lexical = postings.search(spark, indexes.lexical(spark, sf_dir), TERMS)
+    one = _vectors(spark, sf_dir).where("id = 0").select(F.col("id").alias("query"), "embedding")
+    dense = ann.search(one, indexes.cells(spark, sf_dir), C.FUSED_TOP).select("id", "score")
     return retrieval.rrf([lexical, dense]).select("id", _r("rrf").alias("rrf"))
 
 
