@@ -1,8 +1,9 @@
 """URL verdicts: host rules first, then naive Bayes over segmented words.
 
-Host labels are often words run together. A unigram model of words (counts over
-the tokens of all urls, and the labelled examples) splits them by Viterbi, and a
-multinomial naive Bayes model scores the words of host and path. All counts stay in
+Host labels are often words run together. A unigram model of words (from the running
+text of the pages, and the labelled examples) splits them by Viterbi, and a
+multinomial naive Bayes model scores the words of host and path. A word counts by the sites whose text has it, so
+neither a name nor the number of its pages makes it a word. All counts stay in
 a table: each distinct name is joined to those of its substrings, and split once.
 """
 
@@ -39,7 +40,12 @@ ALLOW_TOPICS = {
     "sport": "sports football club chess league team tennis cycling running",
 }
 
+#: Letters of a word at most; a longer run of letters is split, or taken as unknown.
 MAX_WORD = 24
+#: Sites whose text must have a word, and letters of the parts that a name which is itself a word is split into.
+LEAST_SITES, PART = 2, 3
+#: Share of urls to block that the verdict assumes: one word of a topic to block outweighs it, if no other word speaks against.
+PRIOR_BLOCK = 0.4
 #: Scores are summed as whole numbers of this size, so that no order of rows matters.
 UNIT = 1 << 32
 _TOKEN = "[^a-z0-9\\x80-\\x{10ffff}]+"
@@ -78,52 +84,68 @@ def example_words(texts: list[str]) -> list[list[str]]:
     return [re.findall(r"[a-z0-9]+", t) for t in texts]
 
 
-def unigram_counts(urls: DataFrame, seeds: list[str]) -> DataFrame:
-    """(token, n): counts over the tokens of all urls; tokens that can be no word of the model are left out.
+def unigram_counts(texts: DataFrame) -> DataFrame:
+    """(token, n) of ``site, html``: on how many sites' pages a word stands, at least LEAST_SITES.
 
-    A token of four letters and more that occurs once is none, unless the examples have it.
+    Words are what stands between white space, without marks at its end, in text without tags, scripts and styles; what holds
+    dots or slashes, like the name of a host, is no word. A site counts once however many pages it has.
     """
-    tokens = urls.select(F.explode(F.split(F.concat_ws("/", "host", ascii_lower(F.col("path"))), _TOKEN)).alias("token"))
-    counts = tokens.where((F.length("token") > 1) & (F.length("token") <= MAX_WORD)).groupBy("token").agg(F.count("*").alias("n"))
-    return counts.where((F.length("token") < 4) | (F.col("n") > 1) | F.col("token").isin(sorted(set(seeds))))
+    bare = F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    words = F.transform(F.split(ascii_lower(bare), r"\s+"), lambda w: F.regexp_replace(w, "[.,;:!?]+$", ""))
+    shaped = F.array_distinct(F.filter(words, lambda w: w.rlike(rf"^[a-z0-9\x80-\x{{10ffff}}]{{2,{MAX_WORD}}}$")))
+    return texts.select("site", F.explode(shaped).alias("token")).distinct().groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SITES)
+
+
+def site(host: Column) -> Column:
+    """The last two labels of a host."""
+    return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
 
 
 class Segmenter:
     """Unigram Viterbi: the split of a name with the highest product of word probabilities.
 
-    A word that the model lacks costs as one of a probability that falls tenfold per letter; a
-    name that another name is made of should not hide its parts, so counts enter by logarithm.
-    ``more`` is the weight of the words that ``split`` is given with each name.
+    A word that the model lacks costs as one of a probability that falls tenfold per letter. A name that is itself a word, but
+    none of the examples, is split all the same if it is made of known words of PART letters or more: so it doesn't
+    matter whether some text has it. ``more`` is the weight of the words that ``split`` is given with each name.
     """
 
     def __init__(self, counts: dict[str, int], seeds: set[str], more: float = 0.0):
-        weight = {w: math.log1p(n) + (4 if w in seeds else 0) for w, n in counts.items() if w in seeds or len(w) < 4 or n > 1}
+        weight = {w: math.log1p(n) + (4 if w in seeds else 0) for w, n in counts.items()}
+        self.seeds = seeds
         self.total = math.log(math.fsum(weight.values()) + more or 1)
         self.cost = {w: self.total - math.log(v) for w, v in weight.items()}
         self.unknown = self.total + 1
 
-    def split(self, name: str, counts: dict[str, int] | None = None) -> tuple[str, ...]:
-        """The words of the whole name; ``counts`` has those of its substrings that this model lacks."""
-        cost = self.cost | {w: self.total - math.log(math.log1p(n)) for w, n in (counts or {}).items() if w not in self.cost}
+    def _best(self, name: str, cost: dict[str, float], unknown: bool, whole: bool) -> tuple[float, tuple[str, ...]]:
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             found = (math.inf, 0)
             for start in range(max(0, end - MAX_WORD), end):
                 word = name[start:end]
-                found = min(found, (best[start] + cost.get(word, self.unknown + math.log(10) * len(word)), start))
+                known = cost.get(word, math.inf) if whole or PART <= len(word) < len(name) else math.inf
+                found = min(found, (best[start] + (min(known, self.unknown + math.log(10) * len(word)) if unknown and known == math.inf else known), start))
             best.append(found[0])
             back.append(found[1])
         words, end = [], len(name)
-        while end:
+        while end and best[-1] < math.inf:
             words.append(name[back[end] : end])
             end = back[end]
-        return tuple(reversed(words))
+        return best[-1], tuple(reversed(words))
+
+    def split(self, name: str, counts: dict[str, int] | None = None) -> tuple[str, ...]:
+        """The words of the whole name; ``counts`` has those of its substrings that this model lacks."""
+        cost = self.cost | {w: self.total - math.log(math.log1p(n)) for w, n in (counts or {}).items() if w not in self.cost}
+        _, words = self._best(name, cost, True, True)
+        if len(words) == 1 and name not in self.seeds:
+            price, parts = self._best(name, cost, False, False)
+            words = parts if price < math.inf else words
+        return words
 
 
 class NaiveBayes:
     """Multinomial, with add-one smoothing; words that no class has seen say nothing."""
 
-    def __init__(self, block: list[list[str]], allow: list[list[str]], prior_block: float = 0.25):
+    def __init__(self, block: list[list[str]], allow: list[list[str]], prior_block: float = PRIOR_BLOCK):
         vocabulary = {w for words in [*block, *allow] for w in words}
         self.prior = math.log(prior_block / (1 - prior_block))
         tallies = []
@@ -221,24 +243,27 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     examples: tuple[list[str], list[str]] | None = None,
-    prior_block: float = 0.25,
+    prior_block: float = PRIOR_BLOCK,
+    text_col: str = "html",
 ) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict (allow or block).
 
     Rules are ``host/path`` prefixes with their verdict, a short list that becomes one CASE. A url
     that no rule fits goes to the method, and without host and path it is allowed by the prior.
     ``examples`` are texts to block and to allow, which the model learns from (a bounded list; by
-    default the built-in topics). Names are taken whole, however long. Repeated rows are judged alike,
-    null ids stay, null urls have empty parts, other columns are ignored, no rows give none.
+    default the built-in topics). Words of the segmenter come from the pages' ``text_col``, where there is one. Names are
+    taken whole, however long. Repeated rows are judged alike, and so is a url however often it or its host occurs; null ids stay, null urls have empty parts, other columns are ignored, no rows give none.
     """
     block, allow = (example_words(t) for t in examples or topic_examples())
     url = F.col("url")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    html = F.col(text_col).cast("string") if text_col in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     host, path = split_url(url)
+    texts = rows.select(site(host).alias("site"), "html")
     parts = rows.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_column(rules, F.col("host"), F.col("path"))
     ruled = parts.withColumns({"rule": rule, "ruled": verdict})
-    counts = written(unigram_counts(parts, [w for words in [*block, *allow] for w in words]), "url-counts")
+    counts = written(unigram_counts(texts), "url-counts")
     open_urls = ruled.where("ruled is null").select("host", "path").distinct()
     named = written(open_urls.mapInArrow(_named, "host string, path string, name string"), "url-names")
     scores = written(name_scores(named.select("name").distinct(), counts, block, allow), "name-scores")

@@ -556,24 +556,38 @@ def test_long_url_tokens_are_judged_whole(spark):
     assert {r["page_id"]: r["verdict"] for r in made} == {1: "block", 2: "block", 3: "allow"}
 
 
-def test_urls_are_judged_alike_at_every_size(spark):
-    rows = [(1, "http://a.net/freecasinoprizewin"), (2, "http://b.net/freecasinoprizewin"), (3, "http://c.net/freecasinoprize/win")]
-    many = [(10 + i, f"http://n{i // 3 + 10000}.net/") for i in range(3 * 20_100)]
-    for urls in (rows, rows + many):
-        made = url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), {}).where("page_id < 10").collect()
-        assert {r["page_id"]: r["verdict"] for r in made} == {1: "allow", 2: "allow", 3: "block"}
+@pytest.mark.parametrize("pages", [1, 2, 1000])
+def test_urls_are_judged_alike_at_every_size(spark, pages):
+    """However many pages a host has, and though all its pages and other sites' name it, its run-together name is split."""
+    names = {"cheappills.info": "block", "casinowin.com": "block", "freecasinoprizewin.net": "block", "scienceschool.org": "allow", "adult-x.com": "block", "pxqzrt.com": "allow"}
+    text = "<p>Welcome to cheappills, casinowin and pxqzrt! &copy; cheappills.info</p>"
+    rows = [(i * pages + k, f"http://www.{n}/{k}", text) for i, n in enumerate(names) for k in range(pages)]
+    made = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), {}).select("host", "verdict").distinct().collect()
+    assert {r["host"][4:]: r["verdict"] for r in made} == names
+
+
+def test_words_come_from_running_text_of_several_sites(spark):
+    rows = [("a.com", "<p>Thering holds, thering (b.com) x</p><script>ninea()</script>"), ("a.com", "thering solo"), ("b.com", "see thering. holds! <b title='solo'>it</b>"), ("c.com", None)]
+    made = url_filter.unigram_counts(spark.createDataFrame(rows, "site string, html string")).collect()
+    assert sorted(map(tuple, made)) == [("holds", 2), ("thering", 2)]
 
 
 def test_urls_equal_one_model_of_all_counts(spark):
     rng, parts = random.Random(8), ["casino", "daily", "win", "abc", "zorp", "news", "free", "Ünï", "x1", "prize"]
+    words = ["abc", "zorp", "casinowin", "abczorp", "newsdaily", "x1", "zor", "Ünï"]
     urls = [f"http://{''.join(rng.choices(parts, k=rng.randint(1, 3)))}.net/{''.join(rng.choices(parts, k=rng.randint(0, 4)))}/{rng.choice(parts)}" for _ in range(300)]
-    made = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls + urls[:20])), "page_id long, url string"), {}).collect()
+    rows = [(i, u, " ".join(rng.choices(words, k=3))) for i, u in enumerate(urls + urls[:20])]
+    made = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), {}).collect()
     lists = [url_filter.example_words(t) for t in url_filter.topic_examples()]
     seeds = [w for words in lists for ws in words for w in ws]
-    names = {i: [t for t in re.split(r"[^a-z0-9\x80-\U0010ffff]+", u[7:].translate(LOWER)) if t] for i, u in enumerate(urls + urls[:20])}
+    sites = {}
+    for _, u, t in rows:
+        for w in t.translate(LOWER).split():
+            sites.setdefault(w, set()).add(".".join(u[7:].split("/")[0].translate(LOWER).split(".")[-2:]))
     counts = {w: 5 * seeds.count(w) for w in seeds}
-    for t in (t for ts in names.values() for t in ts if 1 < len(t) <= 24):
-        counts[t] = counts.get(t, 0) + 1
+    for w, at in sites.items():
+        if len(at) > 1:
+            counts[w] = counts.get(w, 0) + len(at)
     split, bayes = url_filter.Segmenter(counts, set(seeds)).split, url_filter.NaiveBayes(*lists)
     lowered = {i: url_filter.url_names(r["host"], r["path"]) for i, r in ((r["page_id"], r) for r in made)}
     told = {i: "block" if bayes.score([w for t in ts for w in split(t)]) > 0 else "allow" for i, ts in lowered.items()}
