@@ -16,6 +16,7 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_rows, written
 
@@ -29,7 +30,13 @@ _WORDS = bytes(
     for c in range(256)
 )
 
-HITS = "array<struct<item_id:long,first_word:long,last_word:long,first_char:long,end_char:long>>"
+#: What is known of a row between scans: its words, the merged spans of words that are hit, and the items that hit it.
+STATE = (
+    T.StructField("n_words", T.LongType()),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))),
+    T.StructField("items", T.ArrayType(T.LongType())),
+)
+SPANS = "array<struct<first_word:long,last_word:long,first_char:long,end_char:long>>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -53,30 +60,44 @@ def build_automaton(items: list[tuple[int, str]], size: int = WINDOW):
     number = {w: n for n, w in enumerate(dict.fromkeys(w for _, line in words for w in line))}
     base = int(len(number) ** 0.5) + 1
     letters = {w: chr(0x100 + n // base) + chr(0x4000 + n % base) for w, n in number.items()}
-    ids: dict[str, tuple[int, ...]] = {}
+    ids: dict[str, list[int]] = {}
     for item, line in words:
         for w in set(windows("".join([letters[x] for x in line]), size)):
-            if item not in ids.get(w, ()):
-                ids[w] = (*ids.get(w, ()), item)
+            ids.setdefault(w, []).append(item)
     if not ids:
         return None
     found = ahocorasick.Automaton()
     while ids:
         w, of = ids.popitem()
-        found.add_word(w, (len(w) // 2, of))
+        found.add_word(w, (len(w) // 2, tuple(dict.fromkeys(of))))
     found.make_automaton()
     return letters, found
 
 
-def scan(text: str, automaton) -> tuple[int, list[tuple[int, int, tuple]]]:
-    """Number of words, and (first word, last word, item ids) of each occurrence of a window."""
+def merged(spans) -> list[tuple[int, int]]:
+    """Spans (first, last) that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
+def scan(text: str, automaton) -> tuple[int, list[tuple[int, int]], set[int]]:
+    """Number of words, merged spans (first word, last word) of the occurrences of windows, and the items that have such a window."""
     words = words_of(text)
     if not words or automaton is None:
-        return len(words), []
+        return len(words), [], set()
     letters, found = automaton
     get = letters.get
     line = "".join([get(w, "\0\0") for w in words])
-    return len(words), [(end // 2 - n + 1, end // 2, ids) for end, (n, ids) in found.iter(line)]
+    spans, windows_met = [], {}
+    for end, (n, ids) in found.iter(line):
+        spans.append((end // 2 - n + 1, end // 2))
+        windows_met[id(ids)] = ids  # a window's ids are one tuple, so each window counts once
+    return len(words), merged(spans), set().union(*windows_met.values())
 
 
 def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -125,45 +146,73 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int):
     yield block
 
 
-def _scan_rows(items: Broadcast, size: int, keep_text: bool, chars: bool):
-    """Adds a block's hits to those of the blocks before."""
+def _scanned(items: Broadcast, size: int, text_field: str, finish=None):
+    """Adds to each ``row``'s state what a block of items finds in its text; ``finish`` makes the last scan's result of it."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["item_id", "first_word", "last_word", "first_char", "end_char"]
-        kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
         automaton = _automaton(items, size)
+        span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in slices(batches):
-            counts, hits = [], []
-            before = batch.column("hits").to_pylist() if "hits" in batch.schema.names else [[]] * batch.num_rows
-            for text, old in zip(batch.column("text").to_pylist(), before, strict=True):
-                n, found = scan(text, automaton)
-                where = char_spans(text, [(a, b) for a, b, _ in found]) if found and chars else [(None, None)] * len(found)
-                new = [dict(zip(names, (i, a, b, *c), strict=True)) for (a, b, ids), c in zip(found, where, strict=True) for i in ids]
+            rows = batch.column("row")
+            texts = rows.field(rows.type.get_field_index(text_field)).to_pylist()
+            before = [c.to_pylist() for c in batch.columns[2:]] if batch.num_columns > 1 else ([[]] * len(texts), [[]] * len(texts))
+            counts, spans, ids = [], [], []
+            for text, old_spans, old_ids in zip(texts, *before, strict=True):
+                n, found, of = scan(text or "", automaton)
                 counts.append(n)
-                hits.append(old + new)
-            columns = {"id": batch.column("id"), "n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, kind)}
-            yield pa.record_batch(columns | ({"text": batch.column("text")} if keep_text else {}))
+                spans.append(merged([*((x["first"], x["last"]) for x in old_spans), *found]))
+                ids.append(sorted(of.union(old_ids)))
+            if finish:
+                yield finish(rows, texts, counts, spans, ids)
+            else:
+                made = [[{"first": a, "last": b} for a, b in x] for x in spans]
+                yield pa.record_batch([rows, pa.array(counts, pa.int64()), pa.array(made, span), pa.array(ids, pa.list_(pa.int64()))], ["row", "n_words", "spans", "items"])
 
     return run
 
 
-def find_hits(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", size: int = WINDOW, chars: bool = True
-) -> DataFrame:
-    """Per document row: id, n_words and ``hits``, an array of item, word span and character span (null without ``chars``).
+def _scans(rows: DataFrame, benchmark: DataFrame, text_field: str, item_id: str, size: int, finish, schema) -> DataFrame:
+    """The rows (one column, ``row``) through one scan a block of items, the last of which gives ``schema``; between scans they lie in the shared folder.
 
-    Each block of items costs one scan; between scans the rows go through the shared folder.
+    Each row carries its own state, so that it is judged alike however many blocks there are.
     """
-    sc = docs.sparkSession.sparkContext
-    rows, blocks = text_rows(docs, doc_id, text_col), _blocks(benchmark, item_id, text_col, size)
+    sc = rows.sparkSession.sparkContext
+    blocks = _blocks(benchmark, item_id, "text", size)
     now = next(blocks)
+    state = T.StructType([rows.schema["row"], *STATE])
     for after in blocks:
         if after:
-            rows = written(rows.mapInArrow(_scan_rows(_shared(sc, now), size, True, chars), f"id long, n_words long, hits {HITS}, text string"), "decontaminate")
+            rows = written(rows.mapInArrow(_scanned(_shared(sc, now), size, text_field), state), "decontaminate")
             now = after
-    return rows.mapInArrow(_scan_rows(_shared(sc, now), size, False, chars), f"id long, n_words long, hits {HITS}")
+    return rows.mapInArrow(_scanned(_shared(sc, now), size, text_field, finish), schema)
+
+
+def _named(docs: DataFrame, doc_id: str, text_col: str) -> DataFrame:
+    return text_rows(docs, doc_id, text_col).select(F.struct("id", "text").alias("row"))
+
+
+def _is_hit(n_words: int, spans: list[tuple[int, int]], share: int) -> tuple[int, bool]:
+    n = sum(b - a + 1 for a, b in spans)
+    return n, n > 0 and share * n >= n_words
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
+    """Per document row: id, n_words, ``spans`` (what windows cover, merged, by words and by characters of the text) and ``items`` (ids, sorted).
+
+    Each block of items costs one scan. Rows with nothing have empty arrays.
+    """
+
+    def finish(rows, texts, counts, spans, ids):
+        import pyarrow as pa
+
+        names = ["first_word", "last_word", "first_char", "end_char"]
+        told = [[dict(zip(names, (*w, *c), strict=True)) for w, c in zip(s, char_spans(t or "", s), strict=True)] if s else [] for t, s in zip(texts, spans, strict=True)]
+        kinds = [pa.int64(), pa.list_(pa.struct([(n, pa.int64()) for n in names])), pa.list_(pa.int64())]
+        return pa.record_batch([rows.field(0), *(pa.array(c, k) for c, k in zip((counts, told, ids), kinds, strict=True))], ["id", "n_words", "spans", "items"])
+
+    return _scans(_named(docs, doc_id, text_col), benchmark, "text", item_id, size, finish, f"id long, n_words long, spans {SPANS}, items array<long>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
@@ -173,57 +222,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     of a window. Null and empty texts have no words and are clean; items without words have
     no window; items without an id are passed over; repeated rows give repeated results.
     """
-    hits = find_hits(docs, benchmark, doc_id, item_id, text_col, size, chars=False)
 
-    def run(batches):
+    def finish(rows, texts, counts, spans, ids):
         import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for n, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                hit = set()
-                for h in found:
-                    hit.update(range(h["first_word"], h["last_word"] + 1))
-                items = sorted({str(h["item_id"]) for h in found})
-                digest = hashlib.sha256(",".join(items).encode()).hexdigest()
-                out.append((len(hit), len(items), digest, bool(hit) and share * len(hit) >= n))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1), *made], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        hit = [_is_hit(n, s, share) for n, s in zip(counts, spans, strict=True)]
+        digests = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in ids]
+        columns = (counts, [h[0] for h in hit], [len(x) for x in ids], digests, [h[1] for h in hit])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+        return pa.record_batch([rows.field(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return hits.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return _scans(_named(docs, doc_id, text_col), benchmark, "text", item_id, size, finish, schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text_col: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated; null and empty texts stay.
 
-    With items for one automaton there is no shuffle; with more, the ids found are joined, so rows
-    that repeat an id go together, and rows without an id are judged one by one, as their texts are.
+    Each row is judged by its own text: rows that repeat an id or have none, too. There is no shuffle.
     """
-    blocks = _blocks(benchmark, "item_id", "text", size)
-    first, more = next(blocks), any(next(blocks, None) or ())
-    if more:
-        named = docs.where(F.col(doc_id).isNotNull())
-        bad = contamination(named, benchmark, doc_id, "item_id", text_col, size, share).where("contaminated")
-        kept = named.join(bad.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti").select(docs.columns)
-        nameless = docs.where(F.col(doc_id).isNull())
-        keyed = nameless.select(F.sha2(F.col(text_col), 256).alias("doc_id"), F.col(text_col))
-        numbers = written(keyed.where("doc_id is not null").distinct().withColumn("row", F.monotonically_increasing_id()), "nameless")
-        poor = contamination(numbers, benchmark, "row", "item_id", text_col, size, share).where("contaminated").select(F.col("doc_id").alias("row"))
-        texts = numbers.join(poor, "row").select(F.col(text_col).alias("poor"))
-        return kept.unionByName(nameless.join(texts, F.col(text_col) == F.col("poor"), "left_anti").select(docs.columns))
-    items = _shared(docs.sparkSession.sparkContext, first)
 
-    def run(batches):
+    def finish(rows, texts, counts, spans, ids):
         import pyarrow as pa
 
-        automaton = _automaton(items, size)
-        for batch in slices(batches):
-            keep = []
-            for text in batch.column(text_col).to_pylist():
-                n, found = scan(text or "", automaton)
-                hit = {w for a, b, _ in found for w in range(a, b + 1)}
-                keep.append(not (hit and share * len(hit) >= n))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        clean = pa.array([not _is_hit(n, s, share)[1] for n, s in zip(counts, spans, strict=True)], pa.bool_())
+        return pa.record_batch([rows.filter(clean)], ["row"])
+
+    whole = docs.select(F.struct("*").alias("row"))
+    return _scans(whole, benchmark, text_col, "item_id", size, finish, whole.schema).select("row.*")

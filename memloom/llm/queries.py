@@ -9,7 +9,7 @@ from . import (
     chat_format, decontaminate, html_extract, lm_score, media, ngram_join, packing, quality, quality_rules, token_counts, turn_repair, url_filter,
     vector_codes,
 )
-from .common import fresh_path, table
+from .common import fresh_path, table, written
 
 URL_RULES = {
     "com/en/": "block",
@@ -63,7 +63,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.store_media(table(spark, sf_dir, "documents")))
+    """The images are written to the shared folder, and what is read back from there is told."""
+    return media.read_media(written(media.store_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

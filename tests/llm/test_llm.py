@@ -72,8 +72,35 @@ def test_contamination_equals_brute_force(spark, odd, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 5)  # several automata, long items cut
     assert sorted(str(tuple(r)) for r in decontaminate.contamination(frame, bench).collect()) == told
     assert sorted(str((r["doc_id"], r["text"])) for r in decontaminate.drop_contaminated(frame, bench).collect()) == kept
-    spans = decontaminate.find_hits(frame, bench).where("size(hits) > 0").join(frame.withColumnRenamed("doc_id", "id"), "id").collect()
-    assert spans and all(len(decontaminate.words_of(r["text"][h["first_char"] : h["end_char"]])) == h["last_word"] - h["first_word"] + 1 for r in spans for h in r["hits"])
+    spans = decontaminate.find_hits(frame, bench).where("size(spans) > 0").join(frame.withColumnRenamed("doc_id", "id"), "id").collect()
+    assert spans and all(len(decontaminate.words_of(r["text"][h["first_char"] : h["end_char"]])) == h["last_word"] - h["first_word"] + 1 for r in spans for h in r["spans"])
+
+
+@pytest.mark.parametrize("block", [5, 200_000])
+def test_rows_are_judged_one_by_one_in_one_block_and_in_many(spark, monkeypatch, block):
+    """Rows that repeat an id, have none, or have columns of the names used inside; large enough tables of items take several scans."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+    item = " ".join(f"q{k}" for k in range(30))
+    bench = spark.createDataFrame([(1, item), (2, "zz yy")], "item_id long, text string")
+    rows = [(1, f"x {item}", "a", [1], 1), (1, "clean", "b", [], None), (2, "clean", "c", None, 3), (None, item, "d", None, 4), (None, "fine", "e", None, 5), (3, None, "f", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, poor string, spans array<int>, `row` int").withColumnRenamed("row", "r.o w")
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["poor"] for r in kept.collect()) == ["b", "c", "e", "f"]
+    hits = {r["id"]: r for r in decontaminate.find_hits(docs.where("doc_id = 1 and poor = 'a'"), bench).collect()}[1]
+    assert hits["items"] == [1] and [tuple(h) for h in hits["spans"]] == [(1, 30, 2, 2 + len(item))]
+
+
+def test_equal_items_cost_their_number():
+    import time
+    import tracemalloc
+
+    began = time.time()
+    automaton = decontaminate.build_automaton([(i, "yes") for i in range(30_000)])
+    assert time.time() - began < 1
+    tracemalloc.start()
+    n, spans, items = decontaminate.scan("yes " * 500, automaton)
+    assert (n, spans, len(items)) == (500, [(0, 499)], 30_000) and tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
 
 
 def test_spans_of_the_original():
