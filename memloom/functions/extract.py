@@ -97,6 +97,53 @@ def chunks(text: Column, window: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("k"), F.substring(text, k * step + 1, F.lit(window)).alias("chunk")))
 
 
+#: Marks between turns, the most specific first; the first that a text has cuts it.
+TURN_MARKS = ("\n---\n", "\n\n## ")
+
+
+def _with_mark(n: int):
+    return lambda x, i: F.length(x) + F.when(i > 0, n).otherwise(0)
+
+
+def turn_chunks(text: Column, window: int, overlap: int) -> Column:
+    """Spans (start, end) of a text's chunks, in code points: turns packed greedily into windows.
+
+    A turn keeps the mark before it and is cut only if it alone is longer than a window. The next window begins with the
+    last ``overlap`` characters of the one before. Chunks are contiguous, so the fold is over lengths and no text is copied.
+    A null or empty text has none; ``overlap`` is half a window at most.
+    """
+    if 2 * overlap > window:
+        raise ValueError("overlap is half a window at most")
+    whole = F.array(F.length(text))
+    cuts = whole
+    for mark in reversed(TURN_MARKS):
+        parts = F.split(text, mark, -1)
+        cuts = F.when(F.contains(text, F.lit(mark)), F.transform(parts, _with_mark(len(mark)))).otherwise(cuts)
+    pieces = lambda n: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / window).cast("int")), lambda k: F.least(F.lit(window), n - k * window))
+    sizes = F.flatten(F.transform(F.filter(cuts, lambda n: n > 0), pieces))
+    span = lambda s, e: F.array(F.struct(s.cast("int").alias("start"), e.cast("int").alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    begin = F.struct(none.alias("done"), F.lit(0).alias("s"), F.lit(0).alias("e"))
+
+    def step(at: Column, n: Column) -> Column:
+        s, e = at["s"], at["e"]
+        end = e + n
+        fits = (s == e) | (end - s <= window)
+        tail = F.greatest(s, e - overlap)
+        over = end - tail > window
+        done = F.when(fits, at["done"]).when(over, F.concat(at["done"], span(s, e), span(tail, tail + window))).otherwise(F.concat(at["done"], span(s, e)))
+        first = F.when(fits, s).when(over, tail + (window - overlap)).otherwise(tail)
+        return F.struct(done.alias("done"), first.cast("int").alias("s"), end.cast("int").alias("e"))
+
+    packed = F.aggregate(sizes, begin, step, lambda at: F.when(at["e"] > at["s"], F.concat(at["done"], span(at["s"], at["e"]))).otherwise(at["done"]))
+    return F.coalesce(packed, none)
+
+
+def fact_of_chunk(chunk: Column) -> Column:
+    """The id without ``#`` and the chunk's number."""
+    return F.regexp_replace(chunk, "^(.+)#[0-9]+$", "$1")
+
+
 def context_prefix(thread: Column, source: Column, names: Column, day: Column, chars: int = 320, most: int = 8) -> Column:
     """One line of context, its entities cut from the tail until it fits."""
     line = lambda k: F.concat_ws(" ", F.concat(F.lit("Conversation: "), thread), F.concat(F.lit("Source: "), source), F.when((F.size(names) > 0) & (k > 0), F.concat(F.lit("Entities: "), F.array_join(F.slice(names, F.lit(1), k), ", "))), F.concat(F.lit("Date: "), day))

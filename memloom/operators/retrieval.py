@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom import config as C
+from memloom.functions.extract import fact_of_chunk, turn_chunks
 from memloom.functions.text import tokens
 from memloom.functions.vector import dot
 
@@ -62,3 +63,17 @@ def rrf(legs: list[DataFrame], k: int = C.RRF_K, top: int = C.FUSED_TOP) -> Data
     for leg in ranked[1:]:
         both = both.unionByName(leg)
     return both.groupBy("id").agg(F.sum("part").alias("rrf")).orderBy(F.desc("rrf"), "id").limit(top)
+
+
+def chunk_rows(docs: DataFrame, window: int, overlap: int) -> DataFrame:
+    """(chunk, id, text) of ``id, text``: turn-aware chunks; of several, the k-th is named ``id#k``."""
+    spans = docs.select("id", "text", turn_chunks(F.col("text"), window, overlap).alias("spans"))
+    each = spans.select("id", "text", F.size("spans").alias("n"), F.posexplode("spans").alias("k", "span"))
+    name = F.when(F.col("n") > 1, F.concat_ws("#", "id", "k")).otherwise(F.col("id").cast("string"))
+    return each.select(name.alias("chunk"), "id", F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("text"))
+
+
+def best_chunks(scored: DataFrame) -> DataFrame:
+    """(fact, chunk, score) of ``chunk, score``: each fact by its best chunk, the lower name of equals; a null score is the worst."""
+    best = F.min(F.struct((-F.coalesce("score", F.lit(float("-inf")))).alias("worst"), "chunk", "score")).alias("b")
+    return scored.groupBy(fact_of_chunk(F.col("chunk")).alias("fact")).agg(best).select("fact", "b.chunk", "b.score")

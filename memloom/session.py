@@ -60,6 +60,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def complete_parts(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of folders ``name=n`` under ``path`` whose write was completed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage where the session has a checkpoint folder, so that plans of loops stay short."""
     sc = df.sparkSession.sparkContext
