@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.operators import graph
+from memloom.session import written
 
 OPERATOR = "person:operator"
 
@@ -45,14 +46,14 @@ def aliases(mail: DataFrame, registered: DataFrame, least_rows: int = 50, least_
     """
     names = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("to", "cc")]
     rows = mail.select("account", *names, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("direct", "outbound", "junk")])
-    # Addresses that aren't registered decide who else got the row; the own ones are a stated, small list.
-    known = [r["address"] for r in registered.select("address").distinct().limit(10_001).collect()]
-    if len(known) > 10_000:
-        raise ValueError("more than 10,000 registered addresses")
-    own = F.array(*[F.lit(a) for a in known]).cast("array<string>")
-    others = F.array_except("to", own)
-    each = rows.withColumn("others", others).withColumn("address", F.explode(F.array_except(F.array_union("to", "cc"), own)))
-    sole = F.col("direct") & ~F.col("outbound") & ~F.col("junk") & (F.size("cc") == 0) & (F.size("others") == 1) & F.array_contains("to", F.col("address"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "mail")  # written, so that a row keeps its number
+    named = rows.withColumn("address", F.explode(F.array_union("to", "cc"))).where("address is not null")
+    each = named.join(registered.select("address").where("address is not null").distinct(), "address", "left_anti")
+    # Addresses that aren't registered decide who else got the row; a window holds one row's addresses.
+    direct_to = F.array_contains("to", F.col("address"))
+    others = F.count_if(direct_to).over(Window.partitionBy("row"))
+    each = each.withColumns({"others": others, "direct_to": direct_to})
+    sole = F.col("direct") & ~F.col("outbound") & ~F.col("junk") & (F.size("cc") == 0) & (F.col("others") == 1) & F.col("direct_to")
     part = each.groupBy("address", "account").agg(F.count("*").alias("n"), F.count_if("direct").alias("d"), F.count_if(sole).alias("s"))
     accounts = rows.where("account is not null").groupBy("account").agg(F.count("*").alias("rows"))
     share = F.try_divide(F.col("n"), F.col("rows"))

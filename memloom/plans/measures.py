@@ -146,11 +146,11 @@ def connected_components(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_EDGES_SQL}, seeds AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey <= 20),
-walk AS (SELECT id, 0 AS d FROM seeds UNION SELECT e.child, w.d + 1 FROM walk w JOIN edges e ON e.parent = w.id WHERE w.d < 6),
+walk AS (SELECT id, 0 AS d FROM seeds UNION SELECT e.child, w.d + 1 FROM walk w JOIN edges e ON e.parent = w.id WHERE w.d < 16),
 m AS (SELECT id, min(d) AS distance FROM walk GROUP BY id)
 SELECT id, distance, id % 7 = 0 AS rescued, round(CASE WHEN id % 7 = 0 THEN 1.0 WHEN distance = 0 THEN 0.05 ELSE greatest(0.05, 0.5 * exp(-0.4 * (distance - 1))) END, 6) AS factor FROM m""")
 def orphan_decay(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     seeds = table(spark, sf_dir, "lineitem").where("l_partkey <= 20").select(F.col("l_partkey").alias("id"))
     nodes = edges.select(F.col("parent").alias("id")).union(edges.select("child")).where("id % 7 = 0")
-    return graph.orphans(edges, seeds, nodes, 6).withColumn("factor", rounded("factor"))
+    return graph.orphans(edges, seeds, nodes).withColumn("factor", rounded("factor"))

@@ -246,11 +246,12 @@ def derivation_bfs(spark, sf_dir):
 @query(f"""WITH {_EDGES_SQL},
 g0 AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey % 4 <> 0),
 g1 AS (SELECT id FROM g0 UNION SELECT child FROM edges GROUP BY child HAVING count(*) = count(CASE WHEN parent IN (SELECT id FROM g0) THEN 1 END)),
-g2 AS (SELECT id FROM g1 UNION SELECT child FROM edges GROUP BY child HAVING count(*) = count(CASE WHEN parent IN (SELECT id FROM g1) THEN 1 END))
-SELECT id FROM g2""")
+g2 AS (SELECT id FROM g1 UNION SELECT child FROM edges GROUP BY child HAVING count(*) = count(CASE WHEN parent IN (SELECT id FROM g1) THEN 1 END)),
+g3 AS (SELECT id FROM g2 UNION SELECT child FROM edges GROUP BY child HAVING count(*) = count(CASE WHEN parent IN (SELECT id FROM g2) THEN 1 END))
+SELECT id FROM g3""")
 def forgetting_cascade(spark, sf_dir):
     seeds = table(spark, sf_dir, "lineitem").where("l_partkey % 4 <> 0").select(F.col("l_partkey").alias("id"))
-    return graph.cascade(_edges(spark, sf_dir), seeds, 2)
+    return graph.cascade(_edges(spark, sf_dir), seeds)
 
 
 @query(f"""WITH {_EDGES_SQL}, d AS (SELECT parent AS id, child AS other FROM edges UNION SELECT a.parent, b.child FROM edges a JOIN edges b ON a.child = b.parent)
