@@ -5,6 +5,7 @@ from __future__ import annotations
 BM25_K1, BM25_B, LEXICAL_TOP = 1.2, 0.75, 50
 RRF_K, FUSED_TOP = 60, 50
 FRESH_DAYS = 30
+PROPENSITY_JITTER = 0.05
 DECAY = {"fact": 0.15, "episodic": 0.35, "ambient": 0.6}
 PREDICATE_COSINE = 0.85
 DAMPING_DAYS, DAMPING_LOW, DAMPING_HIGH = 14, 0.5, 1.5

@@ -7,7 +7,7 @@ from what is stored, so scores are those of one index over all batches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom import config as C
@@ -94,6 +94,25 @@ def search(spark: SparkSession, path: str, query: list[str], k: int = C.LEXICAL_
     return scored.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int = C.LEXICAL_TOP, buckets: int = C.POSTING_BUCKETS) -> DataFrame:
+    """(query, id, score): BM25 of the best k for each of ``query, terms``; a query without terms finds nothing.
+
+    The postings of the asked terms are read once for all queries; a posting is scored once and meets the queries that ask its term.
+    """
+    asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term")).where("term is not null")
+    terms = asked.select("term").distinct().withColumn("bucket", bucket_of(F.col("term"), buckets))
+    hits = stored(spark, path).join(terms, ["bucket", "term"], "left_semi")
+    n, mean = statistics(spark, path)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    tf, share = F.col("tf"), F.col("len") / mean if mean else F.lit(0.0)
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * share))
+    scored = hits.join(df, "term").select("term", "id", part.alias("part"))
+    found = scored.join(asked, "term").groupBy("query", "id").agg(F.sum("part").alias("score"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id"))
+    return found.withColumn("rank", best).where(F.col("rank") <= k).drop("rank")
+
+
 def coverage(spark: SparkSession, path: str, eligible: DataFrame, floor: float = C.LEXICAL_COVERAGE) -> dict:
     """Distinct indexed ids of ``eligible`` ids, and whether the projection may serve: at least ``floor`` of them."""
     have = stored(spark, path).select("id").distinct().join(eligible.select("id").distinct(), "id", "left_semi").count()

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom import config as C
-from memloom.functions.scoring import decay
+from memloom.functions.affect import valence_match
+from memloom.functions.extract import anchor_step, match_key
+from memloom.functions.scoring import decay, jaccard
 from memloom.functions.text import content_hash
 from memloom.functions.vector import dot
-from memloom.operators import retrieval, selection
+from memloom.operators import policies, retrieval, selection
 from memloom.session import cut
 
 
@@ -49,3 +53,77 @@ def recall(facts: DataFrame, vectors: DataFrame, terms: list[str], vector: list[
     items = order.join(single.select("id", "score", "text"), "id").select("query", F.col("position").alias("pos"), "id", "score", F.col("text").alias("content"))
     brief = selection.char_budget(items.select("query", "pos", "content"), "query")
     return items.drop("content").join(brief, ["query", "pos"]).select("id", F.col("pos").alias("position"), "score", "content")
+
+
+CHANNELS = ["entities", "anchor", "valence"]
+
+
+def fuse(legs: list[DataFrame], k: int = C.RRF_K, top: int = C.FUSED_TOP) -> DataFrame:
+    """(query, id, rrf): reciprocal rank fusion of legs ``query, id, score`` of at most ``top`` rows a query each, ranks from 0."""
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id")
+    parts = [leg.select("query", "id", (1 / (k + F.row_number().over(w) - 1)).alias("part")) for leg in legs]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    fused = both.groupBy("query", "id").agg(F.sum("part").alias("rrf"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("rrf", 12)), "id"))
+    return fused.withColumn("rank", best).where(F.col("rank") <= top).drop("rank")
+
+
+def rescored(fused: DataFrame, queries: DataFrame, facts: DataFrame, backfills: DataFrame, weights: DataFrame, gates: DataFrame, excluded: list[str]) -> DataFrame:
+    """(query, id, seed, text, embedding, score) of the candidates that pass the gates.
+
+    ``queries``: query, seed, embedding, entities, anchor, valence. ``facts``: id, text, kind, age_days, consent, salience, embedding and the
+    channels entities, anchor, valence, which the latest row of ``backfills`` replaces one by one. ``weights`` is one row with a weight
+    for each of RECALL_WEIGHTS; ``gates`` has (id, gate). A candidate that names an excluded entity is masked, so are blocked ones.
+    """
+    asked = queries.select("query", "seed", F.col("embedding").alias("q_embedding"), *[F.col(c).alias(f"q_{c}") for c in CHANNELS])
+    known = facts.join(fused.select("id").distinct(), "id", "left_semi")
+    known = policies.overlay(known, backfills, CHANNELS).join(gates.select("id", "gate"), "id", "left")
+    rows = fused.join(known, "id").join(asked, "query").crossJoin(F.broadcast(weights.select(*[F.col(c).alias(f"w_{c}") for c in C.RECALL_WEIGHTS])))  # one row
+    keys = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), match_key)
+    names = F.array(*[F.lit(e) for e in excluded]).cast("array<string>")
+    mask = F.when(F.arrays_overlap(keys("entities"), F.transform(names, match_key)), 0.0).otherwise(1.0)
+    gate = mask * selection.consent_factor(F.col("consent")) * F.coalesce("gate", F.lit(1.0))
+    parts = {
+        "entity": jaccard(F.array_distinct(keys("entities")), F.array_distinct(keys("q_entities"))),
+        "time": anchor_step(F.datediff("anchor", "q_anchor")), "decay": decay(F.col("age_days"), F.col("kind")), "valence": valence_match(F.col("valence"), F.col("q_valence")),
+    }
+    added = sum((F.col(f"w_{c}") * F.coalesce(parts[c], F.lit(0.0)) for c in C.RECALL_WEIGHTS), F.lit(0.0))
+    similarity = F.when(F.col("embedding").isNotNull() & F.col("q_embedding").isNotNull(), dot(F.col("embedding"), F.col("q_embedding")))
+    whole = (F.coalesce(similarity, F.lit(0.0)) * gate + added) * F.coalesce(F.sqrt("salience"), F.lit(1.0))
+    # What is masked goes, and so does what has neither a vector nor enough besides.
+    kept = rows.where((gate > 0) & ~(similarity.isNull() & (added < C.RECALL_FLOOR)))
+    return kept.select("query", "id", "seed", "text", "embedding", whole.alias("score"))
+
+
+def ranked(scored: DataFrame, recent: DataFrame, inputs: int = C.MMR_INPUT, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query, id, place, score, propensity, flag, text, embedding): each query's best ``inputs``, copies and surfaced ids seen to.
+
+    Of equal contents the best stays. Ids of ``recent`` (query, id) weigh a quarter. ``rerank`` may replace the scores of the candidates
+    (query, id, text, score); without it they keep their order. ``flag`` tells how crowded a query's scores are at the top.
+    """
+    one = Window.partitionBy("query", content_hash(F.col("text"))).orderBy(F.desc(F.round("score", 12)), "id")
+    single = scored.withColumn("copy", F.row_number().over(one)).where("copy = 1").drop("copy")
+    again = recent.select("query", "id").distinct().withColumn("again", F.lit(True))
+    damped = single.join(again, ["query", "id"], "left").withColumn("score", F.col("score") * F.when(F.col("again"), C.RECENT_FACTOR).otherwise(1.0)).drop("again")
+    of = Window.partitionBy("query")
+    best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id")
+    rows = damped.withColumns({"place": F.row_number().over(best) - 1, "top": F.max("score").over(of), "n": F.count("*").over(of)})
+    rows = rows.withColumn("near", F.count_if(F.col("score") >= (1 - C.DENSE_SHARE) * F.col("top")).over(of)).where(F.col("place") < inputs)
+    if rerank:
+        new = rerank(rows.select("query", "id", "text", "score")).select("query", "id", F.col("score").alias("new"))
+        rows = rows.join(new, ["query", "id"], "left").withColumn("score", F.coalesce("new", "score")).drop("new")
+        rows = rows.withColumn("place", F.row_number().over(best) - 1)
+    flag = F.when(F.col("near") >= C.DENSE_COUNT, "crowded").when(F.col("n") < C.SPARSE_COUNT, "sparse").otherwise("normal")
+    told = selection.propensities(rows.withColumn("flag", flag), "query", "score", "place", "seed")
+    return told.select("query", "id", "place", "score", "propensity", "flag", "text", "embedding")
+
+
+def briefs(best: DataFrame, width: int) -> DataFrame:
+    """(query, position, id, score, content) of ``ranked``: the diverse order, cut to the brief's size; a missing vector counts as zeros of ``width``."""
+    zeros = F.array_repeat(F.lit(0.0), width)
+    ready = best.select("query", "id", "score", F.coalesce(F.col("embedding").cast("array<double>"), zeros).alias("embedding"))
+    items = selection.mmr(ready).join(best.select("query", "id", "score", "text"), ["query", "id"]).select("query", F.col("position").alias("pos"), "id", "score", F.col("text").alias("content"))
+    cut_down = selection.char_budget(items.select("query", "pos", "content"), "query")
+    return items.drop("content").join(cut_down, ["query", "pos"]).select("query", F.col("pos").alias("position"), "id", "score", "content")

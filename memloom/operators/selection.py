@@ -94,6 +94,30 @@ def softmax(scored: DataFrame, group: str, score: str, tau: float = C.PROPENSITY
     return raised.join(total, group).withColumn("p", F.col("e") / F.col("sum")).drop("top", "e", "sum")
 
 
+def jitter(seed: Column, place: Column) -> Column:
+    """A number in [-1, 1] for the place-th candidate: the place-th four bytes of the seed's digests, a block of eight each.
+
+    A block's digest is SHA-256 of the seed and the block's number as eight little-endian bytes.
+    """
+    block, at = F.floor(place / 8), place % 8
+    number = F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(block, 8 * k).bitwiseAND(255)), 2, "0") for k in range(8)])
+    digest = F.sha2(F.concat(seed.cast("binary"), F.unhex(number)), 256)
+    byte = lambda k: F.conv(F.substr(digest, (8 * at + 2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
+    whole = sum((byte(k) * (1 << (8 * k)) for k in range(1, 4)), byte(0))
+    return 2 * (whole / 0xFFFFFFFF) - 1
+
+
+def propensities(ranked: DataFrame, group: str, score: str, place: str, seed: str, tau: float = C.PROPENSITY_TAU) -> DataFrame:
+    """Adds ``propensity``: the softmax over each group of scores moved by at most PROPENSITY_JITTER of their size.
+
+    ``place`` numbers a group's candidates from 0; a group is a bounded list, such as the candidates of one recall.
+    """
+    moved = F.col(score) + jitter(F.col(seed), F.col(place)) * C.PROPENSITY_JITTER * F.abs(score)
+    w = Window.partitionBy(group)
+    rows = ranked.withColumn("_moved", moved).withColumn("_e", F.exp((F.col("_moved") - F.max("_moved").over(w)) / tau))
+    return rows.withColumn("propensity", F.col("_e") / F.sum("_e").over(w)).drop("_moved", "_e")
+
+
 def idf_jaccard(sets: DataFrame, query: list[str]) -> DataFrame:
     """(id, score): idf of the shared keys over idf of all keys of either, between rows ``id, keys`` and one query set.
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memloom.functions.text import content_hash
-from memloom.operators import recall, salience
-from memloom.plans.queries import _NORMAL, TERMS, _one_vector, _vectors
+from memloom import config as C
+from memloom.functions.text import content_hash, tokens
+from memloom.operators import ann, evaluation, postings, recall, salience
+from memloom.plans import indexes
+from memloom.plans.queries import _NORMAL, _TOKENS, TERMS, _one_vector, _vectors
 from memloom.plans.registry import facts, query, rounded, table
+from memloom.session import written
 
 
 @query("""WITH s AS (SELECT event_id AS id, CASE WHEN event_id % 10 <> 0 THEN value / 500 END AS sim, CASE WHEN event_type = 'error' THEN 0.0 WHEN event_type = 'view' THEN 0.6 ELSE 1.0 END AS gate,
@@ -55,3 +58,72 @@ def ingest_decisions(spark, sf_dir):
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
     known = rows.join(toxic, "id", "left_semi").select(content_hash(F.coalesce("text", F.lit(""))).alias("hash"))
     return salience.decide(rows.withColumn("source", F.lit("mail")), known, 100).select("id", "decision")
+
+
+_RECALL = f"""q AS (SELECT doc_id AS query, {_TOKENS}[1:4] AS terms FROM documents WHERE doc_id % 50 = 0),
+words AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents),
+n AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM words),
+post AS (SELECT id, t, len, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS t FROM words) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM post GROUP BY t),
+asked AS (SELECT DISTINCT query, unnest(terms) AS t FROM q),
+bm AS (SELECT query, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 12) AS s FROM post JOIN df USING (t) JOIN asked USING (t), n GROUP BY ALL),
+dense AS (SELECT b.vec_id AS query, a.vec_id AS id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) AS s FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id IN (SELECT query FROM q)) b),
+leg AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS r FROM bm QUALIFY r <= 50
+  UNION ALL SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS r FROM dense QUALIFY r <= 50),
+fused AS (SELECT query, id, sum(1.0::DOUBLE / (59 + r)) AS rrf FROM leg GROUP BY query, id QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sum(1.0::DOUBLE / (59 + r)), 12) DESC, id) <= 50),
+feat AS (SELECT doc_id AS id, text, power(1 + doc_id % 100, CASE doc_id % 3 WHEN 0 THEN -0.15 WHEN 1 THEN -0.35 ELSE -0.6 END) AS decay, ['e' || (doc_id % 7), 'f' || (doc_id % 11)] AS ent,
+  CASE WHEN doc_id % 5 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 40 AS INTEGER) END AS anchor, CASE WHEN doc_id % 9 = 0 THEN 0.5 ELSE (doc_id % 21 - 10) / 10.0 END AS val,
+  CASE WHEN doc_id % 13 = 0 THEN 0.0 WHEN doc_id % 17 = 0 THEN 0.6 ELSE 1.0 END * CASE WHEN doc_id % 19 = 0 THEN 0.0 ELSE 1.0 END * CASE WHEN doc_id % 11 = 10 THEN 0.0 ELSE 1.0 END AS gate, sqrt((1 + doc_id % 4) / 4.0) AS root FROM documents),
+s AS (SELECT query, f.id, text, gate, root, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(u.embedding AS DOUBLE[])) AS sim,
+  0.8 * ((CASE WHEN query % 7 = f.id % 7 THEN 1 ELSE 0 END + CASE WHEN query % 11 = f.id % 11 THEN 1 ELSE 0 END) / (4.0 - CASE WHEN query % 7 = f.id % 7 THEN 1 ELSE 0 END - CASE WHEN query % 11 = f.id % 11 THEN 1 ELSE 0 END))
+  + 1.5 * coalesce(CASE WHEN abs(anchor - DATE '2024-01-15') <= 1 THEN 1.0 WHEN abs(anchor - DATE '2024-01-15') <= 7 THEN 0.5 ELSE 0.0 END, 0.0) + 0.3 * decay + 0.1 * (1 - abs(val - (query % 21 - 10) / 10.0) / 2) AS added
+  FROM fused JOIN feat f USING (id) LEFT JOIN embeddings v ON v.vec_id = f.id LEFT JOIN embeddings u ON u.vec_id = query),
+kept AS (SELECT query, id, text, (coalesce(sim, 0.0) * gate + added) * root AS score FROM s WHERE gate > 0 AND NOT (sim IS NULL AND added < 0.1)),
+single AS (SELECT query, id, score * CASE WHEN id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 0.25 ELSE 1.0 END AS score FROM kept
+  QUALIFY row_number() OVER (PARTITION BY query, {_NORMAL} ORDER BY round(score, 12) DESC, id) = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) - 1 AS place, max(score) OVER (PARTITION BY query) AS top, count(*) OVER (PARTITION BY query) AS n FROM single),
+near AS (SELECT *, count(CASE WHEN score >= 0.95 * top THEN 1 END) OVER (PARTITION BY query) AS near FROM best),
+j AS (SELECT *, sha256(('recall-' || query)::BLOB || unhex(printf('%02x', CAST(place // 8 AS INTEGER)) || '00000000000000')) AS h, CAST(8 * (place % 8) AS INTEGER) AS o FROM near WHERE place < 15),
+m AS (SELECT *, score + (2 * (CAST('0x' || h[o + 7:o + 8] || h[o + 5:o + 6] || h[o + 3:o + 4] || h[o + 1:o + 2] AS BIGINT) / 4294967295.0::DOUBLE) - 1) * 0.05 * abs(score) AS moved FROM j)"""
+
+
+@query(f"""WITH {_RECALL}, e AS (SELECT *, exp((moved - max(moved) OVER (PARTITION BY query)) / 0.3) AS x FROM m)
+SELECT query, id, place, round(CAST(score AS DOUBLE), 6) AS score, round(x / sum(x) OVER (PARTITION BY query), 6) AS propensity, CASE WHEN near >= 60 THEN 'crowded' WHEN n < 3 THEN 'sparse' ELSE 'normal' END AS flag FROM e""")
+def recall_candidates(spark, sf_dir):
+    """Recall up to the rerank's input, for every document whose id is divisible by 50 as the question."""
+    return _ranked(spark, sf_dir).select("query", "id", F.col("place").cast("long").alias("place"), rounded("score").alias("score"), rounded("propensity").alias("propensity"), "flag")
+
+
+def _ranked(spark, sf_dir):
+    docs, vectors, d = facts(spark, sf_dir), _vectors(spark, sf_dir).select("id", "embedding"), F.col("id")
+    keys = lambda c: F.array(F.concat(F.lit("topic:doc:e"), (c % 7).cast("string")), F.concat(F.lit("topic:doc:f"), (c % 11).cast("string")))
+    sign = lambda c: (c % 21 - 10) / 10
+    rows = docs.select(
+        "id", "text", F.when(d % 3 == 0, "fact").when(d % 3 == 1, "episodic").otherwise("note").alias("kind"), (d % 100).cast("double").alias("age_days"),
+        F.when(d % 13 == 0, "blocked").when(d % 17 == 0, "third_party_inferred").otherwise("first_party").alias("consent"), ((1 + d % 4) / 4).alias("salience"), keys(d).alias("entities"),
+        F.when(d % 5 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (d % 40).cast("int"))).alias("anchor"), sign(d).alias("valence"),
+    ).join(vectors, "id", "left")
+    asked = docs.where(d % 50 == 0).select(
+        d.alias("query"), F.concat(F.lit("recall-"), d.cast("string")).alias("seed"), F.slice(tokens(F.coalesce("text", F.lit(""))), 1, 4).alias("terms"),
+        keys(d).alias("entities"), F.lit("2024-01-15").cast("date").alias("anchor"), sign(d).alias("valence"),
+    ).join(vectors.select(d.alias("query"), "embedding"), "query", "left")
+    lexical = postings.search_many(spark, indexes.lexical(spark, sf_dir), asked.select("query", "terms"))
+    dense = ann.search(asked.where("embedding is not null").select("query", "embedding"), indexes.cells(spark, sf_dir), C.FUSED_TOP)
+    fused = recall.fuse([lexical.select("query", "id", "score"), dense.select("query", "id", "score")])
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("entities", "array<string>"), ("anchor", "date"))]
+    backfills = docs.where(d % 9 == 0).select(d.alias("target"), F.explode(F.array(F.lit(1), F.lit(2))).alias("version"), F.lit("t").alias("ts"), "id", *none)
+    backfills = backfills.withColumn("valence", F.when(F.col("version") == 2, 0.5).otherwise(-0.5))
+    stored = spark.createDataFrame([("w1", "2024-01-01", 0.5, 1.0, 0.1, 0.1), ("w2", "2024-01-02", 0.8, 1.5, 0.3, 0.1)], "id string, ts string, entity double, time double, decay double, valence double")
+    stored = stored.withColumns({"reviewed": F.lit(True), "cold_start": F.lit(False), "harm_delta": F.lit(0.0), "ndcg_delta": F.lit(0.01), "headroom": F.lit(None).cast("boolean")})
+    weights = evaluation.weight_overlay(stored, C.RECALL_WEIGHTS)
+    gates = docs.select("id", F.when(d % 19 == 0, 0.0).otherwise(1.0).alias("gate"))
+    scored = recall.rescored(written(fused, "fused"), asked.drop("terms"), rows, backfills, weights, gates, ["topic:any:f10"])
+    surfaced = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+    scored = written(scored, "scored")
+    return recall.ranked(scored, scored.select("query", "id").join(surfaced, "id", "left_semi"))
+
+
+@query()
+def recall_briefs(spark, sf_dir):
+    """Each question's brief: the diverse order of its candidates, cut to size."""
+    return recall.briefs(_ranked(spark, sf_dir), 64).withColumn("score", rounded("score"))

@@ -35,3 +35,56 @@ def test_decisions(spark):
     made = {r["id"]: r["decision"] for r in salience.decide(rows, ledger, 100).collect()}
     assert made == {1: "PROMOTE", 2: "CORROBORATE", 3: "CORROBORATE", 4: "PROMOTE", 5: "CORROBORATE", 6: "PROMOTE"}
     assert {r["id"]: r["decision"] for r in salience.decide(rows, ledger, 10).collect()}[3] == "PROMOTE"
+
+
+def test_briefs_equal_a_plain_loop(spark):
+    """The whole plan's briefs from its ranked candidates, by a loop over each question."""
+    import numpy as np
+
+    from memloom import config as C
+    from memloom.plans import recall as plans
+
+    sf = "/root/testdata/sf0.001"
+    best, got = {}, {}
+    for r in plans._ranked(spark, sf).collect():
+        best.setdefault(r["query"], []).append(r)
+    for r in plans.recall_briefs(spark, sf).collect():
+        got.setdefault(r["query"], []).append((r["position"], r["id"], r["content"]))
+    assert best and set(got) == set(best)
+    for q, rows in best.items():
+        rows.sort(key=lambda r: r["place"])
+        v = np.array([r["embedding"] or [0.0] * 64 for r in rows], float)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        chosen, left, spent, want = [], list(range(len(rows))), 0, []
+        while left and len(chosen) < C.MMR_OUTPUT:
+            gain = [C.MMR_LAMBDA * rows[i]["score"] - (1 - C.MMR_LAMBDA) * max([0.0, *(float(v[i] @ v[j]) for j in chosen)]) for i in left]
+            chosen.append(left.pop(int(np.argmax(gain))))
+        for k, i in enumerate(chosen[: C.BRIEF_ITEMS]):
+            content = rows[i]["text"][: C.BRIEF_ITEM_CHARS][: max(0, C.BRIEF_CHARS - spent)]
+            if spent < C.BRIEF_CHARS:
+                want.append((k, rows[i]["id"], content))
+            spent += min(C.BRIEF_ITEM_CHARS, len(rows[i]["text"]))
+        assert sorted(got[q]) == want
+
+
+def test_jitter_is_that_of_the_seed(spark):
+    import hashlib
+
+    from memloom.operators import selection
+
+    rows = [("seed-1", k) for k in range(20)] + [("s", 300)]
+    made = spark.createDataFrame(rows, "seed string, place long").select("seed", "place", selection.jitter(F.col("seed"), F.col("place"))).collect()
+    for seed, place, value in made:
+        digest = hashlib.sha256(seed.encode() + (place // 8).to_bytes(8, "little")).digest()
+        whole = int.from_bytes(digest[4 * (place % 8) :][:4], "little")
+        assert value == pytest.approx(2 * whole / 0xFFFFFFFF - 1, abs=1e-12)
+
+
+def test_a_rerank_slot_replaces_scores(spark):
+    rows = [(1, i, "s", f"text {i}", None, 1.0 - i / 10) for i in range(4)]
+    scored = spark.createDataFrame(rows, "query long, id long, seed string, text string, embedding array<double>, score double")
+    none = spark.createDataFrame([(1, 0), (1, 0)], "query long, id long")
+    plain = recall.ranked(scored, none, inputs=3).orderBy("place").collect()
+    assert [r["id"] for r in plain] == [1, 2, 3] and plain[0]["flag"] == "normal" and sum(r["propensity"] for r in plain) == pytest.approx(1)
+    turned = recall.ranked(scored, none, inputs=3, rerank=lambda c: c.select("query", "id", (-F.col("score")).alias("score"))).orderBy("place").collect()
+    assert [r["id"] for r in turned] == [3, 2, 1]
