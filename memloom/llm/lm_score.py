@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import fresh_path, slices, written
 
 #: Words with a class of their own, and classes of endings. Class 0 is the end.
 FREQUENT, ENDINGS = 511, 512
@@ -31,8 +31,12 @@ HELD_WORDS = 200_000
 CONTEXT, DIM = 4, 32
 #: Passes over all training tokens, tokens in a minibatch, noise tokens drawn for it, rate of the steps.
 PASSES, BATCH, NOISE, RATE = 1, 512, 64, 0.3
+#: Averages of a pass, and tokens of a round that a task has at least.
+ROUNDS, TASK_TOKENS = 8, 1_000_000
 #: Parameters travel in rows of this many: sums over a task's or several tasks' tokens, with the tokens.
 BLOCK = 4096
+#: Squared gradients that each parameter begins with.
+PAST = 1e-2
 _SUMS_DDL = "block int, part int, n double, total array<double>"
 
 
@@ -73,18 +77,41 @@ def _count_words(batches):
         yield pa.record_batch([word, pa.array(np.append(n[some], batch.num_rows))], ["word", "c"])
 
 
-def _examples(words, codes, at, shortlist) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token with the end of each text, and the classes before it, nearest first; ends stand before a text."""
+def _line(words, codes, at, shortlist) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each token with the end of each text, and the texts' numbers of tokens."""
     line = np.insert(classes_of(words.to_pylist(), shortlist)[codes], at[1:], 0)
-    sizes = np.diff(at) + 1
+    return line.astype(np.int16), np.diff(at) + 1
+
+
+def _contexts(line: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The line and the classes before each token, nearest first; ends stand before a text."""
     since = np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    line = line.astype(np.int16)
     before = np.zeros((len(line), CONTEXT), np.int16)
     for i in range(CONTEXT):
         before[i + 1 :, i] = np.where(since[i + 1 :] > i, line[: len(line) - i - 1], 0)
     return line, before
 
 
+def _examples(words, codes, at, shortlist) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each token with the end of each text, and the classes before it."""
+    return _contexts(*_line(words, codes, at, shortlist))
+
+
+def _lines(shortlist: Broadcast):
+    """Each text as the bytes of its classes, two a token."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            words, codes, at = _words(batch.column(0))
+            line, sizes = _line(words, *_present(words, codes, at), shortlist.value)
+            ends = np.concatenate(([0], np.cumsum(sizes) * 2)).astype(np.int32)
+            yield pa.record_batch([pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(line)])], ["line"])
+
+    return run
+
+
 def _class_sums(shortlist: Broadcast):
     def run(batches):
         import pyarrow as pa
@@ -127,9 +154,9 @@ class Nce:
     noise classes v that a minibatch shares, drawn by the unigram model q.
     """
 
-    def __init__(self, p: dict[str, np.ndarray], q: np.ndarray, seed: int, rate: float = RATE, noise: int = NOISE):
+    def __init__(self, p: dict[str, np.ndarray], q: np.ndarray, seed: int, rate: float = RATE, noise: int = NOISE, past: dict[str, np.ndarray] | None = None):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.past = {k: np.full_like(v, 1e-2) for k, v in p.items()}
+        self.past = {k: v.copy() for k, v in past.items()} if past else {k: np.full_like(v, PAST) for k, v in p.items()}
         self.rng, self.rate, self.noise = np.random.default_rng(seed), rate, noise
         self.edges = np.cumsum(q) / q.sum()
         self.log_kq = np.log(noise * q).astype(np.float32)
@@ -184,14 +211,15 @@ def _learn(model: Broadcast, turn: int):
 
         task = TaskContext.get().partitionId()
         m, tokens = model.value, 0
-        nce = Nce(m["p"], m["q"], seed=[turn, task])
+        nce = Nce(m["p"], m["q"], seed=[turn, task], past=m["past"])
         for batch in slices(batches):
-            words, codes, at = _words(batch.column(0))
-            w, u = _examples(words, *_present(words, codes, at), m["shortlist"])
-            nce.learn(w, u)
-            tokens += len(w)
+            raw = batch.column(0)
+            sizes = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]) // 2
+            line = np.frombuffer(b"".join(raw.to_pylist()), np.int16)
+            nce.learn(*_contexts(line, sizes))
+            tokens += len(line)
         if tokens:
-            flat = np.concatenate([nce.p[k].ravel() for k in sorted(nce.p)]).astype(np.float64) * tokens
+            flat = np.concatenate([x[k].ravel() for x in (nce.p, nce.past) for k in sorted(x)]).astype(np.float64) * tokens
             parts = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
             yield _sums([[i, task % 256, float(tokens), x] for i, x in enumerate(parts)])
 
@@ -210,26 +238,38 @@ def _add(batches):
         yield _sums(list(sums.values()))
 
 
-def train(learnt: DataFrame, p: dict[str, np.ndarray], q: np.ndarray, shortlist: dict[str, int], passes: int = PASSES) -> dict[str, np.ndarray]:
-    """Parameters after passes over all training texts: each task starts from p, and their results are averaged by tokens.
+def train(learnt: DataFrame, p: dict[str, np.ndarray], q: np.ndarray, shortlist: dict[str, int], passes: int = PASSES, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters after passes over all training texts, each in rounds: a round's tasks start from p, and their results are averaged by tokens.
 
-    A task's steps depend on its rows and its number alone, so a task that runs again gives the same result; another
-    division of the input into tasks gives slightly other parameters. Only sums of parameters meet, in blocks, by part
-    of the tasks and then over all; the driver gets one row for each block. Without a token p stays.
+    A text's round goes by its hash. The texts are written once as classes, by round, and a round's files are merged until a
+    task has TASK_TOKENS, so that little data is learnt in few tasks however it was divided. A task's steps depend on its rows and its
+    number alone; past gradients go on from round to round with the parameters. Only sums of parameters meet, in blocks,
+    by part of the tasks and then over all; the driver gets one row for each block. Without a token p stays.
     """
-    for turn in range(passes):
-        model = learnt.sparkSession.sparkContext.broadcast({"p": p, "q": q, "shortlist": shortlist})
-        made = learnt.mapInArrow(_learn(model, turn), _SUMS_DDL)
+    spark = learnt.sparkSession
+    lines = learnt.mapInArrow(_lines(spark.sparkContext.broadcast(shortlist)), "line binary")
+    path = fresh_path(spark, "lines")
+    lines.withColumn("round", F.pmod(F.xxhash64("line"), F.lit(rounds)).cast("int")).write.partitionBy("round").parquet(path)
+    coded = spark.read.schema("line binary, round int").parquet(path)
+    tokens = {r["round"]: r["n"] for r in coded.groupBy("round").agg((F.sum(F.length("line")) / 2).cast("long").alias("n")).collect()}
+    past = {k: np.full_like(v, PAST) for k, v in p.items()}
+    for turn in range(passes * rounds):
+        n = tokens.get(turn % rounds, 0)
+        if not n:
+            continue
+        model = spark.sparkContext.broadcast({"p": p, "q": q, "past": past})
+        own = coded.where(F.col("round") == turn % rounds).select("line").coalesce(-(-n // TASK_TOKENS))
+        made = own.mapInArrow(_learn(model, turn), _SUMS_DDL)
         for keys in (("block", "part"), ("block",)):
             made = made.repartition(*keys).mapInArrow(_add, _SUMS_DDL)
         rows = sorted(made.toArrow().to_pylist(), key=lambda r: r["block"])
-        if not rows:
-            return p
-        flat, at, new = np.concatenate([np.array(r["total"]) / r["n"] for r in rows]).astype(np.float32), 0, {}
-        for k in sorted(p):
-            new[k] = flat[at : at + p[k].size].reshape(p[k].shape)
-            at += p[k].size
-        p = new
+        flat, at, new = np.concatenate([np.array(r["total"]) / r["n"] for r in rows]).astype(np.float32), 0, []
+        for old in (p, past):
+            new.append({})
+            for k in sorted(old):
+                new[-1][k] = flat[at : at + old[k].size].reshape(old[k].shape)
+                at += old[k].size
+        p, past = new
     return p
 
 

@@ -756,3 +756,21 @@ def test_png_filters_and_checksums():
         broken[at] ^= 1
         with pytest.raises(ValueError):
             media.decode_png(bytes(broken))
+
+
+def test_lm_gain_does_not_depend_on_tasks(spark):
+    """The held-out gain over the base is the same however many tasks the input is divided into."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    gains = []
+    for tasks in (1, 64):
+        made = lm_score.lm_scores(docs.repartition(tasks), held_fold=3).where("held_out")
+        r = made.agg((F.sum("score") - F.sum("base_score")) / F.sum("n_tokens")).first()
+        gains.append(r[0])
+    assert min(gains) > 0.15 and abs(gains[0] - gains[1]) < 0.03
+
+
+def test_lines_hold_the_classes_of_whole_texts(spark):
+    shortlist = {"a": 1, "b": 2}
+    rows = spark.createDataFrame([("a b A",), ("",), (" b\n",)], "text string").coalesce(1)
+    made = rows.mapInArrow(lm_score._lines(spark.sparkContext.broadcast(shortlist)), "line binary").collect()
+    assert [np.frombuffer(bytes(r[0]), np.int16).tolist() for r in made] == [[1, 2, 1, 0], [0], [2, 0]]
