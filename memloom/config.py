@@ -107,3 +107,5 @@ NAME_PIECES = 32
 
 # Days that the health state keeps, the last days of a report, and the share of entities a fact that may go.
 HEALTH_KEPT, HEALTH_RECENT, ENTITY_DROP = 32, 7, 0.10
+#: Numbers in a list from which on it is a vector, which isn't shown.
+VECTOR_LEAST = 64
