@@ -21,6 +21,8 @@ PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 BLOCK = 1024
 #: Components up to this have exact squared distances in 64-bit integers; beyond, Python's integers are used.
 LARGEST = 1 << 26
+#: Share of entries left from which on all pairs of a block are worked on at once.
+DENSE = 1 / 16
 #: Share by which a float bound may be too large.
 SLACK = 1e-9
 
@@ -60,26 +62,39 @@ class Book:
         if not len(x):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         norms = (x.astype(float) ** 2).sum(1)
-        row = entry = None
+        left = None
         for k, mean, rest in self.levels:
             m, r = _means(x, k)
-            if row is None:  # one segment: all pairs from two numbers a row
+            if left is None:  # one segment: two numbers a row
                 low = (m - mean[:, 0]) ** 2 + (r - rest[:, 0]) ** 2
                 likely = low.argmin(1)
                 least = self._exact(x, np.arange(len(x)), likely)
                 most = least + SLACK * (norms + self.norms.max()) + 1
-                row, entry = np.nonzero(low <= most[:, None])
+                left = low <= most[:, None]
+            elif left.mean() > DENSE:
+                low = (m**2).sum(1)[:, None] + (mean**2).sum(1) - 2 * (m @ mean.T) + (r**2).sum(1)[:, None] + (rest**2).sum(1) - 2 * (r @ rest.T)
+                left &= low <= most[:, None]
             else:
+                row, entry = np.nonzero(left)
                 low = ((m[row] - mean[entry]) ** 2).sum(1) + ((r[row] - rest[entry]) ** 2).sum(1)
-                left = low <= most[row]
-                row, entry = row[left], entry[left]
+                left[row, entry] = low <= most[row]
+        full = int(left.sum())
+        largest = max(np.abs(x).max(initial=0), np.abs(self.entries).max(initial=0))
+        if full > DENSE * left.size and 4 * x.shape[1] * int(largest) ** 2 < 1 << 53:
+            # All terms and sums are whole numbers below 2^53, so these products are the exact integer distances.
+            whole = self.entries.astype(float)
+            d = norms[:, None] + self.norms - 2 * (x.astype(float) @ whole.T)
+            d[~left] = np.inf
+            at = d.argmin(1)
+            return at, d[np.arange(len(x)), at].astype(np.int64), full
+        row, entry = np.nonzero(left)
         d = self._exact(x, row, entry)
         # Pairs stand by row, then entry: the first of the least is the answer.
         starts = np.searchsorted(row, np.arange(len(x)))
         least = np.minimum.reduceat(d, starts)
         hits = np.flatnonzero(d == least[row])
         at = entry[hits[np.searchsorted(row[hits], np.arange(len(x)))]]
-        return at, least, len(d)
+        return at, least, full
 
     def _exact(self, x: np.ndarray, row: np.ndarray, entry: np.ndarray) -> np.ndarray:
         out = np.empty(len(row), np.int64)
