@@ -50,10 +50,12 @@ s AS (SELECT regexp_extract(low, '^{_WORD}') AS surface, doc_id AS seq FROM w UN
   UNION ALL SELECT regexp_extract(low, '^{_WORD} {_WORD} {_WORD}'), doc_id FROM w),
 n AS (SELECT CASE len(string_split(surface, ' ')) WHEN 1 THEN 'topic' WHEN 2 THEN 'person' ELSE 'org' END AS kind, surface, min(seq) AS seq,
   substring(trim(regexp_replace(surface, '[^a-z0-9]+', '_', 'g'), '_'), 1, 64) AS slug FROM s WHERE length(surface) >= 3 GROUP BY surface),
+p AS (SELECT doc_id, regexp_extract_all(low, '{_WORD}|[^a-z0-9_]+') AS p FROM w),
+g AS (SELECT DISTINCT doc_id, array_to_string(p[i:i + 2 * m - 2], '') AS surface FROM p, unnest(range(1, len(p) + 1)) AS r(i), (VALUES (1), (2), (3)) AS s(m) WHERE i + 2 * m - 2 <= len(p)),
 k AS (SELECT *, kind || ':doc:' || slug AS canonical_id FROM n WHERE slug <> '' QUALIFY row_number() OVER (PARTITION BY kind, slug ORDER BY seq, surface) = 1)
 SELECT doc_id AS id, canonical_id, kind, surface, CAST(length(regexp_extract(low, '(?s)^(.*?)\\b' || surface || '\\b', 1)) AS INTEGER) AS start,
   CAST(length(regexp_extract(low, '(?s)^(.*?)\\b' || surface || '\\b', 1)) + length(surface) AS INTEGER) AS "end"
-FROM w JOIN k ON contains(low, surface) AND regexp_matches(low, '\\b' || surface || '\\b')""")
+FROM g JOIN k USING (surface) JOIN w USING (doc_id)""")
 def gazetteer_entities(spark, sf_dir):
     """The names are the first one to three words of each text, so that many nest; they are looked for in all texts."""
     rows, low = facts(spark, sf_dir).select("id", "text"), F.lower(F.coalesce("text", F.lit("")))
