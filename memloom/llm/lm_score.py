@@ -212,7 +212,7 @@ def _learn(model: Broadcast, turn: int):
         task = TaskContext.get().partitionId()
         m, tokens = model.value, 0
         nce = Nce(m["p"], m["q"], seed=[turn, task], past=m["past"])
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):  # minibatches are drawn from half a million tokens, which stay in the cache
             raw = batch.column(0)
             sizes = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]) // 2
             line = np.frombuffer(b"".join(raw.to_pylist()), np.int16)
