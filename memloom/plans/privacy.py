@@ -51,10 +51,12 @@ s AS (SELECT regexp_extract(low, '^{_WORD}') AS surface, doc_id AS seq FROM w UN
 n AS (SELECT CASE len(string_split(surface, ' ')) WHEN 1 THEN 'topic' WHEN 2 THEN 'person' ELSE 'org' END AS kind, surface, min(seq) AS seq,
   substring(trim(regexp_replace(surface, '[^a-z0-9]+', '_', 'g'), '_'), 1, 64) AS slug FROM s WHERE length(surface) >= 3 GROUP BY surface),
 p AS (SELECT doc_id, regexp_extract_all(low, '{_WORD}|[^a-z0-9_]+') AS p FROM w),
-g AS (SELECT doc_id, array_to_string(p[i:i + 2 * m - 2], '') AS surface, min(i) AS i FROM p, unnest(range(1, len(p) + 1)) AS r(i), (VALUES (1), (2), (3)) AS s(m) WHERE i + 2 * m - 2 <= len(p) GROUP BY 1, 2),
+u AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM p),
+v AS (SELECT doc_id, x, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3, lead(x, 4) OVER o AS x4, sum(length(x)) OVER o - length(x) AS start FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, surface, min(start) AS start FROM (SELECT doc_id, x AS surface, start FROM v UNION ALL SELECT doc_id, x || x1 || x2, start FROM v UNION ALL SELECT doc_id, x || x1 || x2 || x3 || x4, start FROM v) GROUP BY 1, 2),
 k AS (SELECT *, kind || ':doc:' || slug AS canonical_id FROM n WHERE slug <> '' QUALIFY row_number() OVER (PARTITION BY kind, slug ORDER BY seq, surface) = 1)
-SELECT doc_id AS id, canonical_id, kind, surface, CAST(length(array_to_string(p[1:i - 1], '')) AS INTEGER) AS start, CAST(length(array_to_string(p[1:i - 1], '')) + length(surface) AS INTEGER) AS "end"
-FROM g JOIN k USING (surface) JOIN p USING (doc_id)""")
+SELECT doc_id AS id, canonical_id, kind, surface, CAST(start AS INTEGER) AS start, CAST(start + length(surface) AS INTEGER) AS "end"
+FROM g JOIN k USING (surface)""")
 def gazetteer_entities(spark, sf_dir):
     """The names are the first one to three words of each text, so that many nest; they are looked for in all texts."""
     rows, low = facts(spark, sf_dir).select("id", "text"), F.lower(F.coalesce("text", F.lit("")))
