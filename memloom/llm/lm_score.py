@@ -59,9 +59,23 @@ def _present(words, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     return codes[keep], np.concatenate(([0], np.cumsum(keep)))[at]
 
 
-def classes_of(words: list[str], shortlist: dict[str, int]) -> np.ndarray:
-    end = lambda w: 1 + FREQUENT + zlib.crc32(w[-3:].encode()) % ENDINGS
-    return np.array([shortlist.get(w) or end(w) for w in words], np.int64)
+def _places(words, among) -> np.ndarray:
+    """Place of each word in an Arrow array of others, -1 where it lacks the word."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.index_in(words, value_set=among.cast(words.type)), -1).to_numpy(zero_copy_only=False)
+
+
+def classes_of(words, shortlist: dict[str, int]) -> np.ndarray:
+    """Classes of a list or an Arrow array of words; an ending is hashed once, however many words have it."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
+    ends = pc.utf8_slice_codeunits(words, -3).dictionary_encode()
+    hashed = np.array([1 + FREQUENT + zlib.crc32(e.encode()) % ENDINGS for e in ends.dictionary.to_pylist()], np.int64)
+    own = np.array([*shortlist.values(), 0], np.int64)[_places(words, pa.array(list(shortlist), pa.string()))]
+    return np.where(own > 0, own, hashed[ends.indices.to_numpy(zero_copy_only=False)])
 
 
 def _count_words(batches):
@@ -77,10 +91,9 @@ def _count_words(batches):
         yield pa.record_batch([word, pa.array(np.append(n[some], batch.num_rows))], ["word", "c"])
 
 
-def _line(words, codes, at, shortlist) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token with the end of each text, and the texts' numbers of tokens."""
-    line = np.insert(classes_of(words.to_pylist(), shortlist)[codes], at[1:], 0)
-    return line.astype(np.int16), np.diff(at) + 1
+def _line(kind: np.ndarray, codes, at) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each token with the end of each text, and the texts' numbers of tokens; kind has the class of each word."""
+    return np.insert(kind.astype(np.int16)[codes], at[1:], 0), np.diff(at) + 1
 
 
 def _contexts(line: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +107,7 @@ def _contexts(line: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _examples(words, codes, at, shortlist) -> tuple[np.ndarray, np.ndarray]:
     """Class of each token with the end of each text, and the classes before it."""
-    return _contexts(*_line(words, codes, at, shortlist))
+    return _contexts(*_line(classes_of(words, shortlist), codes, at))
 
 
 def _lines(shortlist: Broadcast):
@@ -105,7 +118,7 @@ def _lines(shortlist: Broadcast):
 
         for batch in slices(batches):
             words, codes, at = _words(batch.column(0))
-            line, sizes = _line(words, *_present(words, codes, at), shortlist.value)
+            line, sizes = _line(classes_of(words, shortlist.value), *_present(words, codes, at))
             ends = np.concatenate(([0], np.cumsum(sizes) * 2)).astype(np.int32)
             yield pa.record_batch([pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(line)])], ["line"])
 
@@ -117,7 +130,7 @@ def _class_sums(shortlist: Broadcast):
         import pyarrow as pa
 
         for batch in batches:
-            made = classes_of(batch.column(0).to_pylist(), shortlist.value)
+            made = classes_of(batch.column(0), shortlist.value)
             c = batch.column(1).to_numpy()
             total, n = np.bincount(made, c + 1, CLASSES), np.bincount(made, c, CLASSES)
             some = np.flatnonzero(total)
@@ -138,12 +151,18 @@ def start(n: np.ndarray, dim: int = DIM, context: int = CONTEXT, seed: int = 7)
     }
 
 
-def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    return rows[first], np.add.reduceat(values[order], first, axis=0)
+def _cells(rows: int, columns: int) -> np.ndarray:
+    """The number of each cell. Two neighbouring columns, where there are such, are one cell: a complex number."""
+    columns //= 1 + (columns % 2 == 0)
+    return np.arange(rows * columns).reshape(rows, columns)
+
+
+def _row_sums(cells: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values by row, zero for other rows."""
+    kind = values.dtype if cells.shape[1] == values.shape[-1] else np.result_type(values.dtype, np.complex64)
+    made = np.zeros(cells.size, kind)
+    np.add.at(made, cells.take(rows, axis=0).ravel(), values.view(kind).ravel())
+    return made.view(values.dtype).reshape(len(cells), -1)
 
 
 class Nce:
@@ -160,42 +179,54 @@ class Nce:
         self.rng, self.rate, self.noise = np.random.default_rng(seed), rate, noise
         self.edges = np.cumsum(q) / q.sum()
         self.log_kq = np.log(noise * q).astype(np.float32)
+        self.cells = {k: _cells(*p[k].shape) for k in ("Q", "R")}
 
     def _move(self, name: str, rows, grad: np.ndarray) -> None:
-        self.past[name][rows] += grad * grad
-        self.p[name][rows] += self.rate * grad / np.sqrt(self.past[name][rows])
+        # rows is a slice, so these are views. All rows move at once: those without a slope stay where they are.
+        p, past = self.p[name][rows], self.past[name][rows]
+        by = grad * grad
+        past += by
+        np.sqrt(past, out=by)
+        np.divide(grad, by, out=by)
+        by *= self.rate
+        p += by
 
     def step(self, w: np.ndarray, u: np.ndarray) -> None:
-        p = self.p
+        p, (n, places) = self.p, u.shape
         v = np.minimum(np.searchsorted(self.edges, self.rng.random(self.noise), "right"), len(self.edges) - 1).astype(w.dtype)
-        seen = [p["Q"][u[:, i]] for i in range(u.shape[1])]
-        h = sum(c * x for c, x in zip(p["C"], seen, strict=True))
-        true, false = p["R"][w], p["R"][v]
-        over = p["b"] - self.log_kq
+        before, rows = u.T.ravel(), np.concatenate((w, v))
+        seen = p["Q"].take(before, axis=0).reshape(places, n, -1)
+        h = np.einsum("itj,ij->tj", seen, p["C"])
+        near = p["R"].take(rows, axis=0)
+        true, false = near[:n], near[n:]
+        over = (p["b"] - self.log_kq).take(rows)
         # The logistic function of x is (1 + tanh(x / 2)) / 2; the mean over the minibatch is in the factors.
-        up = (1 - np.tanh((np.einsum("ij,ij->i", h, true) + over[w]) / 2)) / (2 * len(w))
-        down = np.tanh((h @ false.T + over[v]) / 2)
+        up = (1 - np.tanh((np.einsum("ij,ij->i", h, true) + over[:n]) / 2)) / (2 * n)
+        down = h @ false.T
+        down += over[n:]
+        down *= 0.5
+        np.tanh(down, out=down)
         down += 1
-        down /= -2 * len(w)
-        g = up[:, None] * true + down @ false
-        rows = np.concatenate((w, v))
-        # The last column is the bias.
-        values = np.empty((len(rows), h.shape[1] + 1), h.dtype)
-        values[: len(w), :-1], values[: len(w), -1] = up[:, None] * h, up
-        values[len(w) :, :-1], values[len(w) :, -1] = down.T @ h, down.sum(0)
-        at, grad = _row_sums(rows, values)
-        grad, bias = grad[:, :-1], grad[:, -1]
-        places = np.stack([np.einsum("ij,ij->j", g, x) for x in seen])
-        contexts = _row_sums(u.T.ravel(), np.concatenate([g * c for c in p["C"]]))
-        self._move("R", at, grad)
-        self._move("b", at, bias)
-        self._move("C", slice(None), places)
-        self._move("Q", *contexts)
+        down *= -0.5 / n
+        g = down @ false
+        true *= up[:, None]
+        g += true
+        # The vectors have been used; their place takes the slopes.
+        np.multiply(h, up[:, None], out=true)
+        np.matmul(down.T, h, out=false)
+        slopes = np.einsum("tj,itj->ij", g, seen)
+        np.multiply(p["C"][:, None], g, out=seen)
+        every = slice(None)
+        self._move("R", every, _row_sums(self.cells["R"], rows, near))
+        self._move("b", every, np.bincount(rows, np.concatenate((up, np.ones_like(up) @ down)), len(p["b"])).astype(up.dtype))
+        self._move("C", every, slopes)
+        self._move("Q", every, _row_sums(self.cells["Q"], before, seen))
 
     def learn(self, w: np.ndarray, u: np.ndarray, size: int = BATCH) -> None:
         order = self.rng.permutation(len(w))
         for i in range(0, len(order), size):
-            self.step(w[order[i : i + size]], u[order[i : i + size]])
+            some = order[i : i + size]
+            self.step(w.take(some), u.take(some, axis=0))
 
 
 def _sums(rows: list[list]):
@@ -282,37 +313,45 @@ def log_probabilities(p: dict[str, np.ndarray], u: np.ndarray) -> np.ndarray:
 
 
 def score_tables(p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """What one place adds to the scores: products S_i of all classes, their row maxima, and exp of S_i less these; the first has the biases."""
+    """What one place adds to the scores: products S_i of all classes, less their row maxima, and these; the first has the biases. Exp of the former, too."""
     products = np.stack([(c * p["Q"]) @ p["R"].T for c in p["C"]])
     products[0] += p["b"]
     top = products.max(2)
-    return products, top, np.exp(products - top[:, :, None])
+    products -= top[:, :, None]
+    return products, top, np.exp(products)
 
 
-def token_scores(tables: tuple[np.ndarray, ...], w: np.ndarray, u: np.ndarray, rows: int = 256) -> np.ndarray:
+def token_scores(tables: tuple[np.ndarray, ...], w: np.ndarray, u: np.ndarray, rows: int = 64) -> np.ndarray:
     """log10 P(w | u) of each token. The norm's terms, exp of a sum over places, are products of the places' rows.
 
-    Tokens whose products get too small for that take the sum of the scores itself.
+    Tokens are taken by the classes at their first two places. The first one's row goes into the last product
+    for all tokens that share it. Tokens whose products get too small take the sum of the scores itself.
     """
-    products, top, factors = tables
+    products, _, factors = tables
     n, places = u.shape
-    own, norm = np.zeros(n), np.empty(n)
-    for k in range(places):
-        own += products[k, u[:, k], w] - top[k, u[:, k]].astype(np.float64)
+    order = np.lexsort((u[:, 1], u[:, 0]))
+    u, w = u.take(order, axis=0).T.astype(np.intp), w.take(order).astype(np.intp)
+    own, norm = np.zeros(n), np.empty(n, np.float32)
+    for table, x in zip(products, u, strict=True):
+        own += table.ravel().take(x * table.shape[1] + w)
     made, more = (np.empty((rows, products.shape[2]), np.float32) for _ in range(2))
-    one = np.ones(products.shape[2], np.float32)
-    for i in range(0, n, rows):
-        some = u[i : i + rows].astype(np.intp)
-        x, y = made[: len(some)], more[: len(some)]
-        np.take(factors[0], some[:, 0], axis=0, out=x, mode="clip")
-        for k in range(1, places):
-            np.take(factors[k], some[:, k], axis=0, out=y, mode="clip")
-            np.multiply(x, y, out=x)
-        norm[i : i + rows] = x @ one
+    edges = np.flatnonzero(np.diff(u[0], prepend=-1, append=-1))
+    for start_, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        first = factors[0, u[0, start_]]
+        for i in range(start_, end, rows):
+            j = min(i + rows, end)
+            x, y = made[: j - i], more[: j - i]
+            factors[1].take(u[1, i:j], axis=0, out=x, mode="clip")
+            for k in range(2, places):
+                factors[k].take(u[k, i:j], axis=0, out=y, mode="clip")
+                np.multiply(x, y, out=x)
+            np.matmul(x, first, out=norm[i:j])
     for i in np.flatnonzero(norm < 1e-25):
-        s = sum(products[k, u[i, k]] - top[k, u[i, k]] for k in range(places)).astype(np.float64)
+        s = sum(products[k, u[k, i]] for k in range(places)).astype(np.float64)
         own[i], norm[i] = own[i] - s.max(), np.exp(s - s.max()).sum()
-    return (own - np.log(norm)) / np.log(10)
+    made = np.empty(n)
+    made[order] = (own - np.log(norm, dtype=np.float64)) / np.log(10)
+    return made
 
 
 _tables: dict[str, tuple] = {}
@@ -325,19 +364,18 @@ def _score(model: Broadcast):
         m = model.value
         if m["key"] not in _tables:
             _tables.clear()
-            _tables[m["key"]] = score_tables(m["p"]), dict(zip(m["words"], m["counts"].tolist(), strict=True))
+            _tables[m["key"]] = score_tables(m["p"]), pa.array(m["words"], pa.string())
         scores, held = _tables[m["key"]]
         log_total = np.log10(m["n"] + m["v"] + 1)
         within = -np.log10(m["class_total"] + 1)  # the one is for words that training lacks
         for batch in slices(batches):
             words, codes, at = _words(batch.column(2))
             codes, at = _present(words, codes, at)
-            names = words.to_pylist()
-            kind = classes_of(names, m["shortlist"])
-            c = np.array([held.get(w, -1) for w in names], np.int64) if names else np.zeros(0, np.int64)
+            kind = classes_of(words, m["shortlist"])
+            c = np.append(m["counts"], -1)[_places(words, held)]
             log_c = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0)
             inner = np.where(kind > FREQUENT, log_c + within[kind], 0)
-            step = token_scores(scores, *_examples(words, codes, at, m["shortlist"]))
+            step = token_scores(scores, *_contexts(*_line(kind, codes, at)))
             ends = at[1:] + np.arange(1, len(at))  # each text has one end more
             total = lambda x, edges: np.diff(np.concatenate(([0], np.cumsum(x)))[edges])
             n = np.diff(at) + 1

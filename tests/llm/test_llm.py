@@ -774,3 +774,78 @@ def test_lines_hold_the_classes_of_whole_texts(spark):
     rows = spark.createDataFrame([("a b A",), ("",), (" b\n",)], "text string").coalesce(1)
     made = rows.mapInArrow(lm_score._lines(spark.sparkContext.broadcast(shortlist)), "line binary").collect()
     assert [np.frombuffer(bytes(r[0]), np.int16).tolist() for r in made] == [[1, 2, 1, 0], [0], [2, 0]]
+
+
+def test_classes_hash_each_ending_once(monkeypatch):
+    import pyarrow as pa
+
+    words = ["", "a", "é", "naïvé", "日本語です", "x😀y", "ab\0", *(f"{i}ing" for i in range(100)), "own", "a"]
+    shortlist = {"own": 1, "7ing": 2}
+    told = [shortlist.get(w) or 1 + lm_score.FREQUENT + zlib.crc32(w[-3:].encode()) % lm_score.ENDINGS for w in words]
+    hashed, crc32 = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda x: hashed.append(x) or crc32(x))
+    for some in (words, pa.array(words), pa.array(["cut", *words]).slice(1), pa.array(words, pa.large_string())):
+        hashed.clear()
+        assert lm_score.classes_of(some, shortlist).tolist() == told
+        assert len(hashed) == len(set(hashed)) == 9
+    assert lm_score.classes_of([], {}).tolist() == []
+
+
+def test_scores_cost_less_than_a_row_of_each_place():
+    """CPU time of scores against that of norms made token by token from one row a place, as they were before."""
+    import time
+
+    rng = np.random.default_rng(5)
+    p = lm_score.start(np.ones(lm_score.CLASSES))
+    tables = lm_score.score_tables(p)
+    scores = np.stack([(c * p["Q"]) @ p["R"].T for c in p["C"]])
+    scores[0] += p["b"]
+    factors = np.exp(scores)
+    w = rng.zipf(1.3, 20_003) % lm_score.CLASSES
+    u = np.stack([np.roll(w, i + 1) for i in range(lm_score.CONTEXT)], 1)
+
+    def plain(rows=256):
+        made = np.empty(len(u))
+        for i in range(0, len(u), rows):
+            x = factors[0].take(u[i : i + rows, 0], axis=0)
+            for k in range(1, lm_score.CONTEXT):
+                x *= factors[k].take(u[i : i + rows, k], axis=0)
+            made[i : i + rows] = x.sum(1)
+        own = sum(scores[k, u[:, k], w] for k in range(lm_score.CONTEXT))
+        return (own - np.log(made)) / np.log(10)
+
+    def spent(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    assert np.allclose(lm_score.token_scores(tables, w, u), plain(), atol=1e-4)
+    now, before = (min(spent(f) for _ in range(5)) for f in (lambda: lm_score.token_scores(tables, w, u), plain))
+    assert now < 0.78 * before
+
+
+def test_noise_contrastive_steps_cost_little_beside_sorted_sums():
+    """CPU time of steps against that of adding up the slopes of their contexts by sorted rows alone: 3.4 times that, and 6.2 times before."""
+    import time
+
+    rng = np.random.default_rng(6)
+    n = 1e6 / np.arange(1, lm_score.CLASSES + 1)
+    nce = lm_score.Nce(lm_score.start(n), n / n.sum(), seed=1)
+    line = rng.choice(lm_score.CLASSES, 100 * lm_score.BATCH + lm_score.CONTEXT, p=n / n.sum()).astype(np.int16)
+    w, u = line[lm_score.CONTEXT :], np.stack([line[lm_score.CONTEXT - 1 - i : -1 - i] for i in range(lm_score.CONTEXT)], 1)
+    values = rng.random((lm_score.BATCH * lm_score.CONTEXT, lm_score.DIM), np.float32)
+
+    def plain():
+        for i in range(0, len(w), lm_score.BATCH):
+            rows = u[i : i + lm_score.BATCH].T.ravel()
+            order = np.argsort(rows, kind="stable")
+            first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+            np.add.reduceat(values[order], first, axis=0)
+
+    def spent(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    now, before = (min(spent(f) for _ in range(5)) for f in (lambda: nce.learn(w, u), plain))
+    assert now < 4.2 * before
