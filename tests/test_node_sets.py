@@ -1,4 +1,4 @@
-"""Descendants over sets of nodes, against plain loops, and what they shuffle."""
+"""Descendants and reached roots over sets of nodes, against plain loops, and what they shuffle."""
 
 import random
 
@@ -26,6 +26,18 @@ def _descendants(edges):
     return sorted((p, len(x)) for p, x in found.items() if x)
 
 
+def _reached(edges, stops, roots, hops):
+    found = []
+    for root in set(roots):
+        depth, front = {root: 0}, {root}
+        for d in range(1, hops + 1):
+            fresh = {p for c, p in edges if c in front} - set(depth)
+            depth |= {n: d for n in fresh}
+            front = fresh - stops
+        found += [(n, root, d) for n, d in depth.items() if d]
+    return sorted(found)
+
+
 @pytest.mark.parametrize("shape", ["near", "far", "text"])
 @pytest.mark.parametrize("small", [False, True])
 def test_walks_over_twins(spark, monkeypatch, shape, small):
@@ -38,6 +50,12 @@ def test_walks_over_twins(spark, monkeypatch, shape, small):
     got = graph.corroboration(rows).collect()
     assert sorted((r.id, r.n) for r in got) == _descendants(edges)
     assert all(r.boost == min(1.3, 1 + 0.05 * r.n) for r in got)
+    nodes = sorted({n for e in edges for n in e})
+    stops, roots = set(nodes[::3]), [*nodes[::2], nodes[0]]
+    kinds = spark.createDataFrame([(n, "fact" if n in stops else "reconstructed") for n in nodes[:-4]], f"id {kind}, kind string")
+    up = graph.propagate_up(rows, kinds, spark.createDataFrame([(n,) for n in roots], f"id {kind}"))
+    assert sorted((r.id, r.root, r.depth) for r in up.collect()) == _reached(edges, stops & set(nodes[:-4]), roots, C.EXCISE_HOPS)
+    assert up.dtypes == [("id", rows.dtypes[1][1]), ("root", rows.dtypes[1][1]), ("depth", "int"), ("weight", "double")]
 
 
 def _shuffled(spark, run) -> int:
@@ -63,3 +81,7 @@ def test_pairs_of_a_walk_are_not_shuffled(spark):
     got = []
     assert _shuffled(spark, lambda: got.extend(graph.corroboration(edges).collect())) < n * n / 2
     assert sorted((r.id, r.n) for r in got) == [(i, n + k) for i in range(n)] + [(10_000 + i, n) for i in range(k)]
+    kinds, roots = spark.createDataFrame([], "id long, kind string"), spark.range(20_000, 20_000 + n)
+    counts = []
+    assert _shuffled(spark, lambda: counts.extend(graph.propagate_up(edges, kinds, roots).groupBy("depth").agg(F.count("*")).collect())) < n * n / 2
+    assert sorted(tuple(r) for r in counts) == [(1, n * k), (2, n * n)]
