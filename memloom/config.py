@@ -97,6 +97,7 @@ CATCHUP_ROWS, CATCHUP_MOST = 50, 500
 
 # The inverted index: buckets of terms, tasks that write a bucket, and the share of texts that it must cover to serve.
 POSTING_BUCKETS, POSTING_SPLITS, LEXICAL_COVERAGE = 64, 4, 0.99
+HITS_TASK, ASKED_TASK = 2_000_000, 500_000
 # The vector index: rows a cell, rows that the centroids are trained on, rounds, cells probed first, and rows and queries that meet at once.
 CELL_ROWS, CELL_SAMPLE, CELLS_MOST, CELL_ROUNDS, PROBES = 256, 20_000, 4_096, 8, 8
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048

@@ -93,7 +93,7 @@ def _cells(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _probes(queries: DataFrame, shared, probes: int, after: bool) -> DataFrame:
-    """(query, embedding, cell): a query's first cells, or ``after`` them each cell whose bound reaches its ``least``."""
+    """(query, cell): a query's first cells, or ``after`` them each cell whose bound reaches its ``least``."""
 
     def run(batches):
         import pyarrow as pa
@@ -112,10 +112,9 @@ def _probes(queries: DataFrame, shared, probes: int, after: bool) -> DataFrame:
                 least = batch.column("least").fill_null(-np.inf).to_numpy(zero_copy_only=False)
                 wanted = ~wanted & (bound >= least[:, None] - 1e-9 * (1 + abs(least[:, None])))
             row, at = np.nonzero(wanted)
-            take = pa.array(row)
-            yield pa.record_batch([batch.column("query").take(take), batch.column("embedding").take(take), pa.array(cell[at], pa.int32())], ["query", "embedding", "cell"])
+            yield pa.record_batch([batch.column("query").take(pa.array(row)), pa.array(cell[at], pa.int32())], ["query", "cell"])
 
-    return queries.mapInArrow(run, "query long, embedding array<double>, cell int")
+    return queries.mapInArrow(run, "query long, cell int")
 
 
 def _best(k: int):
@@ -140,7 +139,7 @@ def _best(k: int):
     return run
 
 
-def _meet(pairs: DataFrame, path: str, sizes: dict[int, int], k: int) -> DataFrame:
+def _meet(pairs: DataFrame, queries: DataFrame, path: str, sizes: dict[int, int], k: int) -> DataFrame:
     """(query, id, score): the best k of each query's cells. Groups hold BLOCK_ROWS vectors and BLOCK_QUERIES queries, about."""
     spark = pairs.sparkSession
     pairs = written(pairs, "probes")
@@ -151,7 +150,7 @@ def _meet(pairs: DataFrame, path: str, sizes: dict[int, int], k: int) -> DataFra
     splits = F.broadcast(spark.createDataFrame(parts, "cell int, of_rows int, of_queries int"))  # CELLS_MOST rows at most
     chosen = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = pairs.join(splits, "cell").select("cell", chosen("query", "of_queries").alias("qs"), every("of_rows").alias("vs"), "query", "embedding")
+    left = pairs.join(splits, "cell").join(queries.select("query", "embedding"), "query").select("cell", chosen("query", "of_queries").alias("qs"), every("of_rows").alias("vs"), "query", "embedding")
     stored = spark.read.schema(VECTORS).parquet(f"{path}/vectors")
     right = stored.join(splits, "cell").select("cell", every("of_queries").alias("qs"), chosen("id", "of_rows").alias("vs"), "id", "embedding")
     by = ["cell", "qs", "vs"]
@@ -176,10 +175,10 @@ def search(queries: DataFrame, path: str, k: int, probes: int = C.PROBES, exact:
         return spark.createDataFrame([], "query long, id long, score double")
     rows = queries.select(F.col("query").cast("long").alias("query"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.size("embedding") == cells[3].shape[1])
     shared, sizes = spark.sparkContext.broadcast(cells), dict(zip(cells[0].tolist(), cells[1].tolist(), strict=True))
-    near = _meet(_probes(rows, shared, probes, False), path, sizes, k)
+    near = _meet(_probes(rows, shared, probes, False), rows, path, sizes, k)
     if not exact or len(cells[0]) <= probes:
         return near
     near = written(near, "near")
     least = near.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    far = _meet(_probes(rows.join(least, "query", "left").select("query", "embedding", "least"), shared, probes, True), path, sizes, k)
+    far = _meet(_probes(rows.join(least, "query", "left").select("query", "embedding", "least"), shared, probes, True), rows, path, sizes, k)
     return _top(near.unionByName(far), k)

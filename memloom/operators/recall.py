@@ -71,9 +71,9 @@ def fuse(legs: list[DataFrame], k: int = C.RRF_K, top: int = C.FUSED_TOP) -> Dat
 
 
 def rescored(fused: DataFrame, queries: DataFrame, facts: DataFrame, backfills: DataFrame, weights: DataFrame, gates: DataFrame, excluded: list[str]) -> DataFrame:
-    """(query, id, seed, text, embedding, score) of the candidates that pass the gates.
+    """(query, id, seed, hash, score) of the candidates that pass the gates; no text goes along.
 
-    ``queries``: query, seed, embedding, entities, anchor, valence. ``facts``: id, text, kind, age_days, consent, salience, embedding and the
+    ``queries``: query, seed, embedding, entities, anchor, valence. ``facts``: id, hash (of the content), kind, age_days, consent, salience, embedding and the
     channels entities, anchor, valence, which the latest row of ``backfills`` replaces one by one. ``weights`` is one row with a weight
     for each of RECALL_WEIGHTS; ``gates`` has (id, gate). A candidate that names an excluded entity is masked, so are blocked ones.
     """
@@ -94,17 +94,21 @@ def rescored(fused: DataFrame, queries: DataFrame, facts: DataFrame, backfills:
     whole = (F.coalesce(similarity, F.lit(0.0)) * gate + added) * F.coalesce(F.sqrt("salience"), F.lit(1.0))
     # What is masked goes, and so does what has neither a vector nor enough besides.
     kept = rows.where((gate > 0) & ~(similarity.isNull() & (added < C.RECALL_FLOOR)))
-    return kept.select("query", "id", "seed", "text", "embedding", whole.alias("score"))
+    return kept.select("query", "id", "seed", "hash", whole.alias("score"))
 
 
 def ranked(scored: DataFrame, recent: DataFrame, inputs: int = C.MMR_INPUT, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(query, id, place, score, propensity, flag, text, embedding): each query's best ``inputs``, copies and surfaced ids seen to.
+    """(query, id, place, score, propensity, flag): each query's best ``inputs``, copies and surfaced ids seen to.
 
-    Of equal contents the best stays. Ids of ``recent`` (query, id) weigh a quarter. ``rerank`` may replace the scores of the candidates
-    (query, id, text, score); without it they keep their order. ``flag`` tells how crowded a query's scores are at the top.
+    ``scored`` has query, id, seed, score and the content's ``hash``, or its ``text``. Of equal contents the best stays. Ids of ``recent`` (query, id)
+    weigh a quarter. ``rerank`` may replace the scores of the candidates (query, id, score and, if given, text); without it they keep
+    their order. ``flag`` tells how crowded a query's scores are at the top. ``text`` and ``embedding``, if given, come back with the best only.
     """
-    one = Window.partitionBy("query", content_hash(F.col("text"))).orderBy(F.desc(F.round("score", 12)), "id")
-    single = scored.withColumn("copy", F.row_number().over(one)).where("copy = 1").drop("copy")
+    along = [c for c in ("text", "embedding") if c in scored.columns]
+    bare = scored.select("query", "id", "seed", "score", (F.col("hash") if "hash" in scored.columns else content_hash(F.col("text"))).alias("hash"))
+    back = (lambda rows: rows.join(scored.select("query", "id", *along), ["query", "id"])) if along else (lambda rows: rows)
+    one = Window.partitionBy("query", "hash").orderBy(F.desc(F.round("score", 12)), "id")
+    single = bare.withColumn("copy", F.row_number().over(one)).where("copy = 1").drop("copy", "hash")
     again = recent.select("query", "id").distinct().withColumn("again", F.lit(True))
     damped = single.join(again, ["query", "id"], "left").withColumn("score", F.col("score") * F.when(F.col("again"), C.RECENT_FACTOR).otherwise(1.0)).drop("again")
     of = Window.partitionBy("query")
@@ -112,12 +116,13 @@ def ranked(scored: DataFrame, recent: DataFrame, inputs: int = C.MMR_INPUT, rera
     rows = damped.withColumns({"place": F.row_number().over(best) - 1, "top": F.max("score").over(of), "n": F.count("*").over(of)})
     rows = rows.withColumn("near", F.count_if(F.col("score") >= (1 - C.DENSE_SHARE) * F.col("top")).over(of)).where(F.col("place") < inputs)
     if rerank:
-        new = rerank(rows.select("query", "id", "text", "score")).select("query", "id", F.col("score").alias("new"))
+        asked = back(rows)
+        new = rerank(asked.select("query", "id", *[c for c in along if c == "text"], "score")).select("query", "id", F.col("score").alias("new"))
         rows = rows.join(new, ["query", "id"], "left").withColumn("score", F.coalesce("new", "score")).drop("new")
         rows = rows.withColumn("place", F.row_number().over(best) - 1)
     flag = F.when(F.col("near") >= C.DENSE_COUNT, "crowded").when(F.col("n") < C.SPARSE_COUNT, "sparse").otherwise("normal")
     told = selection.propensities(rows.withColumn("flag", flag), "query", "score", "place", "seed")
-    return told.select("query", "id", "place", "score", "propensity", "flag", "text", "embedding")
+    return back(told.select("query", "id", "place", "score", "propensity", "flag")).select("query", "id", "place", "score", "propensity", "flag", *along)
 
 
 def briefs(best: DataFrame, width: int) -> DataFrame:

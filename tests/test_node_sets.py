@@ -85,3 +85,25 @@ def test_pairs_of_a_walk_are_not_shuffled(spark):
     counts = []
     assert _shuffled(spark, lambda: counts.extend(graph.propagate_up(edges, kinds, roots).groupBy("depth").agg(F.count("*")).collect())) < n * n / 2
     assert sorted(tuple(r) for r in counts) == [(1, n * k), (2, n * n)]
+
+
+def test_answers_of_many_questions_are_not_shuffled_by_text(spark, monkeypatch, tmp_path):
+    """Every text has every question's word: 2,000 by 200 scores, of which three a question and group go on."""
+    from memloom.operators import postings
+
+    monkeypatch.setattr(C, "HITS_TASK", 400)
+    words = [f"w{i}" for i in range(5)]
+    texts = [(i, " ".join(w for k, w in enumerate(words) for _ in range(1 + (i * (k + 3)) % 7))) for i in range(2000)] + [(5000, None), (5001, "")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    asked = spark.createDataFrame([(q, [words[q % 5], words[(q + 1) % 5], words[q % 5], None]) for q in range(200)] + [(900, ["none"]), (901, [])], "query long, terms array<string>")
+    got = []
+    assert _shuffled(spark, lambda: got.extend(postings.search_texts(docs, asked, 3).collect())) < 2000 * 200 / 2
+    made = sorted((r["query"], r["id"], round(r["score"], 9)) for r in got)
+    path = str(tmp_path / "index")
+    postings.append(docs, path, 0)
+    assert made == sorted((r["query"], r["id"], round(r["score"], 9)) for r in postings.search_many(spark, path, asked, 3).collect())
+    assert len(made) == 600 and {q for q, _, _ in made} == set(range(200))
+    for q in (0, 3, 7):
+        plain = postings.search(spark, path, [words[q % 5], words[(q + 1) % 5]], 2000).collect()
+        plain.sort(key=lambda r: (-round(r["score"], 12), r["id"]))
+        assert [(q, r["id"], round(r["score"], 9)) for r in plain[:3]] == sorted((x for x in made if x[0] == q), key=lambda x: (-x[2], x[1]))
