@@ -88,3 +88,20 @@ def test_a_rerank_slot_replaces_scores(spark):
     assert [r["id"] for r in plain] == [1, 2, 3] and plain[0]["flag"] == "normal" and sum(r["propensity"] for r in plain) == pytest.approx(1)
     turned = recall.ranked(scored, none, inputs=3, rerank=lambda c: c.select("query", "id", (-F.col("score")).alias("score"))).orderBy("place").collect()
     assert [r["id"] for r in turned] == [3, 2, 1]
+
+
+def test_no_text_goes_along_with_candidates(spark, monkeypatch):
+    """Work tables of recall have numbers and hashes only; texts come in, cut to a brief's items, for the best."""
+    from memloom import config as C
+    from memloom.plans import recall as plans
+
+    seen, write = {}, plans.written
+
+    def written(df, label):
+        seen[label] = df.columns
+        return write(df, label)
+
+    monkeypatch.setattr(plans, "written", written)
+    assert plans.recall_briefs(spark, "/root/testdata/sf0.001").count() > 0
+    assert "scored" in seen and not {"text", "embedding"} & {c for columns in seen.values() for c in columns if columns is not seen.get("questions")}
+    assert max(len(r["text"] or "") for r in plans._ranked(spark, "/root/testdata/sf0.001", C.BRIEF_ITEM_CHARS).select("text").collect()) <= C.BRIEF_ITEM_CHARS
