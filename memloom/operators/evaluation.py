@@ -85,16 +85,65 @@ def abstain_f1(rows: DataFrame) -> DataFrame:
 def grid(candidates: DataFrame, k: int = C.EVAL_K) -> DataFrame:
     """(engagement, damping, ndcg) for each point of the weight grid over ``event, id, base, eng, damp, relevant``.
 
-    The grid is a literal of 16 points, exploded beside each row; scores are compared in units of 1e-6.
-    Of rows with equal score and id those that aren't relevant come first.
+    Scores are compared in units of 1e-6; of rows with equal score and id those that aren't relevant come first. Rows are dealt once
+    by event, not once a point: a task goes through its events in order and keeps a batch and, of the event that may go on
+    in the next one, each point's best ``k``. Tasks send on one sum a point.
     """
-    points = F.array(*[F.struct(F.lit(e).alias("engagement"), F.lit(d).alias("damping")) for e in C.GRID_ENGAGEMENT for d in C.GRID_DAMPING])
-    rows = candidates.withColumn("g", F.explode(points))
-    score = F.round((F.col("base") + F.col("g.engagement") * F.col("eng") + F.col("g.damping") * F.col("damp")) * 1e6).cast("long")
-    w = Window.partitionBy("event", "g").orderBy(F.desc("score"), "id", "relevant")
-    ranked = rows.withColumn("score", score).withColumn("rank", F.row_number().over(w))
-    per = metrics(ranked.select(F.struct("event", "g").alias("event"), "rank", "relevant"), k)
-    return per.groupBy("event.g.engagement", "event.g.damping").agg(F.avg("ndcg").alias("ndcg"))
+    points = [(e, d) for e in C.GRID_ENGAGEMENT for d in C.GRID_DAMPING]
+    score = lambda e, d: F.round((F.col("base") + F.lit(e) * F.col("eng") + F.lit(d) * F.col("damp")) * 1e6).cast("long")
+    dealt = candidates.select("event", "id", "relevant", "base", "eng", "damp").repartition("event").sortWithinPartitions("event", "id", "relevant")
+    rows = dealt.select("event", "relevant", *[score(e, d).alias(f"s{i}") for i, (e, d) in enumerate(points)])
+    sums = rows.mapInArrow(_grid_sums(points, k), "engagement double, damping double, total double, n long")
+    return sums.groupBy("engagement", "damping").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("ndcg"))
+
+
+def _grid_sums(points: list[tuple[float, float]], k: int):
+    def run(batches):
+        """A row a point with the NDCG of the task's events; rows come by event, and those of equal score in order."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        gain = 1 / np.log2(np.arange(k) + 2)
+        ideal, total, n, event = np.concatenate([[1.0], np.cumsum(gain)]), np.zeros(len(points)), 0, None
+        best: list[tuple[np.ndarray, np.ndarray]] = []  # of the open event, by point: scores and relevance
+        open_relevant, some = 0, False
+
+        def close(dcg: np.ndarray, relevant: np.ndarray) -> None:
+            nonlocal n, total
+            hit = relevant > 0
+            n += int(hit.sum())
+            total += (dcg[:, hit] / ideal[np.minimum(relevant[hit], k)]).sum(1)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = pc.dictionary_encode(batch.column("event"), null_encoding="encode")
+            e, names = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64), codes.dictionary
+            if some and names[0].as_py() != event:
+                e = e + 1
+            held = len(best[0][0]) if some else 0
+            own = batch.column("relevant").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            relevant = np.bincount(e, own, e[-1] + 1).astype(np.int64)
+            relevant[0] += open_relevant
+            e = np.concatenate([np.zeros(held, np.int64), e])
+            rank = np.arange(len(e)) - np.searchsorted(e, e)
+            top = np.flatnonzero(rank < k)
+            dcg, kept = np.zeros((len(points), e[-1] + 1)), top[e[top] == e[-1]]
+            for i in range(len(points)):
+                score = batch.column(f"s{i}").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                hit = own
+                if held:
+                    score, hit = np.concatenate([best[i][0], score]), np.concatenate([best[i][1], own])
+                order = np.lexsort((~score, e))  # stable, and the greatest score first
+                dcg[i] = np.bincount(e[top], hit[order[top]] * gain[rank[top]], e[-1] + 1)
+                best[i : i + 1] = [(score[order[kept]], hit[order[kept]])]
+            close(dcg[:, :-1], relevant[:-1])
+            last, open_relevant, some, event = dcg[:, -1:], int(relevant[-1]), True, batch.column("event")[-1].as_py()
+        if some:
+            close(last, np.array([open_relevant]))
+            yield pa.record_batch([pa.array([p[0] for p in points]), pa.array([p[1] for p in points]), pa.array(total), pa.array([n] * len(points))], ["engagement", "damping", "total", "n"])
+
+    return run
 
 
 def bootstrap_ci(rows: DataFrame, resamples: int = C.CI_RESAMPLES, level: float = C.CI_LEVEL) -> DataFrame:

@@ -107,3 +107,33 @@ def test_answers_of_many_questions_are_not_shuffled_by_text(spark, monkeypatch,
         plain = postings.search(spark, path, [words[q % 5], words[(q + 1) % 5]], 2000).collect()
         plain.sort(key=lambda r: (-round(r["score"], 12), r["id"]))
         assert [(q, r["id"], round(r["score"], 9)) for r in plain[:3]] == sorted((x for x in made if x[0] == q), key=lambda x: (-x[2], x[1]))
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_grid_deals_rows_once(spark, batch):
+    """The grid's means by a plain loop, events cut by batches among them, and rows shuffled once by event, not once a point."""
+    from math import log2
+
+    from memloom.operators import evaluation
+
+    r = random.Random(4)
+    rows = [(r.choice([None, 1, 2, 3, 4, 50]) if i % 2 else 60 + i % 9, r.randrange(12), r.randrange(5) / 100, r.randrange(7), r.randrange(5), r.choice([True, False, False, None])) for i in range(400)]
+    rows += [(99, i, 0.01, 1, 1, False) for i in range(20)]
+    got = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "event long, id long, base double, eng long, damp long, relevant boolean").repartition(2)
+        assert _shuffled(spark, lambda: got.extend(evaluation.grid(df, 3).collect())) < 5 * len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for e in C.GRID_ENGAGEMENT:
+        for d in C.GRID_DAMPING:
+            each = []
+            for event in {x[0] for x in rows}:
+                own = sorted((x for x in rows if x[0] == event), key=lambda x: (-round((x[2] + e * x[3] + d * x[4]) * 1e6), x[1], -1 if x[5] is None else x[5]))
+                n = sum(bool(x[5]) for x in own)
+                if n:
+                    each.append(sum(bool(x[5]) / log2(i + 2) for i, x in enumerate(own[:3])) / sum(1 / log2(i + 2) for i in range(min(3, n))))
+            want[e, d] = sum(each) / len(each)
+    assert {(x["engagement"], x["damping"]): pytest.approx(x["ndcg"]) for x in got} == want
