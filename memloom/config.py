@@ -106,6 +106,7 @@ BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
 ENTITY_KINDS, NAME_LEAST = ("person", "place", "org", "project", "event", "topic", "artifact"), 3
 #: Different numbers of pieces that the names of a lexicon may have.
 NAME_PIECES = 32
+NAME_BITS, NAME_TABLE = 32, 28
 
 # Days that the health state keeps, the last days of a report, and the share of entities a fact that may go.
 HEALTH_KEPT, HEALTH_RECENT, ENTITY_DROP = 32, 7, 0.10

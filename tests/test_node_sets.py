@@ -137,3 +137,33 @@ def test_grid_deals_rows_once(spark, batch):
                     each.append(sum(bool(x[5]) / log2(i + 2) for i, x in enumerate(own[:3])) / sum(1 / log2(i + 2) for i in range(min(3, n))))
             want[e, d] = sum(each) / len(each)
     assert {(x["engagement"], x["damping"]): pytest.approx(x["ndcg"]) for x in got} == want
+
+
+def test_only_runs_that_may_be_names_are_dealt(spark):
+    """60 texts of 300 words and a lexicon of six names: a row for each found name goes to the join, not one for each run of a text."""
+    from memloom.operators import gazetteer
+
+    r = random.Random(9)
+    texts = [(i, " ".join(r.choice(["Ab", "coß", "d-e", "İx", "f_1"]) + str(r.randrange(90)) for _ in range(300))) for i in range(60)] + [(90, None), (91, ""), (92, "  \U0001f600ab7\tNew  York, new york")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    names = ["ab7", "ab7 ", "New York", "d-e5", "coß8 ab3", "none such", "\U0001f600"]
+    lexicon = gazetteer.compile_lexicon(spark.createDataFrame([(n + "", "topic", k) for k, n in enumerate(names)], "surface string, kind string, seq long"), "t")
+    kept = [x["lowered"] for x in lexicon.collect()]
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    got = []
+    try:
+        assert _shuffled(spark, lambda: got.extend(gazetteer.find(docs, lexicon).collect())) < 2_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    want = []
+    low = {x["id"]: x["low"] for x in docs.select("id", F.lower("text").alias("low")).collect()}
+    word = set("abcdefghijklmnopqrstuvwxyz0123456789_")
+    for i, text in low.items():
+        for name in kept:
+            for at in range(len(text or "")):
+                end = at + len(name)
+                if text[at:end] == name and not (name[0] in word and at and text[at - 1] in word) and not (name[-1] in word and end < len(text) and text[end] in word):
+                    want.append((i, name, at, end))
+                    break
+    assert sorted((x["id"], x["surface"].lower(), x["start"], x["end"]) for x in got) == sorted(want) and len(want) > 60
